@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules, url_filters
 from .common import table
 
 
@@ -20,9 +21,32 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, held_out, predict
+
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents.where(~held_out(documents.doc_id, 4, 2)))
+    found = predict(documents, model)
+    return found.select("doc_id", held_out(found.doc_id, 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_filter(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_language_id": op7_language_id,
+    "op8_url_filters": op8_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.oracle(),
+    "op8_url_filters": url_filters.oracle(),
+}
