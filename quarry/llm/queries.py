@@ -25,6 +25,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, held_out, predict
 
@@ -42,6 +48,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_rules": op4_quality_rules,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
 }
