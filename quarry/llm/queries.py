@@ -25,6 +25,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out
+    from .quality_classifier import quality_scores, train
+
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = train(documents, labels.where(~held_out(labels.doc_id, 5, 0)))
+    found = quality_scores(documents, machine)
+    return found.select("doc_id", held_out(found.doc_id, 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import near_duplicates
 
@@ -40,6 +50,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found.doc_id, 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out
+    from .lm_scoring import lm_scores
+
+    documents = table(spark, sf_dir, "documents")
+    found = lm_scores(documents, ~held_out(documents.doc_id, 7, 2))
+    return found.select(
+        "doc_id", (~found.training).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"))
 
@@ -48,9 +69,11 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
