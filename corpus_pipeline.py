@@ -1,12 +1,70 @@
-"""The corpus pipeline: quality rules, near-dedup, repeated passages, decontamination, tokens."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, decontamination, tokens.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents.
+Documents whose id repeats are kept or dropped together.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm.bpe_codec import encode_digest
+from quarry.llm.common import ensure_checkpoint_dir, table
+from quarry.llm.decontamination import contaminated
+from quarry.llm.quality_rules import keep_good
+from quarry.llm.simhash_dedup import near_duplicates
+from quarry.llm.suffix_dedup import remove_repeats
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality rules reject."""
+    return keep_good(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates."""
+    groups = near_duplicates(docs)
+    extra = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out passages that a document with a smaller id has as well; n_chars follows the text."""
+    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return encode_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_dedup", near_dedup_stage),
+    ("suffix_dedup", passage_stage),
+    ("decontamination", decontamination_stage),
+    ("bpe_codec", token_stage),
+]
 
-STAGES: list = []
+#: Near-duplicate components and byte-pair merges can't be written in SQL; a test holds it against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents. Each result but the last is checkpointed in the shared folder, as the next
+    stage reads it more than once."""
+    ensure_checkpoint_dir(spark)
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = docs.checkpoint()
+    return docs

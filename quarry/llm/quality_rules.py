@@ -60,10 +60,12 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     return kept
 
 
-def text_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the counts that the rules use, for each row."""
+def text_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id and the counts that the rules use, for each row; with `carry` also the input row, as a struct."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    row = [F.struct("*").alias("row")] if carry else []
+    source = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), *row)
+    row = ["row"] if carry else []
     bare = F.call_function("btrim", F.col("text"), F.lit(TRIM))
     words = F.when(bare != "", F.split(bare, SPACES)).otherwise(F.array().cast("array<string>"))
     lines = F.filter(F.split("text", "\n"), lambda line: F.call_function("btrim", line, F.lit(TRIM)) != "")
@@ -73,6 +75,7 @@ def text_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         words.alias("words"),
         lines.alias("lines"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        *row,
     )
     # The 3-word windows in order of their words, with their places: equal windows become neighbours, which takes
     # n log n steps where a comparison of all pairs takes n squared.
@@ -91,6 +94,7 @@ def text_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(n >= 3, F.sort_array(windows)).alias("windows"),
+        *row,
     )
     v = F.col("windows")
     repeated = F.filter(
@@ -109,14 +113,27 @@ def text_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce(F.when(v.isNotNull(), F.size(F.array_distinct(places))), F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_stop_words",
         "n_lines",
+        *row,
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of `df` that the rules keep, unchanged."""
+    figures = text_figures(df, id_col, text_col, carry=True)
+    # Not a filter: the optimizer would move that below the projections and so write the windows' sort into it
+    # once for each place that names them. A generator stays where it is.
+    kept = F.when(~base_failed() & compile_rules(rules), F.array("row"))
+    return figures.select(F.explode(kept).alias("row")).select("row.*")
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """The figures of `text_figures` with base_failed and kept."""
     figures = text_figures(df, id_col, text_col)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged = figures.withColumn("base_failed", failed)
+    judged = figures.withColumn("base_failed", base_failed())
     return judged.select("*", (~F.col("base_failed") & compile_rules(rules)).alias("kept")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_stop_words", "n_lines",

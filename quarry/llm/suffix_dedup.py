@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .induced import repeated_windows
 from .lm_scoring import bucket_bounds, pack, unpack
@@ -56,6 +57,7 @@ class Texts:
 
     def __init__(self, table: pa.Table) -> None:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.table = table
         self.ids = table.column("doc_id").to_numpy()
         parts = [x.encode() for x in table.column("text").to_pylist()]
         self.data = b"".join(parts)
@@ -262,7 +264,7 @@ def _sort(buckets: int):
     return run
 
 
-def _cut(full: bool):
+def _cut(digest: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = Texts(left)
         change = np.zeros(len(texts.data) + 1, dtype=np.int32)
@@ -281,23 +283,26 @@ def _cut(full: bool):
             removed.append(n)
             spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0)
             rest = raw[a:b][~g].tobytes() if n else texts.data[a:b]
-            kept.append(rest if full else hashlib.sha256(rest).hexdigest())
+            kept.append(hashlib.sha256(rest).hexdigest() if digest else rest.decode("utf-8", "ignore"))
+        if not digest:
+            return pa.table({"row": texts.table.column("row"), "text": pa.array(kept, pa.string())})
         return pa.table(
             {
                 "doc_id": pa.array(texts.ids, pa.int64()),
                 "n_bytes": pa.array(texts.sizes, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()),
-                "kept": pa.array(kept, pa.binary() if full else pa.string()),
+                "kept_sha256": pa.array(kept, pa.string()),
             }
         )
 
     return run
 
 
-def _passages(df: DataFrame, id_col: str, text_col: str, full: bool) -> DataFrame:
+def _passages(df: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    row = [] if digest else [F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")]
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *row)
     size = source.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SPLIT_BYTES))
     dealt = source.withColumn("split", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
@@ -306,15 +311,19 @@ def _passages(df: DataFrame, id_col: str, text_col: str, full: bool) -> DataFram
     answers = texts.applyInArrow(_report(parts), to_bucket).groupBy("bucket").applyInArrow(_which_repeat, to_split)
     sent = texts.cogroup(answers.groupBy("split")).applyInArrow(_send(parts), to_bucket)
     spans = sent.groupBy("bucket").applyInArrow(_sort(parts), to_split)
-    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if full else 'string'}"
-    return texts.cogroup(spans.groupBy("split")).applyInArrow(_cut(full), schema)
+    if digest:
+        schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    else:
+        schema = StructType([source.schema["row"], StructField("text", StringType())])
+    return texts.cogroup(spans.groupBy("split")).applyInArrow(_cut(digest), schema)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for each row."""
-    return _passages(df, id_col, text_col, True)
+    """The rows of `df` with their remaining text; what a cut leaves of a split character is dropped."""
+    cut = _passages(df, id_col, text_col, False)
+    return cut.select(*(F.col("text").alias(text_col) if c == text_col else F.col(f"row.`{c}`") for c in df.columns))
 
 
 def repeat_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same with the SHA-256 of the remaining bytes, hashed in the worker."""
-    return _passages(df, id_col, text_col, False).withColumnRenamed("kept", "kept_sha256")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) for each row."""
+    return _passages(df, id_col, text_col, True)
