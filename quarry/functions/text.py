@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode has it, at either end or in runs.
 SPACE = r"(?U)\s+"
@@ -26,7 +27,7 @@ TIERS = ((0.40, "reject"), (0.57, "low"), (0.67, "medium"))
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     """All named and numeric character references."""
     from html import unescape
@@ -34,7 +35,7 @@ def html_unescape(s: pd.Series) -> pd.Series:
     return s.map(unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     from unicodedata import normalize
 
