@@ -72,6 +72,13 @@ def weighted_jaccard(a: np.ndarray, b: Counter) -> float:
     return common / (len(a) + sum(b.values()) - common)
 
 
+def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of `x` are in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(x), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 class Items:
     """Items of one length: fingerprints, bags, and the index of blocks."""
 
@@ -122,17 +129,17 @@ class Benchmark:
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         runs = shingles(words) if len(words) >= SHINGLE else words[:0]
         maybe = np.nonzero(self.filter[runs >> np.uint64(64 - FILTER_BITS)])[0]
-        hits = maybe[np.isin(runs[maybe], self.all)] if len(maybe) else maybe
+        hits = maybe[member(runs[maybe], self.all)]
         for n, items in self.items.items():
             if n in self.short:
                 if len(words) < n:
                     continue
-                grams = shingles_of(words, n)
-                starts = np.nonzero(np.isin(grams, self.own[n]))[0]
+                grams = shingles(words, n)
+                starts = np.nonzero(member(grams, self.own[n]))[0]
             else:
                 if len(hits) < items.need:
                     continue
-                mine = hits[np.isin(runs[hits], self.own[n])]
+                mine = hits[member(runs[hits], self.own[n])]
                 if len(mine) < items.need or len(words) < n:
                     continue
                 # Windows [s, s + size) of shingles with at least `need` hits: s lies between the last of the
@@ -150,10 +157,6 @@ class Benchmark:
         return [(self.items[n].ids[i], *found) for (n, i), found in sorted(best.items())]
 
 
-def shingles_of(words: np.ndarray, size: int) -> np.ndarray:
-    return shingles(words, size)
-
-
 def item_blocks(items: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
     """The items in parts that are small enough to be sent to every worker."""
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
