@@ -82,6 +82,11 @@ class Vocabulary:
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text. Code points that this Python's Unicode tables don't know yet are looked
         up in the library itself, whose tables may be of another version than the pattern's."""
+        body = text[1:] if text[:1] == " " else text
+        if body.isalpha():  # the most frequent forms need no pattern: letters, and letters before a mark
+            return [text]
+        if body[-1:] in (",", ".") and body[:-1].isalpha():
+            return [text[:-1], text[-1]]
         if text.isascii() or all(category(c) != "Cn" for c in text):
             return self._words(text)
         if self._library is None:
@@ -269,16 +274,23 @@ class Codec(dict):
         self.decimal = [str(i) for i in range(size)]
         self.pieces = [self.vocabulary.bytes_of.get(i, b"") for i in range(size)]
         self.old: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def word(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        ids = self.lexicon.get(raw) if self.lexicon and len(raw) <= LEXICON_BYTES else None
-        return self.vocabulary.merge(raw) if ids is None else ids
+        ids = self.known.get(word)
+        if ids is None:
+            raw = word.encode()
+            ids = self.lexicon.get(raw) if self.lexicon and len(raw) <= LEXICON_BYTES else None
+            ids = tuple(map(self.numbers.__getitem__, self.vocabulary.merge(raw) if ids is None else ids))
+            if len(word) <= MEMO_CHARS:
+                if len(self.known) >= MEMO_ENTRIES:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
 
     def part(self, part: str) -> tuple[int, ...]:
         words = self.vocabulary.words(part)
-        ids = self.word(words[0]) if len(words) == 1 else chain.from_iterable(map(self.word, words))
-        return tuple(map(self.numbers.__getitem__, ids))
+        return self.word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.word, words)))
 
     def __missing__(self, part: str) -> tuple[int, ...]:
         ids = self.old.get(part)
