@@ -29,7 +29,7 @@ from xxhash import xxh64_intdigest
 
 #: Weight of the root's distribution in each state; bytes of text that a split holds, on average.
 MU, SPLIT_BYTES = 8.0, 24 << 20
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 #: Not words: a text's end (a token), and its start (a history).
 END, START = b" ", b"  "
 MIX = np.uint64(0x9E3779B97F4A7C15)
