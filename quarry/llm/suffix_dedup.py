@@ -33,7 +33,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .induced import repeated_windows
 from .lm_scoring import bucket_bounds, pack, unpack
 
-WINDOW, KMER, SPLIT_BYTES, BLOCK = 50, 20, 24 << 20, 1 << 18
+WINDOW, KMER, SPLIT_BYTES, BLOCK = 50, 20, 6 << 20, 1 << 18
+#: Bytes of runs that are sorted together; about 100 bytes of memory each while they are.
+SHARD_BYTES = 512 << 10
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -206,6 +208,55 @@ def _send(buckets: int):
     return run
 
 
+def shard_flags(text: bytes, sizes: np.ndarray, owners: np.ndarray, most: int = SHARD_BYTES) -> np.ndarray:
+    """`repeated_windows`, for an anchor with very many runs in parts: equal windows have equal hashes, so the
+    windows whose hash occurs once drop out, and the others are sorted by ranges of their hashes."""
+    if len(text) <= 2 * most:
+        return repeated_windows(text, sizes, owners, WINDOW)
+    flags = np.zeros(len(text), dtype=bool)
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(text, dtype=np.uint8)
+    # The places where a window starts, and the windows' hashes, a block of text at a time: the three k-mers of a
+    # window that are looked at overlap, so they cover it.
+    counts = np.maximum(sizes - WINDOW + 1, 0)
+    at = np.repeat(ends - sizes - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+    step = (WINDOW - KMER) // 2
+    h = np.empty(len(at), dtype=np.uint64)
+    for place in range(0, len(raw), BLOCK):
+        lo, hi = np.searchsorted(at, [place, place + BLOCK])
+        if lo < hi:
+            k, i = kmer_hashes(raw[place : place + BLOCK + WINDOW]), at[lo:hi] - place
+            with np.errstate(over="ignore"):
+                h[lo:hi] = (k[i] * C[2] + k[i + step]) * C[3] + k[i + 2 * step]
+    order = np.argsort(h, kind="stable")
+    at, h = at[order], h[order]
+    owner = np.searchsorted(ends, at, side="right")
+    several = np.zeros(len(h), dtype=bool)
+    several[1:] = h[1:] == h[:-1]
+    several[:-1] |= several[1:]
+    at, h, owner = at[several], h[several], owner[several]
+    begin = 0
+    while begin < len(at):
+        stop = min(begin + most // WINDOW, len(at))
+        while stop < len(at) and h[stop] == h[stop - 1]:
+            stop += 1
+        take = at[begin:stop]
+        # Of windows with one hash and owner one is enough; all get its flag.
+        keys, place = np.unique(np.stack((h[begin:stop], owners[owner[begin:stop]].astype(np.uint64))), axis=1, return_inverse=True)
+        one = np.zeros(keys.shape[1], dtype=np.int64)
+        one[place[::-1]] = take[::-1]
+        same = np.array([text[x : x + WINDOW] == text[y : y + WINDOW] for x, y in zip(take.tolist(), one[place].tolist())])
+        if same.all():
+            chosen, back = one, place
+        else:  # a collision of hashes: every window for itself
+            chosen, back = take, np.arange(len(take))
+        whose = owners[np.searchsorted(ends, chosen, side="right")]
+        found = repeated_windows(b"".join(text[x : x + WINDOW] for x in chosen.tolist()), np.full(len(chosen), WINDOW), whose, WINDOW)
+        flags[take] = found[::WINDOW][back]
+        begin = stop
+    return flags
+
+
 def _sort(buckets: int):
     """Spans to be removed (row, start in the row, length), for each split."""
 
@@ -231,10 +282,23 @@ def _sort(buckets: int):
         own = anchor[first]
         _, group, n = np.unique(own, return_inverse=True, return_counts=True)
         sorted_ones = np.nonzero(n[group] > 1)[0]
-        pieces = coded.dictionary.take(pa.array(sorted_ones)).to_pylist()
-        flags = repeated_windows(b"".join(pieces), np.array([len(p) for p in pieces], dtype=np.int64), least[sorted_ones], WINDOW)
+        sorted_ones = sorted_ones[np.argsort(group[sorted_ones], kind="stable")]
+        size = length[first[sorted_ones]]
         flag_at = np.full(count, -1, dtype=np.int64)
-        flag_at[sorted_ones] = np.concatenate(([0], np.cumsum([len(p) for p in pieces])[:-1])) if len(pieces) else 0
+        flag_at[sorted_ones] = np.cumsum(size) - size
+        flags = np.zeros(int(size.sum()), dtype=bool)
+        # Shards end where an anchor does.
+        last = np.append(group[sorted_ones][1:] != group[sorted_ones][:-1], True) if len(sorted_ones) else []
+        begin = 0
+        ends = np.cumsum(size)
+        for i in np.nonzero(last)[0].tolist():
+            filled = int(ends[i] - (ends[begin - 1] if begin else 0))
+            if filled >= SHARD_BYTES or i + 1 == len(sorted_ones):
+                part = sorted_ones[begin : i + 1]
+                text = b"".join(coded.dictionary.take(pa.array(part)).to_pylist())
+                at = flag_at[part[0]]
+                flags[at : at + filled] = shard_flags(text, size[begin : i + 1], least[part])
+                begin = i + 1
         splits, out, base = [], [], 0
         for part, size, split in zip(asked, sizes, table.column("split").to_pylist(), strict=True):
             here = slice(base, base + size)
