@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_against_brute_force(spark, tmp_path):
-    d = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 6000")
+    d = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 2500")
     d.write.parquet(str(tmp_path / "documents.parquet"))
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))

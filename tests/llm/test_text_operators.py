@@ -158,6 +158,8 @@ def leaks_brute(docs, items):
         w = words(t)
         for item, s in items:
             x = words(s)
+            if len(x) >= 5 and not bag(x).keys() & bag(w).keys():
+                continue  # without a common shingle no window is similar
             for k in range(len(w) - len(x) + 1 if x else 0):
                 a, b = bag(w[k : k + len(x)]), bag(x)
                 common = sum((a & b).values())
