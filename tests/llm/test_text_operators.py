@@ -86,6 +86,58 @@ def test_language_id(spark):
     assert [r.h for r in df.where("doc_id < 5").select(held_out(F.col("doc_id"), 4, 2).alias("h")).collect()] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(5)]
 
 
+def languages_brute(train, new):
+    letters = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    langs = sorted({x for _, t, x in train if x is not None and letters(t)})
+    words, grams = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    cut = lambda w: [f"<{w}>"[i : i + k] for k in range(1, 6) for i in range(len(w) + 3 - k)]
+    for _, t, x in train:
+        for w in letters(t) if x is not None else []:
+            words[x][w] += 1
+            grams[x].update(cut(w))
+    n_words, n_grams = len(set().union(*words.values())), len(set().union(*grams.values()))
+    log = lambda c, n, key: np.array([np.log((c[x][key] + 0.1) / (c[x].total() + 0.1 * (n + 1))) for x in langs])
+    out = []
+    for i, t in new:
+        total = np.zeros(len(langs))
+        for w in letters(t):
+            if any(words[x][w] for x in langs):
+                total += log(words, n_words, w)
+                continue
+            padded, at = f"<{w}>", 0
+            while at < len(padded):
+                size = next((k for k in range(min(5, len(padded) - at), 0, -1) if any(grams[x][padded[at : at + k]] for x in langs)), 0)
+                total += log(grams, n_grams, padded[at : at + size]) if size else 0
+                at += size or 1
+        weight = np.exp(total - total.max())
+        out.append((i, langs[int(weight.argmax())], weight.max() / weight.sum()) if any(map(str.isalpha, t or "")) else (i, "und", 0.0))
+    return sorted(out, key=repr)
+
+
+def language_rows(spark, train, new):
+    model = fit_languages(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    got = predict_language(spark.createDataFrame(new, "doc_id long, text string"), model).collect()
+    return sorted(((r.doc_id, r.lang_pred, r.score) for r in got), key=repr)
+
+
+def test_language_id_keeps_all_languages_and_long_words(spark):
+    train = [(i, " ".join(np.random.default_rng(i).choice(WORDS, 5)) + f" {'xyz'[i % 3] * (45 + i // 3)} {chr(0x4E00 + i) * 2}", f"l{i:02}") for i in range(70)]
+    new = [(i, f"{'xyz'[i % 3] * (45 + i // 3)} unseen{chr(0x4E00 + i)}") for i in range(70)]
+    new += [(300 + i, "xyz"[i % 3] * (45 + i // 3)) for i in range(70)]
+    new += [(None, "the of"), (200, None), (201, "12 !"), (202, "½"), (203, "reat-ing reating"), (203, "\U0001F600 \u05D0"), (204, "")]
+    got, expected = language_rows(spark, train, new), languages_brute(train, new)
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert np.allclose([g[2] for g in got], [e[2] for e in expected])
+    assert {(300 + i, f"l{i:02}") for i in range(70)} <= {g[:2] for g in got}
+
+
+def test_language_id_keeps_rare_words_and_grams(spark):
+    frequent = [chr(0x4E00 + a) + chr(0x4E00 + b) for a in range(250) for b in range(250)]
+    train = [(1, " ".join(frequent * 2), "a"), (2, "zzyx", "b"), (3, "qqv", "c")]
+    got = language_rows(spark, train, [(1, "zzyx"), (2, "zzyxx"), (3, "qqv"), (4, frequent[0])])
+    assert [g[:2] for g in got] == [(1, "b"), (2, "b"), (3, "c"), (4, "a")]
+
+
 def test_language_accuracy(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     model = fit_languages(d.where(~held_out(d.doc_id, 4, 2)))
