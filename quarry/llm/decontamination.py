@@ -3,7 +3,8 @@
 Each item has the SimHash of its word shingles. In a text, the windows of an item's length (in words) are
 considered that could reach the similarity at all: a window as similar as `SIMILARITY` shares at least
 2s/(1+s) of its shingles with the item, so it must hold that many shingles that occur in some item of this
-length; all other windows are ruled out by one running count. The windows' SimHashes are looked up in an index
+length; all other windows are ruled out by one running count. A text shorter than an item is one window, the
+whole text, unless the two lengths rule the similarity out. The windows' SimHashes are looked up in an index
 of blocks: the 64 bits are cut into BLOCKS blocks, and two fingerprints within RADIUS bits differ in at least
 one block by no more than RADIUS // BLOCKS bits, so that looking up all block values so near finds every item
 within the radius. What is found is verified by the exact weighted Jaccard similarity of the two shingle bags.
@@ -12,7 +13,8 @@ Items are sent to the workers in blocks of ITEM_BYTES at most; more items take m
 
 Defined results: null or empty texts and items without a word match nothing; items or texts of fewer than
 `shingle` words have one shingle, the whole sequence; ties take the earliest window; repeated items and rows
-each match; empty tables give an empty table; other columns of the inputs are not looked at.
+each match; an item without an id matches as any other, with a null item_id; empty tables give an empty table;
+other columns of the inputs are not looked at.
 """
 
 from __future__ import annotations
@@ -86,7 +88,7 @@ class Items:
         self.ids, self.bags = ids, [Counter(b.tolist()) for b in bags]
         self.size = len(bags[0])
         self.prints = np.array([simhash(b) for b in bags], dtype=np.uint64)
-        self.need = int(np.ceil(round(self.size * 2 * SIMILARITY / (1 + SIMILARITY), 9)))
+        self.need = self.common(self.size)
         self.width = 64 // BLOCKS
         masks = [sum(1 << b for b in bits) for k in range(RADIUS // BLOCKS + 1) for bits in combinations(range(self.width), k)]
         self.index: list[dict[int, list[int]]] = []
@@ -98,6 +100,10 @@ class Items:
                     table[value ^ mask].append(i)
             self.index.append(dict(table))
 
+    def common(self, size: int) -> int:
+        """Shingles that an item and a window of `size` shingles share at least if they are similar."""
+        return int(np.ceil(round((self.size + size) * SIMILARITY / (1 + SIMILARITY), 9)))
+
     def near(self, fingerprint: int) -> np.ndarray:
         """All items within RADIUS bits."""
         low = (1 << self.width) - 1
@@ -136,11 +142,16 @@ class Benchmark:
                     continue
                 grams = shingles(words, n)
                 starts = np.nonzero(member(grams, self.own[n]))[0]
+            elif len(words) < n:
+                need = items.common(len(runs))
+                if need > len(hits) or member(runs[hits], self.own[n]).sum() < need:
+                    continue
+                starts = np.zeros(1, dtype=np.int64)
             else:
                 if len(hits) < items.need:
                     continue
                 mine = hits[member(runs[hits], self.own[n])]
-                if len(mine) < items.need or len(words) < n:
+                if len(mine) < items.need:
                     continue
                 # Windows [s, s + size) of shingles with at least `need` hits: s lies between the last of the
                 # `need` hits less the size, and the first of them.
@@ -153,14 +164,14 @@ class Benchmark:
                 for i in items.near(simhash(bag)).tolist():
                     similarity = weighted_jaccard(bag, items.bags[i])
                     if similarity >= SIMILARITY and similarity > best.get((n, i), (0.0,))[0]:
-                        best[n, i] = (similarity, s, n)
+                        best[n, i] = (similarity, s, min(n, len(words)))
         return [(self.items[n].ids[i], *found) for (n, i), found in sorted(best.items())]
 
 
 def item_blocks(items: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
     """The items in parts that are small enough to be sent to every worker."""
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("item_id is not null and text is not null")
+    rows = rows.where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-size // ITEM_BYTES)
     return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else rows for b in range(n)]

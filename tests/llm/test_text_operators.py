@@ -235,6 +235,28 @@ def test_decontamination(spark):
     assert contaminated(df, bench.limit(0)).count() == contaminated(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    items = [(i, prose(i, 12 + 4 * i)) for i in range(12)] + [(50, "only three words"), (None, prose(77, 30))]
+    docs = [(100 * k + cut, " ".join(t.split()[cut // 2 : len(t.split()) - cut + cut // 2])) for k, (_, t) in enumerate(items) for cut in range(15)]
+    docs += [(5000, "only three"), (5001, prose(500, 20) + " " + items[-1][1]), (5002, "a b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    expected = leaks_brute(docs, items)
+    for i, t in docs:
+        for item, s in items:
+            w, x = t.lower().split(), s.lower().split()
+            if w and len(w) < len(x):
+                a, b = bag(w), bag(x)
+                common = (a & b).total()
+                if common / (a.total() + b.total() - common) >= 0.8:
+                    expected.add((i, item))
+    rows = contaminated(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == expected and {(1102, 11), (1300, None), (1302, None), (5001, None)} <= expected
+    words = {i: len(t.split()) for i, t in docs}
+    assert all(r.first_word + r.n_words <= words[r.doc_id] for r in rows)
+
+
 def test_index_finds_all_within_the_radius():
     bags = [shingles(word_hashes(prose(i, 30))) for i in range(60)]
     items = Items(list(range(60)), bags)
