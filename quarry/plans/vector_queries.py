@@ -218,13 +218,15 @@ def v12_v13_cluster_grid(spark, sf_dir):
 
 
 @query("v11_merge_classes")
-def v11_merge_classes(spark, sf_dir):
-    """Average linkage over class centroids (k rows on the driver): (label, merged)."""
+def v11_merge_classes(spark, sf_dir, most=5000):
+    """Average linkage over class centroids (k rows on the driver; `most` is checked): (label, merged)."""
     import numpy as np
 
     from ..operators.cluster import average_linkage, tune_threshold
 
-    rows = _classes(spark, sf_dir).orderBy("c").limit(5000).collect()
+    rows = _classes(spark, sf_dir).orderBy("c").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} classes")
     m = np.array([r.centroid for r in rows])
     distance = np.maximum(1 - m @ m.T, 0)
     labels = average_linkage(distance, tune_threshold(distance))

@@ -124,3 +124,24 @@ def test_linkage():
     assert cluster.average_linkage(d, 0.2).tolist() == [0, 0, 1]
     assert cluster.merge_quality(d, np.array([0, 0, 0])) == -1
     assert cluster.tune_threshold(d) == pytest.approx(0.11, abs=0.02)
+
+
+def test_merge_of_too_many_classes(spark, tmp_path):
+    from quarry.plans.vector_queries import v11_merge_classes
+
+    e = spark.range(8).selectExpr("id AS vec_id", "cast(id AS int) AS label", "array(float(1), float(id)) AS embedding")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert v11_merge_classes(spark, str(tmp_path), 8).count() == 8
+    with pytest.raises(ValueError, match="more than 7 classes"):
+        v11_merge_classes(spark, str(tmp_path), 7)
+
+
+def test_merge_reads_beyond_the_most_classes(spark, tmp_path, monkeypatch):
+    from quarry.plans.vector_queries import v11_merge_classes
+
+    monkeypatch.setattr(cluster, "tune_threshold", lambda d: 0.0)
+    monkeypatch.setattr(cluster, "average_linkage", lambda d, t: np.zeros(len(d), dtype=int))  # 5,000 classes take minutes
+    e = spark.range(5001).selectExpr("id AS vec_id", "cast(id AS int) AS label", "array(float(1), float(id)) AS embedding")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(ValueError, match="more than 5000 classes"):
+        v11_merge_classes(spark, str(tmp_path))
