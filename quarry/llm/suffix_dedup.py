@@ -1,4 +1,4 @@
-"""Operator 10. Removal of repeated passages by suffix sorting, for shards larger than memory.
+"""Operator 10. Removal of repeated passages by suffix sorting of small shards, in memory.
 
 Each window of WINDOW bytes has an anchor: the k-mer in it with the least hash, leftmost among equals. Equal
 windows have equal anchors, so windows that belong together meet if texts are cut into runs of windows with one
@@ -8,13 +8,18 @@ anchor, and these are dealt out by the anchor's hash. The steps, all of them shu
    one document (a filter only: nothing else can hold a repeated window);
 2. for those, a split sends each distinct run (up to WINDOW + anchors' reach bytes) once, with its smallest
    document; larger ones of the same split are covered already;
-3. a bucket sorts the suffixes of its runs by external induced sorting (`induced`); neighbours whose common
+3. a bucket sorts the suffixes of its runs by induced sorting (`induced`); neighbours whose common
    prefix reaches WINDOW are one string, and its smallest document keeps it;
 4. a split marks the bytes of the windows to be removed and cuts them out.
 
 So nothing of the corpus is held in one place, copies are folded together before they are shuffled, and what is
 sorted are only runs that occur more than once in more than one form.
 
+Memory is bounded by cutting, not by disk: a bucket is cut into shards of SHARD_BYTES by anchor, and a large anchor
+by window hash. Text, ranks and order of a shard, and the runs of a whole bucket, are arrays in memory; the lanes of
+`induced` could go to disk, but do so only beyond 64 MB, which shards don't reach. The owners of one window hash are
+not cut, so a window that very many documents share is one shard, however large.
+
 Defined results: a null or empty text has no bytes; texts shorter than WINDOW lose nothing; only documents of a
 smaller id count, so rows that repeat an id keep what they share; an empty table gives an empty table; other
 columns of the input are not looked at. Removal is by bytes: a cut may fall inside a character.
