@@ -24,7 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
+    """Keeps the document with the smallest id of each group of near-duplicates, by op6's rule (3-word shingles,
+    3 of 64 bits): exact copies go, most copies with edits stay (figures in the README)."""
     groups = near_duplicates(docs)
     extra = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
