@@ -1,28 +1,30 @@
-"""Operator 10. Removal of repeated passages by suffix sorting of small shards, in memory.
+"""Operator 10. Removal of repeated passages by external induced sorting of suffixes.
 
 Each window of WINDOW bytes has an anchor: the k-mer in it with the least hash, leftmost among equals. Equal
 windows have equal anchors, so windows that belong together meet if texts are cut into runs of windows with one
-anchor, and these are dealt out by the anchor's hash. The steps, all of them shuffles of packed arrays:
-
-1. each split of texts reports the anchors it holds, and a bucket of anchors answers which occur in more than
-   one document (a filter only: nothing else can hold a repeated window);
-2. for those, a split sends each distinct run (up to WINDOW + anchors' reach bytes) once, with its smallest
-   document; larger ones of the same split are covered already;
-3. a bucket sorts the suffixes of its runs by induced sorting (`induced`); neighbours whose common
-   prefix reaches WINDOW are one string, and its smallest document keeps it;
+anchor, and these are dealt to shards by the anchor's hash, mixed again (least hashes alone crowd at the low end).
+The steps, all of them shuffles of packed arrays:
+
+1. each split of texts reports the anchors it holds, and a shard's bucket answers which occur in more than one
+   document (a filter only: nothing else can hold a repeated window) and which occur very often;
+2. a split sends each distinct run of those to its shard once, with the smallest id that holds it in this split;
+   what the split needs later to apply the answer travels past the shards;
+3. a shard folds equal runs, then sorts the suffixes of all its runs by external induced sorting (`induced`):
+   suffix tuples and their common-prefix values go through queues on disk, and neighbours whose common prefix
+   reaches WINDOW are one string, which its smallest document keeps;
 4. a split marks the bytes of the windows to be removed and cuts them out.
 
-So nothing of the corpus is held in one place, copies are folded together before they are shuffled, and what is
-sorted are only runs that occur more than once in more than one form.
-
-Memory is bounded by cutting, not by disk: a bucket is cut into shards of SHARD_BYTES by anchor, and a large anchor
-by window hash. Text, ranks and order of a shard, and the runs of a whole bucket, are arrays in memory; the lanes of
-`induced` could go to disk, but do so only beyond 64 MB, which shards don't reach. The owners of one window hash are
-not cut, so a window that very many documents share is one shard, however large.
-
-Defined results: a null or empty text has no bytes; texts shorter than WINDOW lose nothing; only documents of a
-smaller id count, so rows that repeat an id keep what they share; an empty table gives an empty table; other
-columns of the input are not looked at. Removal is by bytes: a cut may fall inside a character.
+Sizes. A split holds SPLIT_BYTES of text, and a shard the runs of about SHARD_BYTES of it, on average; of a
+sort no more than MEMORY bytes of queue and of each array stay in memory, so larger shards cost disk of the task, not
+memory. Nothing is sent for a pair of split and shard that have nothing in common, so there are never more rows than
+anchors. An anchor that occurs HOT_RUNS times or more (the edge of a line that a third of all documents share, say)
+would make one shard large: its runs are cut into single windows, dealt by the hash of the whole window, which equal
+windows share as well, to shards that sort them like any other.
+
+Defined results: a null or empty text has no bytes; texts shorter than WINDOW lose nothing, very long ones are
+read whole; only documents of a smaller id count, so rows that repeat an id keep what they share; a null id counts as
+greater than all others; an empty table gives an empty table; other columns of the input are not looked at. Removal
+is by bytes: a cut may fall inside a character.
 """
 
 from __future__ import annotations
@@ -35,15 +37,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .induced import repeated_windows
+from .induced import MEMORY, repeated_windows
 from .lm_scoring import bucket_bounds, pack, unpack
 
-WINDOW, KMER, SPLIT_BYTES, BLOCK = 50, 20, 6 << 20, 1 << 18
-#: Bytes of runs that are sorted together; about 100 bytes of memory each while they are.
-SHARD_BYTES = 512 << 10
+WINDOW, KMER, BLOCK = 50, 20, 1 << 15
+SPLIT_BYTES, SHARD_BYTES, HOT_RUNS = 12 << 20, 12 << 20, 1 << 16
+#: The id of rows without one.
+LAST = np.iinfo(np.int64).max
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = h ^ (h >> np.uint64(32))
+        h *= C[1]
+        h ^= h >> np.uint64(29)
+        return h
+
+
 def kmer_hashes(raw: np.ndarray) -> np.ndarray:
     """Hash of the KMER bytes at each place, by joining hashes of 1, 2, 4, 8, 16 and then 16 + 4 bytes."""
     with np.errstate(over="ignore"):
@@ -52,11 +63,13 @@ def kmer_hashes(raw: np.ndarray) -> np.ndarray:
         x4 = x2[:-2] * C[1] + x2[2:]
         x8 = x4[:-4] * C[2] + x4[4:]
         x16 = x8[:-8] * C[3] + x8[8:]
-        h = x16[:-4] * C[0] + x4[16:]
-        h ^= h >> np.uint64(32)
-        h *= C[1]
-        h ^= h >> np.uint64(29)
-    return h
+        return mixed(x16[:-4] * C[0] + x4[16:])
+
+
+def spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each of the ranges."""
+    lengths = lengths.astype(np.int64)
+    return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
 class Texts:
@@ -65,98 +78,115 @@ class Texts:
     def __init__(self, table: pa.Table) -> None:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.table = table
-        self.ids = table.column("doc_id").to_numpy()
+        self.ids = table.column("doc_id").fill_null(LAST).to_numpy().astype(np.int64)
         parts = [x.encode() for x in table.column("text").to_pylist()]
         self.data = b"".join(parts)
         self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
 
     def runs(self) -> None:
-        """start, windows, anchor (its hash) and row of each run."""
+        """start, windows, key (hash of the anchor) and row of each run."""
         raw = np.frombuffer(self.data, dtype=np.uint8)
-        starts, counts, anchors = [], [], []
         reach = WINDOW - KMER + 1  # k-mers of a window
-        low = np.uint64((1 << 20) - 1)
-        ends = np.append(self.ends, 0)
+        fits = np.ones(len(raw), dtype=bool)
+        for a, b in zip((self.ends - self.sizes).tolist(), self.ends.tolist()):
+            fits[max(a, b - WINDOW + 1) : b] = False
+        starts, counts, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        low = np.uint32((1 << 16) - 1)
+        numbers = np.arange(BLOCK + WINDOW, dtype=np.uint32)
         for at in range(0, max(len(raw) - WINDOW + 1, 0), BLOCK):
-            piece = raw[at : at + BLOCK + WINDOW - 1]
-            h = kmer_hashes(piece)
-            least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+            h = kmer_hashes(raw[at : at + BLOCK + WINDOW - 1])
+            least = ((h >> np.uint64(32)).astype(np.uint32) & ~low) | numbers[: len(h)]
             width = 1
             while 2 * width <= reach:
                 least = np.minimum(least[:-width], least[width:])
                 width *= 2
             if width < reach:
                 least = np.minimum(least[: len(least) - (reach - width)], least[reach - width :])
-            anchor = (least & low).astype(np.int64)
-            place = at + np.arange(len(anchor))
-            fits = place + WINDOW <= ends[np.searchsorted(self.ends, place, side="right")]
-            new = np.empty(len(anchor), dtype=bool)
-            new[0] = True
-            new[1:] = (anchor[1:] != anchor[:-1]) | (fits[1:] != fits[:-1])
-            head = np.nonzero(new)[0]
+            anchor = least & low
+            fit = fits[at : at + len(anchor)]
+            head = np.append(0, np.nonzero((anchor[1:] != anchor[:-1]) | (fit[1:] != fit[:-1]))[0] + 1)
             count = np.diff(np.append(head, len(anchor)))
-            keep = fits[head]
-            starts.append(head[keep] + at)
-            counts.append(count[keep])
-            anchors.append(h[anchor[head[keep]]])
-        none = np.zeros(0, dtype=np.int64)
-        self.start = np.concatenate(starts) if starts else none
-        self.windows = np.concatenate(counts) if counts else none
-        self.anchor = np.concatenate(anchors) if anchors else none.astype(np.uint64)
-        self.row = np.searchsorted(self.ends, self.start, side="right")
+            keep = fit[head]
+            head, count = head[keep], count[keep]
+            starts.append(head + at)
+            counts.append(count)
+            keys.append(h[anchor[head]])
+        self.start, self.windows = np.concatenate(starts), np.concatenate(counts)
+        with np.errstate(over="ignore"):
+            self.key = mixed(np.concatenate(keys) * C[2])
         # Two runs of one anchor can touch where texts meet; they then are in different rows.
+        self.row = np.searchsorted(self.ends, self.start, side="right")
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchors (shortened hashes) in order, whether more than one id has them, and each run's number."""
-        short = self.anchor >> np.uint64(16)
-        keys, at = np.unique(short, return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        heads = np.searchsorted(at[order], np.arange(len(keys)))
-        ids = self.ids[self.row[order]]
-        several = np.minimum.reduceat(ids, heads) < np.maximum.reduceat(ids, heads) if len(keys) else np.zeros(0, dtype=bool)
-        return keys, several, at
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shortened keys in order; of each 0 if one id has it alone, else the bits of the number of its runs; each run's number."""
+        short, at, runs = np.unique(self.key >> np.uint64(16), return_inverse=True, return_counts=True)
+        low, high = np.full(len(short), LAST), np.zeros(len(short), np.int64)
+        if len(at):
+            order = np.argsort(at, kind="stable")  # in order of the text, hence of the id
+            last = np.cumsum(runs) - 1
+            low, high = self.ids[self.row[order[last - runs + 1]]], self.ids[self.row[order[last]]]
+        several = low < high
+        return short, np.where(several, np.frexp(runs.astype(np.float64))[1], 0).astype("u1"), at
+
+    def single_windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all windows of some runs, and keys that tell whole windows apart."""
+        at = spans(self.start[chosen], self.windows[chosen])
+        raw, key = np.frombuffer(self.data, dtype=np.uint8), np.empty(len(at), np.uint64)
+        step = (WINDOW - KMER) // 2
+        with np.errstate(over="ignore"):
+            for a in range(0, len(at), BLOCK):
+                rows = raw[at[a : a + BLOCK, None] + np.arange(WINDOW)]
+                h = kmer_hashes(np.append(rows.ravel(), np.zeros(KMER, np.uint8)))
+                one = np.arange(len(rows)) * WINDOW
+                key[a : a + BLOCK] = mixed((h[one] * C[2] + h[one + step]) * C[3] + h[one + 2 * step])
+        return at, key
 
 
-def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return bucket_bounds(keys << np.uint64(16), buckets)
+def _blobs(a: str, x, b: str, y, data: list[bytes]) -> pa.Table:
+    return pa.table({a: pa.array(list(x), pa.int32()), b: pa.array(list(y), pa.int32()), "data": pa.array(data, pa.binary())})
 
 
 def _report(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         texts = Texts(table)
         texts.runs()
-        keys, several, _ = texts.distinct()
-        cuts = _bounds(keys, buckets)
-        data = [
-            pack((keys[a:b] >> np.uint64(16)).astype("<u4"), (keys[a:b] & np.uint64(0xFFFF)).astype("<u2"), np.packbits(several[a:b]))
-            for a, b in zip(cuts, cuts[1:])
-        ]
-        return _blobs("bucket", range(buckets), "split", [key[0].as_py()] * buckets, data)
+        keys, several, _ = texts.anchors()
+        cuts = bucket_bounds(keys << np.uint64(16), buckets)
+        full = np.nonzero(np.diff(cuts))[0].tolist()
+        data = []
+        for b in full:
+            own = keys[cuts[b] : cuts[b + 1]]
+            data.append(pack((own >> np.uint64(16)).astype("<u4"), (own & np.uint64(0xFFFF)).astype("<u2"), several[cuts[b] : cuts[b + 1]]))
+        return _blobs("bucket", full, "split", [key[0].as_py()] * len(full), data)
 
     return run
 
 
-def _blobs(a: str, x, b: str, y, data: list[bytes]) -> pa.Table:
-    return pa.table({a: pa.array(list(x), pa.int32()), b: pa.array(list(y), pa.int32()), "data": pa.array(data, pa.binary())})
+def _which_repeat(hot_runs: int):
+    """For each split's keys whether they are in several documents, and whether they are hot."""
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        keys, several = [], []
+        for x in table.column("data"):
+            high, low, bits = unpack(x.as_py(), "<u4", "<u2", "u1")
+            keys.append(high.astype(np.uint64) << np.uint64(16) | low)
+            several.append(bits)
+        _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        bits = np.concatenate(several)
+        # In two splits: of two rows, though they may repeat one id; no harm, as this is a filter.
+        repeated = (n > 1) | (np.bincount(at, weights=bits, minlength=len(n)) > 0)
+        runs = np.bincount(at, weights=np.where(bits, 0.75 * 2.0**bits, 1.0), minlength=len(n))
+        hot = repeated & (runs >= hot_runs)
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        replies = [pack(np.packbits(p), np.packbits(q), np.array([len(p)])) for p, q in zip(np.split(repeated[at], cuts), np.split(hot[at], cuts))]
+        return _blobs("split", table.column("split").to_pylist(), "bucket", [key[0].as_py()] * len(replies), replies)
 
-def _which_repeat(key: tuple, table: pa.Table) -> pa.Table:
-    keys, several = [], []
-    for x in table.column("data"):
-        high, low, bits = unpack(x.as_py(), "<u4", "<u2", "u1")
-        keys.append(high.astype(np.uint64) << np.uint64(16) | low)
-        several.append(np.unpackbits(bits, count=len(high)).astype(bool))
-    every = np.concatenate(keys)
-    _, at, n = np.unique(every, return_inverse=True, return_counts=True)
-    # In two splits: of two rows, though they may repeat one id; no harm, as this is a filter.
-    repeated = (n > 1)[at] | (np.bincount(at, weights=np.concatenate(several), minlength=len(n)) > 0)[at]
-    parts = np.split(repeated, np.cumsum([len(k) for k in keys])[:-1])
-    return _blobs("split", table.column("split").to_pylist(), "bucket", [key[0].as_py()] * len(parts), [pack(np.packbits(p), np.array([len(p)])) for p in parts])
+    return run
 
 
 def _send(buckets: int):
-    """The distinct runs of repeated anchors to their buckets; what the split itself can tell, to itself."""
+    """The distinct runs of repeated anchors to their shards, and where they are to the split itself."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -164,203 +194,145 @@ def _send(buckets: int):
         split = left.column("split")[0].as_py()
         texts = Texts(left)
         texts.runs()
-        keys, _, at = texts.distinct()
-        answers = []
+        keys, _, at = texts.anchors()
+        repeated, hot = [np.zeros(0, bool)], [np.zeros(0, bool)]
         for x in right.sort_by("bucket").column("data"):
-            bits, n = unpack(x.as_py(), "u1", "<i8")
-            answers.append(np.unpackbits(bits, count=int(n[0])).astype(bool))
-        chosen = np.nonzero(np.concatenate(answers)[at])[0] if len(keys) else at
-        start, windows, row = texts.start[chosen], texts.windows[chosen], texts.row[chosen]
-        length = windows + WINDOW - 1
-        view = texts.data
-        strings = pa.array([view[a:b] for a, b in zip(start.tolist(), (start + length).tolist())], pa.binary())
+            p, q, n = unpack(x.as_py(), "u1", "u1", "<i8")
+            repeated.append(np.unpackbits(p, count=int(n[0])).astype(bool))
+            hot.append(np.unpackbits(q, count=int(n[0])).astype(bool))
+        repeated, hot = np.concatenate(repeated), np.concatenate(hot)
+        if len(repeated) != len(keys):
+            raise ValueError("answers and anchors of a split differ")
+        whole, cut = np.nonzero((repeated & ~hot)[at])[0], np.nonzero(hot[at])[0]
+        single, single_key = texts.single_windows(cut)
+        start = np.concatenate((texts.start[whole], single))
+        windows = np.concatenate((texts.windows[whole], np.ones(len(single), np.int64)))
+        key = np.concatenate((texts.key[whole], single_key))
+        order = np.argsort(start, kind="stable") if len(single) else np.arange(len(start))
+        start, windows, key = start[order], windows[order], key[order]
+        data = texts.data
+        del keys, at, repeated, hot, whole, single, single_key
+        strings = pa.array([data[a:b] for a, b in zip(start.tolist(), (start + windows + WINDOW - 1).tolist())], pa.binary())
         coded = strings.dictionary_encode()
-        code = coded.indices.to_numpy()
-        count = len(coded.dictionary)
+        del strings
+        code, count = coded.indices.to_numpy(), len(coded.dictionary)
         # Runs are in order of id, so a string's first run has its smallest id.
-        first = np.full(count, -1, dtype=np.int64)
+        first = np.empty(count, dtype=np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        ids = texts.ids[row]
-        covered = ids > ids[first[code]]
-        out_data = [pack(row[covered].astype("<i4"), start[covered] - (texts.ends - texts.sizes)[row[covered]], length[covered].astype("<i4"))]
-        out_bucket = [buckets + split]
-        # The others are all places of the string in texts of its smallest id.
-        anchor = texts.anchor[chosen]
-        mine = np.nonzero(~covered)[0]
-        mine = mine[np.lexsort((mine, code[mine], anchor[mine]))]
-        cuts = bucket_bounds(anchor[mine], buckets)
-        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-            if lo == hi:
-                continue
-            part = mine[lo:hi]
-            new = np.append(True, code[part][1:] != code[part][:-1])
-            head = part[new]
-            data = b"".join(coded.dictionary.take(pa.array(code[head])).to_pylist())
-            out_data.append(
-                pack(
-                    np.frombuffer(data, np.uint8),
-                    length[head].astype("u1"),
-                    anchor[head],
-                    ids[head],
-                    np.diff(np.append(np.nonzero(new)[0], len(part))).astype("<i4"),
-                    row[part].astype("<i4"),
-                    start[part] - (texts.ends - texts.sizes)[row[part]],
-                )
-            )
+        ids = texts.ids[np.searchsorted(texts.ends, start, side="right")]
+        least = ids[first]
+        # Strings in order of their keys are cut into the shards' parts.
+        by_key = np.argsort(key[first], kind="stable")
+        number = np.empty(count, dtype=np.int64)
+        number[by_key] = np.arange(count)
+        chosen, width = coded.dictionary.take(pa.array(by_key)), windows[first][by_key].astype("u1")
+        cuts = bucket_bounds(key[first][by_key], buckets)
+        own = pack(np.diff(start, prepend=0).astype("<u4"), number[code].astype("<u4"), np.packbits(ids > least[code]), width)
+        out_data, out_bucket = [own], [buckets + split]
+        for b in np.nonzero(np.diff(cuts))[0].tolist():
+            lo, hi = cuts[b], cuts[b + 1]
+            joined = b"".join(chosen.slice(lo, hi - lo).to_pylist())
+            out_data.append(pack(np.frombuffer(joined, np.uint8), width[lo:hi], least[by_key[lo:hi]]))
             out_bucket.append(b)
         return _blobs("bucket", out_bucket, "split", [split] * len(out_data), out_data)
 
     return run
 
 
-def shard_flags(text: bytes, sizes: np.ndarray, owners: np.ndarray, most: int = SHARD_BYTES) -> np.ndarray:
-    """`repeated_windows`, for an anchor with very many runs in parts: equal windows have equal hashes, so the
-    windows whose hash occurs once drop out, and the others are sorted by ranges of their hashes."""
-    if len(text) <= 2 * most:
-        return repeated_windows(text, sizes, owners, WINDOW)
-    flags = np.zeros(len(text), dtype=bool)
-    ends = np.cumsum(sizes)
-    raw = np.frombuffer(text, dtype=np.uint8)
-    # The places where a window starts, and the windows' hashes, a block of text at a time: the three k-mers of a
-    # window that are looked at overlap, so they cover it.
-    counts = np.maximum(sizes - WINDOW + 1, 0)
-    at = np.repeat(ends - sizes - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-    step = (WINDOW - KMER) // 2
-    h = np.empty(len(at), dtype=np.uint64)
-    for place in range(0, len(raw), BLOCK):
-        lo, hi = np.searchsorted(at, [place, place + BLOCK])
-        if lo < hi:
-            k, i = kmer_hashes(raw[place : place + BLOCK + WINDOW]), at[lo:hi] - place
-            with np.errstate(over="ignore"):
-                h[lo:hi] = (k[i] * C[2] + k[i + step]) * C[3] + k[i + 2 * step]
-    order = np.argsort(h, kind="stable")
-    at, h = at[order], h[order]
-    owner = np.searchsorted(ends, at, side="right")
-    several = np.zeros(len(h), dtype=bool)
-    several[1:] = h[1:] == h[:-1]
-    several[:-1] |= several[1:]
-    at, h, owner = at[several], h[several], owner[several]
-    begin = 0
-    while begin < len(at):
-        stop = min(begin + most // WINDOW, len(at))
-        while stop < len(at) and h[stop] == h[stop - 1]:
-            stop += 1
-        take = at[begin:stop]
-        # Of windows with one hash and owner one is enough; all get its flag.
-        keys, place = np.unique(np.stack((h[begin:stop], owners[owner[begin:stop]].astype(np.uint64))), axis=1, return_inverse=True)
-        one = np.zeros(keys.shape[1], dtype=np.int64)
-        one[place[::-1]] = take[::-1]
-        same = np.array([text[x : x + WINDOW] == text[y : y + WINDOW] for x, y in zip(take.tolist(), one[place].tolist())])
-        if same.all():
-            chosen, back = one, place
-        else:  # a collision of hashes: every window for itself
-            chosen, back = take, np.arange(len(take))
-        whose = owners[np.searchsorted(ends, chosen, side="right")]
-        found = repeated_windows(b"".join(text[x : x + WINDOW] for x in chosen.tolist()), np.full(len(chosen), WINDOW), whose, WINDOW)
-        flags[take] = found[::WINDOW][back]
-        begin = stop
-    return flags
-
-
-def _sort(buckets: int):
-    """Spans to be removed (row, start in the row, length), for each split."""
+def _sort(buckets: int, memory: int):
+    """Of each string that a split sent, which windows a lesser document has: all, or a bit for each."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        if bucket >= buckets:
-            return _blobs("split", table.column("split").to_pylist(), "bucket", [bucket] * table.num_rows, table.column("data").to_pylist())
-        asked = [unpack(x.as_py(), "u1", "u1", "<u8", "<i8", "<i4", "<i4", "<i8") for x in table.column("data")]
-        sizes = [len(a[1]) for a in asked]
-        length = np.concatenate([a[1] for a in asked]).astype(np.int64)
-        anchor, ids = np.concatenate([a[2] for a in asked]), np.concatenate([a[3] for a in asked])
-        offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32 if length.sum() < 1 << 31 else np.int64)
-        kind = pa.binary() if offsets.dtype == np.int32 else pa.large_binary()
-        data = b"".join(a[0].tobytes() for a in asked)
-        strings = pa.Array.from_buffers(kind, len(length), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        bucket, splits = key[0].as_py(), table.column("split").to_pylist()
+        if bucket >= buckets:  # what a split sent itself
+            return _blobs("split", splits, "bucket", [bucket] * table.num_rows, table.column("data").to_pylist())
+        asked = [unpack(x.as_py(), "u1", "u1", "<i8") for x in table.column("data")]
+        counts = [len(a[1]) for a in asked]
+        length = np.concatenate([a[1] for a in asked]).astype(np.int64) + WINDOW - 1
+        ids = np.concatenate([a[2] for a in asked])
+        offsets = np.concatenate(([0], np.cumsum(length)))
+        data = b"".join([a[0] for a in asked])
+        del asked
+        strings = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = strings.dictionary_encode()
+        del strings, data
         code, count = coded.indices.to_numpy(), len(coded.dictionary)
-        least = np.full(count, np.iinfo(np.int64).max)
+        least = np.full(count, LAST)
         np.minimum.at(least, code, ids)
-        first = np.zeros(count, dtype=np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
-        # Strings whose anchor has another string as well: their suffixes are sorted.
-        own = anchor[first]
-        _, group, n = np.unique(own, return_inverse=True, return_counts=True)
-        sorted_ones = np.nonzero(n[group] > 1)[0]
-        sorted_ones = sorted_ones[np.argsort(group[sorted_ones], kind="stable")]
-        size = length[first[sorted_ones]]
-        flag_at = np.full(count, -1, dtype=np.int64)
-        flag_at[sorted_ones] = np.cumsum(size) - size
-        flags = np.zeros(int(size.sum()), dtype=bool)
-        # Shards end where an anchor does.
-        last = np.append(group[sorted_ones][1:] != group[sorted_ones][:-1], True) if len(sorted_ones) else []
-        begin = 0
-        ends = np.cumsum(size)
-        for i in np.nonzero(last)[0].tolist():
-            filled = int(ends[i] - (ends[begin - 1] if begin else 0))
-            if filled >= SHARD_BYTES or i + 1 == len(sorted_ones):
-                part = sorted_ones[begin : i + 1]
-                text = b"".join(coded.dictionary.take(pa.array(part)).to_pylist())
-                at = flag_at[part[0]]
-                flags[at : at + filled] = shard_flags(text, size[begin : i + 1], least[part])
-                begin = i + 1
-        splits, out, base = [], [], 0
-        for part, size, split in zip(asked, sizes, table.column("split").to_pylist(), strict=True):
-            here = slice(base, base + size)
-            base += size
-            c, long = code[here], length[here]
-            places = np.repeat(np.arange(size), part[4])  # of each place, its string
-            whole = part[3] > least[c]
-            w = whole[places]
-            rows, starts, lengths = [part[5][w]], [part[6][w]], [long[places[w]].astype("<i4")]
-            some = np.nonzero(~whole & (flag_at[c] >= 0))[0]
-            if len(some):
-                where = np.repeat(np.cumsum(part[4]) - part[4], 1)
-                for s in some.tolist():
-                    f = flags[flag_at[c[s]] : flag_at[c[s]] + long[s]]
-                    if not f.any():
-                        continue
-                    edge = np.diff(np.concatenate(([0], f.view(np.int8), [0])))
-                    begin, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-                    p = slice(where[s], where[s] + part[4][s])
-                    rows.append(np.repeat(part[5][p], len(begin)))
-                    starts.append((part[6][p][:, None] + begin).ravel())
-                    lengths.append(np.tile(end - begin + WINDOW - 1, part[4][s]).astype("<i4"))
-            out.append(pack(np.concatenate(rows).astype("<i4"), np.concatenate(starts).astype("<i8"), np.concatenate(lengths).astype("<i4")))
-            splits.append(split)
+        size = np.zeros(count, dtype=np.int64)
+        size[code] = length
+        distinct = b"".join(coded.dictionary.to_pylist())
+        del coded
+        flags = repeated_windows(distinct, size, least, WINDOW, memory)
+        del distinct
+        begin = np.cumsum(size) - size
+        some = np.add.reduceat(flags, begin, dtype=np.int64) > 0
+        out, base = [], 0
+        for n in counts:
+            c, mine = code[base : base + n], ids[base : base + n]
+            base += n
+            whole = mine > least[c]
+            part = np.nonzero(~whole & some[c])[0]
+            bits = flags[spans(begin[c[part]], size[c[part]] - WINDOW + 1)]
+            out.append(pack(np.packbits(whole), part.astype("<u4"), np.packbits(bits), np.array([n, len(bits)])))
         return _blobs("split", splits, "bucket", [bucket] * len(out), out)
 
     return run
 
 
-def _cut(digest: bool):
+def _cut(buckets: int, digest: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = Texts(left)
-        change = np.zeros(len(texts.data) + 1, dtype=np.int32)
-        base = texts.ends - texts.sizes
-        for x in right.column("data"):
-            row, start, length = unpack(x.as_py(), "<i4", "<i8", "<i4")
-            at = base[row] + start
-            np.add.at(change, at, 1)
-            np.add.at(change, at + length, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        right = right.sort_by("bucket")
+        blobs, owners = right.column("data"), right.column("bucket").to_pylist()
+        gone = np.zeros(len(texts.data), dtype=bool)
+        if owners:
+            if owners[-1] < buckets:
+                raise ValueError("a split's own places are missing")
+            step, number, covered, width = unpack(blobs[len(owners) - 1].as_py(), "<u4", "<u4", "u1", "u1")
+            start, covered = np.cumsum(step.astype(np.int64)), np.unpackbits(covered, count=len(number)).astype(bool)
+            width = width.astype(np.int64)
+            wholes, parts, bits, base = [np.zeros(0, bool)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], 0
+            for x in blobs[: len(owners) - 1]:
+                w, p, f, n = unpack(x.as_py(), "u1", "<u4", "u1", "<i8")
+                wholes.append(np.unpackbits(w, count=int(n[0])).astype(bool))
+                parts.append(p.astype(np.int64) + base)
+                bits.append(np.unpackbits(f, count=int(n[1])).astype(bool))
+                base += int(n[0])
+            if base != len(width):
+                raise ValueError("answers and strings of a split differ")
+            whole, part, bits = np.concatenate(wholes), np.concatenate(parts), np.concatenate(bits)
+            change = np.zeros(len(texts.data) + 1, dtype=np.int16)
+            every = covered | whole[number] if len(number) else covered
+            np.add.at(change, start[every], 1)
+            np.add.at(change, start[every] + width[number[every]] + WINDOW - 1, -1)
+            if len(part):
+                where = np.full(len(width), -1, dtype=np.int64)
+                where[part] = np.cumsum(width[part]) - width[part]
+                runs = np.nonzero(~every & (where[number] >= 0))[0]
+                size = width[number[runs]]
+                at = spans(start[runs], size)[bits[spans(where[number[runs]], size)]]
+                np.add.at(change, at, 1)
+                np.add.at(change, at + WINDOW, -1)
+            gone = np.cumsum(change[:-1], dtype=np.int16) > 0
+            del change
         raw = np.frombuffer(texts.data, dtype=np.uint8)
-        removed, spans, kept = [], [], []
-        for a, b in zip(base.tolist(), texts.ends.tolist()):
+        removed, found, kept = [], [], []
+        for a, b in zip((texts.ends - texts.sizes).tolist(), texts.ends.tolist()):
             g = gone[a:b]
-            n = int(g.sum())
+            n = int(np.count_nonzero(g))
             removed.append(n)
-            spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0)
+            found.append(int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if n else 0)
             rest = raw[a:b][~g].tobytes() if n else texts.data[a:b]
             kept.append(hashlib.sha256(rest).hexdigest() if digest else rest.decode("utf-8", "ignore"))
         if not digest:
             return pa.table({"row": texts.table.column("row"), "text": pa.array(kept, pa.string())})
         return pa.table(
             {
-                "doc_id": pa.array(texts.ids, pa.int64()),
+                "doc_id": texts.table.column("doc_id"),
                 "n_bytes": pa.array(texts.sizes, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
-                "n_spans": pa.array(spans, pa.int64()),
+                "n_spans": pa.array(found, pa.int64()),
                 "kept_sha256": pa.array(kept, pa.string()),
             }
         )
@@ -368,31 +340,38 @@ def _cut(digest: bool):
     return run
 
 
-def _passages(df: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFrame:
+def _passages(df: DataFrame, id_col: str, text_col: str, digest: bool, split_bytes: int, shard_bytes: int, hot_runs: int, memory: int) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     row = [] if digest else [F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")]
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *row)
     size = source.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SPLIT_BYTES))
-    dealt = source.withColumn("split", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splits, buckets = max(fewest, -(-size // split_bytes)), max(fewest, -(-size // shard_bytes))
+    # The place of a row counts as well, so that rows which repeat each other are dealt out too.
+    split = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(splits)).cast("int")
+    dealt = source.withColumn("split", split)
     to_bucket, to_split = "bucket int, split int, data binary", "split int, bucket int, data binary"
     texts = dealt.groupBy("split")
-    answers = texts.applyInArrow(_report(parts), to_bucket).groupBy("bucket").applyInArrow(_which_repeat, to_split)
-    sent = texts.cogroup(answers.groupBy("split")).applyInArrow(_send(parts), to_bucket)
-    spans = sent.groupBy("bucket").applyInArrow(_sort(parts), to_split)
+    answers = texts.applyInArrow(_report(buckets), to_bucket).groupBy("bucket").applyInArrow(_which_repeat(hot_runs), to_split)
+    sent = texts.cogroup(answers.groupBy("split")).applyInArrow(_send(buckets), to_bucket)
+    replies = sent.groupBy("bucket").applyInArrow(_sort(buckets, memory), to_split)
     if digest:
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     else:
         schema = StructType([source.schema["row"], StructField("text", StringType())])
-    return texts.cogroup(spans.groupBy("split")).applyInArrow(_cut(digest), schema)
+    return texts.cogroup(replies.groupBy("split")).applyInArrow(_cut(buckets, digest), schema)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", split_bytes: int = SPLIT_BYTES, shard_bytes: int = SHARD_BYTES, hot_runs: int = HOT_RUNS, memory: int = MEMORY
+) -> DataFrame:
     """The rows of `df` with their remaining text; what a cut leaves of a split character is dropped."""
-    cut = _passages(df, id_col, text_col, False)
+    cut = _passages(df, id_col, text_col, False, split_bytes, shard_bytes, hot_runs, memory)
     return cut.select(*(F.col("text").alias(text_col) if c == text_col else F.col(f"row.`{c}`") for c in df.columns))
 
 
-def repeat_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeat_digest(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", split_bytes: int = SPLIT_BYTES, shard_bytes: int = SHARD_BYTES, hot_runs: int = HOT_RUNS, memory: int = MEMORY
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) for each row."""
-    return _passages(df, id_col, text_col, True)
+    return _passages(df, id_col, text_col, True, split_bytes, shard_bytes, hot_runs, memory)

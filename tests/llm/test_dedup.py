@@ -7,31 +7,47 @@ from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
 from quarry.llm.components import components
-from quarry.llm.induced import Lanes, repeated_windows, suffix_order
+from quarry.llm import induced
+from quarry.llm.induced import Figures, Lanes, Text, repeated_windows, sorted_suffixes
 from quarry.llm.simhash_dedup import fingerprint, links, near_duplicates, small_tile_links, tile_links
-from quarry.llm.suffix_dedup import remove_repeats, repeat_digest, shard_flags
+from quarry.llm.suffix_dedup import remove_repeats, repeat_digest
 
 
-@given(st.lists(st.integers(1, 3), max_size=80), st.integers(8, 4096))
+@given(st.lists(st.integers(1, 3), max_size=80), st.sampled_from([0, 40, 4096]), st.sampled_from([1, 4, 8192]), st.sampled_from([1, 2, 5, 200]))
 @settings(max_examples=200, deadline=None)
-def test_suffix_order(symbols, memory):
-    text = np.array([*symbols, 0], dtype=np.int16)
-    expected = sorted(range(len(text)), key=lambda i: text[i:].tolist())
-    assert suffix_order(text, 1000, memory).tolist() == expected
+def test_suffixes_and_common_prefixes(symbols, memory, lane, depth):
+    symbols = [*symbols, 0]
+    text = Text(len(symbols), 300, memory)
+    text.coded[: len(symbols)] = symbols
+    text.set_types()
+    before, induced.LANE = induced.LANE, lane
+    try:
+        parts = list(sorted_suffixes(text, depth)) if len(symbols) > 1 else [([0], [0])]
+    finally:
+        induced.LANE = before
+    order = [int(x) for p, _ in parts for x in p][::-1]
+    shared = [int(x) for _, c in parts for x in c]
+    head = lambda i: symbols[i : i + depth]
+    assert sorted(order) == list(range(len(symbols)))
+    assert all(head(a) <= head(b) for a, b in zip(order, order[1:]))
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(head(a), head(b))) if x != y), min(len(head(a)), len(head(b))))
+    assert shared[1:] == [common(a, b) for a, b in zip(order[::-1], order[::-1][1:])]
 
 
 def test_lanes_come_back_in_order_of_arrival():
     lanes = Lanes(3, 16)
     for k in range(5):
-        lanes.push(np.array([k, k + 10, k + 20]), np.array([1, 2, 1]))
-    assert lanes.take(1).tolist() == [x for k in range(5) for x in (k, k + 20)]
-    assert lanes.take(2).tolist() == [10, 11, 12, 13, 14] and lanes.take(1).tolist() == []
+        lanes.push(1, np.array([k, k + 20], np.int32), np.array([k, 9], np.uint8))
+        lanes.push(2, np.array([k + 10], np.int32), np.array([1], np.uint8))
+    position, common = lanes.take(1)
+    assert position.tolist() == [x for k in range(5) for x in (k, k + 20)] and common.tolist() == [x for k in range(5) for x in (k, 9)]
+    assert lanes.take(2)[0].tolist() == [10, 11, 12, 13, 14] and lanes.take(1)[0].tolist() == [] and lanes.spilled > 0
     lanes.close()
 
 
-@given(st.lists(st.tuples(st.binary(min_size=1, max_size=40), st.integers(0, 3)), max_size=12))
+@given(st.lists(st.tuples(st.binary(min_size=1, max_size=40), st.integers(0, 3)), max_size=12), st.sampled_from([0, 64, 1 << 22]))
 @settings(max_examples=150, deadline=None)
-def test_repeated_windows(rows):
+def test_repeated_windows(rows, memory):
     rows = [(bytes(b % 3 for b in s), o) for s, o in rows]
     w = 8
     least = {}
@@ -39,18 +55,23 @@ def test_repeated_windows(rows):
         for i in range(len(s) - w + 1):
             least[s[i : i + w]] = min(o, least.get(s[i : i + w], o))
     expected = [i + w <= len(s) and least[s[i : i + w]] < o for s, o in rows for i in range(len(s))]
-    got = repeated_windows(b"".join(s for s, _ in rows), np.array([len(s) for s, _ in rows], dtype=np.int64), np.array([o for _, o in rows]), w)
+    got = repeated_windows(b"".join(s for s, _ in rows), np.array([len(s) for s, _ in rows], dtype=np.int64), np.array([o for _, o in rows]), w, memory)
     assert got.tolist() == expected
 
 
-def test_large_shards_are_parted():
+def test_large_shards_go_to_disk_and_recurse():
     draw = np.random.default_rng(4)
-    base = draw.integers(97, 100, 120, dtype=np.uint8).tobytes()
-    rows = [(base[int(a) : int(a) + 70], int(o)) for a, o in zip(draw.integers(0, 50, 120), draw.integers(0, 9, 120))]
-    rows += [(draw.integers(97, 123, 60, dtype=np.uint8).tobytes(), 1) for _ in range(20)]
+    base = draw.integers(97, 100, 3000, dtype=np.uint8).tobytes()
+    rows = [(base[int(a) : int(a) + 75], int(o)) for a, o in zip(draw.integers(0, 2900, 4000), draw.integers(0, 9, 4000))]
     text, sizes, owners = b"".join(s for s, _ in rows), np.array([len(s) for s, _ in rows]), np.array([o for _, o in rows])
-    whole = repeated_windows(text, sizes, owners, 50)
-    assert whole.any() and (shard_flags(text, sizes, owners, most=600) == whole).all()
+    figures, memory = Figures(), 16 << 10  # a twentieth of the text, which alone has 300 KB
+    found = repeated_windows(text, sizes, owners, 50, memory, figures)
+    least = {}
+    for s, o in rows:
+        for i in range(26):
+            least[s[i : i + 50]] = min(o, least.get(s[i : i + 50], o))
+    assert found.tolist() == [i < 26 and least[s[i : i + 50]] < o for s, o in rows for i in range(75)]
+    assert figures.spilled > 4 * len(text) and figures.levels > 2
 
 
 def cut_brute(rows, window=50):
@@ -86,6 +107,20 @@ def test_suffix_dedup(spark):
     assert whole.columns == df.columns
     assert sorted((r.doc_id, r.text, r.source, r.split) for r in whole.collect()) == sorted((e[0], e[5], f"s{e[0]}", 1) for e in expected)
     assert repeat_digest(df.limit(0)).count() == 0
+    # The same with small splits and shards, hot anchors, and queues on disk.
+    for hot in (2, 8):
+        small = repeat_digest(df, split_bytes=700, shard_bytes=300, hot_runs=hot, memory=100)
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in small.collect()) == got
+
+
+def test_suffix_dedup_of_null_ids_and_very_long_texts(spark):
+    draw = np.random.default_rng(5)
+    long = "".join(draw.choice(list("abcdef ghi"), 400_000))
+    rows = [(None, long[100:400]), (7, long), (None, long[100:400]), (3, long[200_000:200_100]), (None, "own " * 30)]
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, row int")
+    got = sorted(((r.doc_id is None, r.doc_id, r.n_bytes, r.n_removed) for r in repeat_digest(df).collect()), key=repr)
+    assert got == sorted([(False, 3, 100, 0), (False, 7, 400_000, 100), (True, None, 300, 300), (True, None, 300, 300), (True, None, 120, 0)], key=repr)
+    assert sorted(len(r.text) for r in remove_repeats(df).select("text", "row").collect()) == [0, 0, 100, 120, 399_900]
 
 
 def test_fingerprint():
