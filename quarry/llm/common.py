@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +75,28 @@ def map_texts(
     return source.mapInArrow(run, f"doc_id long, {schema}")
 
 
-def local_folder() -> str:
-    """A folder of this process for scratch files; the caller removes what it wrote."""
-    return tempfile.gettempdir() or os.getcwd()
+def pack(*arrays: np.ndarray) -> bytes:
+    return b"".join([np.array([len(a) for a in arrays], dtype="<i8").tobytes(), *(a.tobytes() for a in arrays)])
+
+
+def unpack(data: bytes, *types: str) -> list[np.ndarray]:
+    sizes, at, out = np.frombuffer(data, "<i8", len(types)), 8 * len(types), []
+    for n, t in zip(sizes.tolist(), types, strict=True):
+        out.append(np.frombuffer(data, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out
+
+
+def planes(a: np.ndarray) -> np.ndarray:
+    """Numbers by bytes of the same weight; the upper ones, mostly zero, then compress well."""
+    return np.ascontiguousarray(a.astype("<u8").view("u1").reshape(-1, 8).T).ravel()
+
+
+def from_planes(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(8, -1).T).view("<u8").ravel()
+
+
+def bucket_bounds(ordered: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's range of hashes starts in an ordered array; one more for the end."""
+    edges = [(b << 64) // buckets for b in range(1, buckets)]
+    return np.concatenate(([0], np.searchsorted(ordered, np.array(edges, dtype=np.uint64)), [len(ordered)])).astype(int)

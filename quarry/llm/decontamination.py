@@ -28,9 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import text_pieces
-from .lm_scoring import Hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 the two bags' cosine is about 0.89, so about 10 of 64 bits differ, with a deviation of 3.
@@ -38,6 +38,17 @@ RADIUS, BLOCKS = 22, 8
 ITEM_BYTES = 16 << 20
 FILTER_BITS = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
+MEMO_ENTRIES = 250_000
+
+
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word)
+        return h
+
+
 _hashes = Hashes()
 
 

@@ -29,8 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, text_pieces
-from .lm_scoring import pack, unpack
+from .common import ensure_checkpoint_dir, pack, text_pieces, unpack
 
 #: The longest n-gram; bytes of training text for each bucket, on average; letters of text in a chunk.
 LONGEST, BUCKET_BYTES, CHUNK_LETTERS = 5, 64 << 20, 16 << 20

@@ -1,22 +1,32 @@
 """Operator 9. Language-model scoring with a weighted backoff automaton.
 
-The states are the histories (a word, or the start of a text) and the root. A bigram that was seen is an arc
-with its smoothed log-probability; every history has a failure arc to the root, with its backoff weight; the
-root has an arc for every word (add-one, with mass for unknown words). A text is walked from left to right
-once: at each token the state's arc is taken, or else its failure arc and the root's arc, the weights add up,
-and the token becomes the next state. Smoothing is Dirichlet: p(w|h) = (c(hw) + MU p(w)) / (c(h) + MU), so the
-failure weight MU / (c(h) + MU) makes each state's probabilities sum to 1.
+The model is an n-gram model of order three, smoothed by Dirichlet priors:
+p(w|h) = (c(hw) + MU p(w|h')) / (c(h) + MU), where h' is h without its first word, down to the add-one
+distribution over words (with mass for unknown ones). As an automaton:
+
+- states are the histories of the training texts: pairs of tokens, single tokens, and the root without history;
+- an arc leads from a history over a token that followed it, with the smoothed log-probability, to the longest
+  history that ends there; the root has an arc for every token;
+- each history but the root has a failure arc to the history without its first token, with log10 of
+  MU / (c(h) + MU), so that the probabilities of a state sum to one.
+
+A text is walked from left to right once. The walk carries its state: at each token it follows failure arcs,
+adding their weights, until the state has an arc for the token, adds its weight and goes to its target. All texts of
+a split take a step together; long ones are walked in pieces of PIECE tokens, each of which starts with two tokens
+ahead, whose weights don't count, and is then in the same state as the whole walk, as no state is longer.
 
 Nothing of the model is collected or broadcast. Texts are dealt into splits; a split asks the buckets of hashed
-n-grams for the counts of the n-grams that it holds, with its own training counts, and each bucket answers with
-the sums over all splits. So a split gets the whole model restricted to its own arcs, and the data moved grows
-with the corpus, however large its vocabulary. Requests and answers are packed arrays, ordered by hash.
+histories for the counts of the histories and successors that it holds, with its own training counts, and each bucket
+answers with the sums over all splits. So a split gets the whole model restricted to its own states and arcs, and the
+data moved grows with the corpus, however large its vocabulary. Requests and answers are packed arrays; a
+split and a bucket without a common history exchange nothing, so there are never more rows than histories.
 
-Words are known by 64-bit hashes (XXH64 of their bytes); two of a billion words collide with odds of 1 in 40.
+Words are known by 64-bit hashes (XXH64 of their bytes), histories of two by 56 bits of a mixture, and the words
+behind such a history by 32 bits.
 
-Defined results: a null or empty text is its end token alone; repeated rows count and score each; an empty
-table gives an empty table; if no row is for training, N and V are 0 and each token has probability 1; other
-columns of the input are not looked at.
+Defined results: a null or empty text is its end token alone; very long texts are scored whole; repeated rows count
+and score each, equal texts (ties) have equal scores; a null id is kept; an empty table gives an empty table; if no row
+is for training, N and V are 0 and each token has probability 1; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -27,23 +37,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-#: Weight of the root's distribution in each state; bytes of text that a split holds, on average.
-MU, SPLIT_BYTES = 8.0, 24 << 20
-MEMO_ENTRIES = 250_000
+from .common import bucket_bounds, from_planes, pack, planes, unpack
+
+#: Weight of the lower order in each state; bytes of text that a split holds, and that a bucket serves, on average.
+MU, SPLIT_BYTES, BUCKET_BYTES = 8.0, 12 << 20, 12 << 20
+#: Tokens that one walk takes at most.
+PIECE = 1024
 #: Not words: a text's end (a token), and its start (a history).
 END, START = b" ", b"  "
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word)
-        return h
-
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
 
-_hashes = Hashes()
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def tokens(text: str) -> list[bytes]:
@@ -51,142 +61,246 @@ def tokens(text: str) -> list[bytes]:
 
 
 class Split:
-    """The tokens of some texts: distinct words and bigrams in order of their hashes, and where they occur."""
+    """The tokens of some texts, numbered, and their distinct pairs and triples with the places where they occur.
+
+    A pair is a token and the one before it (or the start); a triple is a pair and the next token, or PAD behind
+    the end. `pairs` are `before * words + word`, `triples` are `pair's number * (words + 1) + next`."""
 
     def __init__(self, texts: list[str], training: np.ndarray) -> None:
-        hashes, lengths = [], []
+        numbers = Numbers({END: 0, START: 1})
+        parts, lengths = [], []
         for text in texts:
             words = tokens(text)
-            hashes.append(np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
+            parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
             lengths.append(len(words))
+        self.end, self.start = 0, 1
         self.lengths = np.array(lengths, dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)
-        every = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-        del hashes
-        start = np.uint64(_hashes[START])
-        self.words, self.word_at = np.unique(np.concatenate((every, [start, np.uint64(_hashes[END])])), return_inverse=True)
-        self.word_at = self.word_at[:-2].astype(np.int32)
-        self.start = int(np.searchsorted(self.words, start))
-        self.end = int(np.searchsorted(self.words, np.uint64(_hashes[END])))
-        self.before = np.empty_like(self.word_at)
-        self.before[1:] = self.word_at[:-1]
-        self.before[self.starts] = self.start
-        with np.errstate(over="ignore"):
-            pair = (self.words[self.before] * MIX) ^ (every + (every << np.uint64(7)))
-            pair ^= pair >> np.uint64(29)
-            pair *= MIX
-        del every
-        self.pairs, self.pair_at = np.unique(pair, return_inverse=True)
-        self.pair_at = self.pair_at.astype(np.int32)
+        self.word = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+        del parts
+        self.words = len(numbers)
+        self.hashes = np.fromiter(map(xxh64_intdigest, numbers), dtype=np.uint64, count=self.words)
+        del numbers
         self.training = np.repeat(training, self.lengths)
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of the words and the bigrams, in the texts for training."""
-        words = np.bincount(self.word_at[self.training], minlength=len(self.words))
-        return words, np.bincount(self.pair_at[self.training], minlength=len(self.pairs))
-
-
-def bucket_bounds(ordered: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of hashes starts in an ordered array; one more for the end."""
-    edges = [(b << 64) // buckets for b in range(1, buckets)]
-    return np.concatenate(([0], np.searchsorted(ordered, np.array(edges, dtype=np.uint64)), [len(ordered)])).astype(int)
+        before = np.empty_like(self.word)
+        before[1:] = self.word[:-1]
+        before[self.starts] = self.start
+        self.pairs, self.pair_at = np.unique(before * np.int64(self.words) + self.word, return_inverse=True)
+        del before
+        self.pair_at = self.pair_at.astype(np.int32)
+        after = np.empty_like(self.word)
+        after[:-1] = self.word[1:]
+        after[self.starts + self.lengths - 1] = self.words  # PAD
+        self.triples, triple_at = np.unique(self.pair_at * np.int64(self.words + 1) + after, return_inverse=True)
+        self.triple_counts = np.bincount(triple_at[self.training], minlength=len(self.triples))
+        #: The pair's number behind each triple's first token; that of the end is of no use.
+        last = np.zeros(len(self.triples), dtype=np.int64)
+        last[triple_at] = np.arange(len(triple_at))
+        self.next_pair = self.pair_at[np.minimum(last + 1, max(len(self.pair_at) - 1, 0))] if len(last) else self.pair_at
+        del last, triple_at
+        self.triple_pair = (self.triples // (self.words + 1)).astype(np.int32)
+        self.triple_word = (self.triples % (self.words + 1)).astype(np.int32)
+
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.word[self.training], minlength=self.words)
+
+    def order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The order in which words, pairs and triples are asked for (by hash), and the pairs' hashes in it."""
+        with np.errstate(over="ignore"):
+            h = (self.hashes[self.pairs // self.words] * MIX) ^ (self.hashes[self.pairs % self.words] << np.uint64(7)) + self.hashes[self.pairs % self.words]
+            h ^= h >> np.uint64(29)
+            h *= MIX
+            h ^= h >> np.uint64(32)
+        h &= ~np.uint64(0xFF)
+        by_hash = np.argsort(h, kind="stable")
+        rank = np.empty(len(h), dtype=np.int32)
+        rank[by_hash] = np.arange(len(h), dtype=np.int32)
+        return np.argsort(self.hashes, kind="stable"), by_hash, np.argsort(rank[self.triple_pair], kind="stable"), h[by_hash]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], dtype="<i8").tobytes(), *(a.tobytes() for a in arrays)])
+def steps(ordered: np.ndarray) -> np.ndarray:
+    """Differences of 56-bit hashes in order."""
+    return planes(np.diff(ordered >> np.uint64(8), prepend=np.uint64(0)))
 
 
-def unpack(data: bytes, *types: str) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(data, "<i8", len(types)), 8 * len(types), []
-    for n, t in zip(sizes.tolist(), types, strict=True):
-        out.append(np.frombuffer(data, t, n, at))
-        at += n * np.dtype(t).itemsize
-    return out
+def _requests(buckets: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        split = _split(table)
+        by_word, by_pair, by_triple, pair_hashes = split.order()
+        word_hashes, word_counts = split.hashes[by_word], split.word_counts()[by_word]
+        codes = np.append(split.hashes >> np.uint64(32), np.uint64(0)).astype("<u4")[split.triple_word[by_triple]]
+        counts = split.triple_counts[by_triple]
+        successors = np.bincount(split.triple_pair, minlength=len(by_pair))[by_pair]
+        until = np.concatenate(([0], np.cumsum(successors)))
+        cut_w, cut_p = bucket_bounds(word_hashes, buckets), bucket_bounds(pair_hashes, buckets)
+        full = np.nonzero(np.diff(cut_w) + np.diff(cut_p))[0].tolist()
+        data = []
+        for k in full:
+            w, p = slice(cut_w[k], cut_w[k + 1]), slice(cut_p[k], cut_p[k + 1])
+            t = slice(until[p.start], until[p.stop])
+            data.append(pack(word_hashes[w], planes(word_counts[w]), steps(pair_hashes[p]), planes(successors[p]), codes[t], planes(counts[t])))
+        return pa.table({"bucket": pa.array(full, pa.int32()), "split": pa.array([key[0].as_py()] * len(full), pa.int32()), "data": pa.array(data, pa.binary())})
 
+    return run
 
-class Automaton:
-    """The model's states and arcs that a split can reach; numbers of words and bigrams are the split's."""
 
-    def __init__(self, split: Split, words: np.ndarray, pairs: np.ndarray, n: int, v: int, mu: float = MU) -> None:
-        history = words.astype(np.float64)
-        history[split.start] = words[split.end]  # as many starts as ends
-        self.root = np.log10((words + 1) / (n + v + 1))
-        self.failure = np.log10(mu / (history + mu))
-        at = np.zeros(len(pairs), dtype=np.int64)
-        at[split.pair_at] = np.arange(len(split.pair_at))  # one place of each bigram
-        h, w = split.before[at], split.word_at[at]
-        smooth = (pairs + mu * 10 ** self.root[w]) / (history[h] + mu) if len(pairs) else np.zeros(0)
-        self.arc = np.where(pairs > 0, np.log10(np.maximum(smooth, 1e-300)), np.nan)
+def _split(table: pa.Table) -> Split:
+    return Split(table.column("text").to_pylist(), table.column("training").to_numpy(zero_copy_only=False).astype(bool))
 
-    def walk(self, state: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Weight of each step of the left-to-right walk: from a state over a word. After a token the state is
-        that token, whichever arc was taken, so the steps of all texts of a split are looked up together."""
-        arc = self.arc[pair]
-        return np.where(np.isnan(arc), self.failure[state] + self.root[word], arc)
 
+def _in_order(table: pa.Table) -> pa.Table:
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("training", "ascending")])
 
-def _requests(buckets: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        split = Split(table.column("text").to_pylist(), table.column("training").to_numpy(zero_copy_only=False).astype(bool))
-        words, pairs = split.counts()
-        cut_w, cut_p = bucket_bounds(split.words, buckets), bucket_bounds(split.pairs, buckets)
-        small = lambda c: c.astype("<u4")
-        data = [
-            pack(split.words[a:b], small(words[a:b]), split.pairs[c:d], small(pairs[c:d]))
-            for a, b, c, d in zip(cut_w, cut_w[1:], cut_p, cut_p[1:])
-        ]
-        return pa.table(
-            {
-                "bucket": pa.array(range(buckets), pa.int32()),
-                "split": pa.array([key[0].as_py()] * buckets, pa.int32()),
-                "data": pa.array(data, pa.binary()),
-            }
-        )
 
-    return run
+def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sums by key over all parts, for each part in its order, and once."""
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+    return [total[x] for x in np.split(at, np.cumsum([len(k) for k in keys])[:-1])], total
 
 
 def _answers(key: tuple, table: pa.Table) -> pa.Table:
     """Sums over all splits of a bucket, for each split in the order of its request."""
-    asked = [unpack(x.as_py(), "<u8", "<u4", "<u8", "<u4") for x in table.column("data")]
-
-    def sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype("<i8")
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        return [total[x] for x in np.split(at, cuts)], total
-
-    words, total = sums([a[0] for a in asked], [a[1] for a in asked])
-    pairs, _ = sums([a[2] for a in asked], [a[3] for a in asked])
+    words, word_counts, pairs, successors, codes, counts = [], [], [], [], [], []
+    for x in table.column("data"):
+        w, n, p, s, c, m = unpack(x.as_py(), "<u8", "u1", "u1", "u1", "<u4", "u1")
+        words.append(w)
+        word_counts.append(from_planes(n).astype(np.float64))
+        pairs.append(np.cumsum(from_planes(p), dtype=np.uint64))
+        successors.append(from_planes(s).astype(np.int64))
+        codes.append(c)
+        counts.append(from_planes(m).astype(np.float64))
+    of_word, total = _totals(words, word_counts)
+    del words, word_counts
+    distinct, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    sizes = [len(p) for p in pairs]
+    del pairs
+    # A triple's key: its pair's number in the bucket and its code.
+    owner = np.repeat(at, np.concatenate(successors))
+    of_pair = np.bincount(owner, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)[at]
+    of_pair = np.split(of_pair, np.cumsum(sizes)[:-1])
+    keys = (owner.astype(np.uint64) << np.uint64(32)) | np.concatenate(codes)
+    del owner, distinct, at
+    of_triple, _ = _totals(np.split(keys, np.cumsum([len(c) for c in codes])[:-1]), counts)
     figures = np.array([total.sum(), (total > 0).sum()], dtype="<i8")
-    narrow = lambda c: c.astype("<u4") if not len(c) or c.max() < 1 << 32 else c
-    data = [pack(figures, (w := narrow(a)).view("u1"), (p := narrow(b)).view("u1"), np.array([w.itemsize, p.itemsize], "u1")) for a, b in zip(words, pairs)]
+    data = [pack(figures, planes(a), planes(b), planes(c)) for a, b, c in zip(of_word, of_pair, of_triple)]
     n = len(data)
     return pa.table({"split": table.column("split"), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
+class Automaton:
+    """States, arcs and failure arcs that a split's texts can reach. States: 0 is the root, then the words, then
+    the pairs. Arcs lie in order of (state, word), by level of the state."""
+
+    def __init__(self, split: Split, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, n: int, v: int, mu: float = MU) -> None:
+        self.words = split.words
+        first, last = split.pairs // split.words, (split.pairs % split.words).astype(np.int32)
+        history = words.astype(np.float64)
+        history[split.start] = words[split.end]  # as many starts as ends
+        root = (words + 1) / (n + v + 1)
+        pair = (pairs + mu * root[last]) / (history[first] + mu)
+        inner = split.triple_word < split.words
+        triple_pair, triple_word, next_pair = split.triple_pair[inner], split.triple_word[inner], split.next_pair[inner]
+        triples = triples[inner]
+        triple = (triples + mu * pair[next_pair]) / (pairs[triple_pair] + mu)
+        self.first_pair = 1 + split.words
+        # Failure arcs, by state: weight and target.
+        self.failure = np.concatenate(([0.0], np.log10(mu / (history + mu)), np.log10(mu / (pairs + mu))))
+        self.shorter = np.concatenate((np.zeros(1 + split.words, np.int32), 1 + last))
+        # Targets: the longest history that ends with the arc.
+        to_word = np.where(words > 0, 1 + np.arange(split.words), 0).astype(np.int32)
+        to_word[split.end] = 0
+        self.root_weight, self.root_target = np.log10(root), to_word
+        seen = pairs > 0
+        self.pair_key, self.pair_weight = split.pairs[seen], np.log10(pair[seen])
+        self.pair_target = (self.first_pair + np.nonzero(seen)[0]).astype(np.int32)
+        seen = triples > 0
+        self.triple_key = triple_pair[seen] * np.int64(split.words) + triple_word[seen]
+        self.triple_weight, self.triple_target = np.log10(triple[seen]), (self.first_pair + next_pair[seen]).astype(np.int32)
+        self.start = 1 + split.start if history[split.start] > 0 else 0
+
+    @staticmethod
+    def _arc(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the asked arcs there are, and where."""
+        if not len(keys):
+            return np.zeros(len(asked), bool), np.zeros(len(asked), np.int64)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return keys[at] == asked, at
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One token of each walk: the weights on its way, and the states reached."""
+        weight, target = np.zeros(len(state)), np.zeros(len(state), dtype=np.int32)
+        left = np.nonzero(state >= self.first_pair)[0]
+        state = state.copy()
+        if len(left):
+            found, at = self._arc(self.triple_key, (state[left] - self.first_pair) * np.int64(self.words) + word[left])
+            hit, miss = left[found], left[~found]
+            weight[hit], target[hit] = self.triple_weight[at[found]], self.triple_target[at[found]]
+            weight[miss] += self.failure[state[miss]]
+            state[miss] = self.shorter[state[miss]]
+            state[hit] = -1
+        left = np.nonzero(state > 0)[0]
+        if len(left):
+            found, at = self._arc(self.pair_key, (state[left] - 1) * np.int64(self.words) + word[left])
+            hit, miss = left[found], left[~found]
+            weight[hit] += self.pair_weight[at[found]]
+            target[hit] = self.pair_target[at[found]]
+            weight[miss] += self.failure[state[miss]]
+            state[miss] = 0
+        left = np.nonzero(state == 0)[0]
+        weight[left] += self.root_weight[word[left]]
+        target[left] = self.root_target[word[left]]
+        return weight, target
+
+    def walk(self, split: Split, piece: int = PIECE) -> np.ndarray:
+        """The weight of each text."""
+        pieces = -(-split.lengths // piece)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        offset = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * piece
+        size = np.minimum(split.lengths[text] - offset, piece)
+        ahead = np.minimum(offset, 2)
+        order = np.argsort(-(size + ahead), kind="stable")
+        text, offset, size, ahead = text[order], offset[order], size[order], ahead[order]
+        at = split.starts[text] + offset - ahead
+        total, long = np.zeros(len(text)), size + ahead
+        state = np.where(offset == 0, self.start, 0).astype(np.int32)
+        active = len(text)
+        for k in range(int(long[0]) if len(long) else 0):
+            active = int(np.searchsorted(-long, -k, side="left")) if long[active - 1] <= k else active
+            weight, reached = self.step(state[:active], split.word[at[:active] + k])
+            total[:active] += np.where(ahead[:active] <= k, weight, 0.0)
+            state[:active] = reached
+        return np.bincount(text, weights=total, minlength=len(split.lengths))
+
+
 def _scores(left: pa.Table, right: pa.Table) -> pa.Table:
-    training = left.column("training").to_numpy(zero_copy_only=False).astype(bool)
-    split = Split(left.column("text").to_pylist(), training)
-    words, pairs, n, v = [], [], 0, 0
-    right = right.sort_by("bucket")
-    for x in right.column("data"):
-        figures, w, p, sizes = unpack(x.as_py(), "<i8", "u1", "u1", "u1")
-        words.append(w.view(f"<{'u4' if sizes[0] == 4 else 'i8'}").astype(np.int64))
-        pairs.append(p.view(f"<{'u4' if sizes[1] == 4 else 'i8'}").astype(np.int64))
+    left = _in_order(left)
+    split = _split(left)
+    by_word, by_pair, by_triple, _ = split.order()
+    answers, n, v = ([], [], []), 0, 0
+    for x in right.sort_by("bucket").column("data"):
+        figures, *counts = unpack(x.as_py(), "<i8", "u1", "u1", "u1")
+        for out, c in zip(answers, counts, strict=True):
+            out.append(from_planes(c).astype(np.int64))
         n, v = n + int(figures[0]), v + int(figures[1])
-    words, pairs = np.concatenate(words), np.concatenate(pairs)
-    automaton = Automaton(split, words, pairs, n, v)
+    counts = []
+    for order, found in zip((by_word, by_pair, by_triple), answers, strict=True):
+        every = np.empty(len(order), dtype=np.int64)
+        every[order] = np.concatenate(found) if found else every
+        counts.append(every)
+    del answers, by_word, by_pair, by_triple
+    words, pairs, triples = counts
+    automaton = Automaton(split, words, pairs, triples, n, v)
     add = lambda x: np.add.reduceat(x, split.starts)
     return pa.table(
         {
             "doc_id": left.column("doc_id"),
             "training": left.column("training"),
             "n_tokens": pa.array(split.lengths, pa.int64()),
-            "n_known": pa.array(add((words > 0)[split.word_at].astype(np.int64)), pa.int64()),
+            "n_known": pa.array(add((words > 0)[split.word].astype(np.int64)), pa.int64()),
             "train_tokens": pa.array([n] * len(split.lengths), pa.int64()),
-            "base_score": pa.array(add(automaton.root[split.word_at]), pa.float64()),
-            "score": pa.array(add(automaton.walk(split.before, split.word_at, split.pair_at)), pa.float64()),
+            "base_score": pa.array(add(automaton.root_weight[split.word]), pa.float64()),
+            "score": pa.array(automaton.walk(split), pa.float64()),
         }
     )
 
@@ -200,10 +314,12 @@ def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     size = source.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-size // SPLIT_BYTES))
-    # By id and text, so that rows which repeat an id are dealt out as well.
-    dealt = source.withColumn("split", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
-    requests = dealt.groupBy("split").applyInArrow(_requests(parts), "bucket int, split int, data binary")
+    fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splits, buckets = max(fewest, -(-size // SPLIT_BYTES)), max(fewest, -(-size // BUCKET_BYTES))
+    # The place of a row counts as well, so that rows which repeat each other are dealt out too.
+    split = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(splits)).cast("int")
+    dealt = source.withColumn("split", split)
+    ask = _requests(buckets)
+    requests = dealt.groupBy("split").applyInArrow(lambda key, table: ask(key, _in_order(table)), "bucket int, split int, data binary")
     answers = requests.groupBy("bucket").applyInArrow(_answers, "split int, bucket int, data binary")
     return dealt.groupBy("split").cogroup(answers.groupBy("split")).applyInArrow(_scores, SCORES)

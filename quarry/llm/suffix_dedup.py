@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .common import bucket_bounds, pack, unpack
 from .induced import MEMORY, repeated_windows
-from .lm_scoring import bucket_bounds, pack, unpack
 
 WINDOW, KMER, BLOCK = 50, 20, 1 << 15
 SPLIT_BYTES, SHARD_BYTES, HOT_RUNS = 12 << 20, 12 << 20, 1 << 16

@@ -13,7 +13,7 @@ from quarry.llm.decontamination import Benchmark, Items, contaminated, shingles,
 from quarry.llm.language_id import fit as fit_languages
 from quarry.llm.language_id import held_out
 from quarry.llm.language_id import predict as predict_language
-from quarry.llm.lm_scoring import MU, lm_scores
+from quarry.llm.lm_scoring import MU, Automaton, Split, lm_scores
 from quarry.llm.quality_classifier import BUCKETS, FACTORS, Machine, quality_scores, train
 
 SF = "/root/testdata/sf0.001"
@@ -167,25 +167,30 @@ def test_quality_classifier(spark):
 
 def lm_brute(rows, training):
     tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [" "]
-    c, b = Counter(), Counter()
+    c, b, d = Counter(), Counter(), Counter()
     for (_, t), held in zip(rows, training):
         if held:
-            c.update(tok(t))
-            b.update(zip(["  ", *tok(t)], tok(t)))
+            w = ["  ", *tok(t)]
+            c.update(w[1:])
+            b.update(zip(w, w[1:]))
+            d.update(zip(w, w[1:], w[2:]))
     n, v = sum(c.values()), len(c)
     h = dict(c) | {"  ": c[" "]}
+    one = lambda x: (c[x] + 1) / (n + v + 1)
+    two = lambda p, x: (b[p, x] + MU * one(x)) / (h.get(p, 0) + MU)
+    three = lambda o, p, x: (d[o, p, x] + MU * two(p, x)) / (b[o, p] + MU)
     out = []
     for i, t in rows:
-        w = tok(t)
-        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
-        score = sum(math.log10((b[p, x] + MU * (c[x] + 1) / (n + v + 1)) / (h.get(p, 0) + MU)) for p, x in zip(["  ", *w], w))
-        out.append((i, len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
+        w = ["  ", *tok(t)]
+        base = sum(math.log10(one(x)) for x in w[1:])
+        score = math.log10(two(*w[:2])) + sum(math.log10(three(*x)) for x in zip(w, w[1:], w[2:]))
+        out.append((i, len(w) - 1, sum(c[x] > 0 for x in w[1:]), n, round(base, 6), round(score, 6)))
     return sorted(out)
 
 
 @pytest.mark.parametrize("training", ["doc_id % 3 > 0", "doc_id < 0"])
 def test_lm_scores(spark, training):
-    rows = [(i, prose(i, 3 + i)) for i in range(30)] + [(40, None), (41, ""), (42, "A b É"), (1, "twice"), (1, "twice")]
+    rows = [(i, prose(i, 3 + i)) for i in range(30)] + [(40, None), (41, ""), (42, "A b É"), (1, "twice"), (1, "twice"), (43, prose(7, 5000))]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_tokens int")
     got = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scores(df, F.expr(training)).collect())
     held = [i % 3 > 0 if "%" in training else False for i, _ in rows]
@@ -195,11 +200,36 @@ def test_lm_scores(spark, training):
     assert lm_scores(df.limit(0), F.lit(True)).count() == 0
 
 
+def automaton(texts):
+    """The automaton of some texts, all for training, and their split."""
+    split = Split(texts, np.ones(len(texts), bool))
+    pairs = np.bincount(split.triple_pair, weights=split.triple_counts, minlength=len(split.pairs)).astype(np.int64)
+    words = split.word_counts()
+    return split, Automaton(split, words, pairs, split.triple_counts, int(words.sum()), int((words > 0).sum()))
+
+
 def test_lm_states_sum_to_one():
-    c, b, n, v = {"a": 3, "b": 1}, {("a", "a"): 2, ("a", "b"): 1}, 4, 2
-    root = {w: (c.get(w, 0) + 1) / (n + v + 1) for w in ("a", "b", "other")}
-    assert sum(root.values()) == pytest.approx(1)
-    assert sum((b.get(("a", w), 0) + MU * root[w]) / (c["a"] + MU) for w in root) == pytest.approx(1)
+    split, a = automaton([prose(i, 40) for i in range(5)])
+    unknown = 1 / (split.lengths.sum() + len(np.unique(split.word)) + 1)
+    # Whatever the state, the weights of all tokens and of an unknown one are a distribution.
+    known = np.unique(split.word).astype(np.int32)
+    for state in [0, a.start, *range(1, len(a.failure))]:
+        if 0 < state < a.first_pair and a.root_target[state - 1] == 0 and state != a.start:
+            continue  # no history
+        if state >= a.first_pair and split.pairs[state - a.first_pair] % split.words == split.end:
+            continue  # nothing follows an end
+        weight, _ = a.step(np.full(len(known), state, np.int32), known)
+        rest, at = unknown, state
+        while at:
+            rest, at = rest * 10 ** a.failure[at], a.shorter[at]
+        assert (10**weight).sum() + rest == pytest.approx(1)
+
+
+def test_lm_walk_in_pieces():
+    split, a = automaton([prose(i, 30 * i) for i in range(8)] + ["", "x"])
+    whole = a.walk(split, piece=10_000)
+    for piece in (2, 3, 50):
+        assert np.allclose(a.walk(split, piece), whole)
 
 
 def leaks_brute(docs, items):
