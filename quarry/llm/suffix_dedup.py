@@ -9,9 +9,9 @@ The steps, all of them shuffles of packed arrays:
    document (a filter only: nothing else can hold a repeated window) and which occur very often;
 2. a split sends each distinct run of those to its shard once, with the smallest id that holds it in this split;
    what the split needs later to apply the answer travels past the shards;
-3. a shard folds equal runs, then sorts the suffixes of all its runs by external induced sorting (`induced`):
-   suffix tuples and their common-prefix values go through queues on disk, and neighbours whose common prefix
-   reaches WINDOW are one string, which its smallest document keeps;
+3. a shard folds equal runs, then sorts the suffixes of all runs whose anchor has several forms, and of all hot
+   windows, by external induced sorting (`induced`): suffix tuples and their common-prefix values go through queues
+   on disk, and neighbours whose common prefix reaches WINDOW are one string, which its smallest document keeps;
 4. a split marks the bytes of the windows to be removed and cuts them out.
 
 Sizes. A split holds SPLIT_BYTES of text, and a shard the runs of about SHARD_BYTES of it, on average; of a
@@ -208,8 +208,10 @@ def _send(buckets: int):
         start = np.concatenate((texts.start[whole], single))
         windows = np.concatenate((texts.windows[whole], np.ones(len(single), np.int64)))
         key = np.concatenate((texts.key[whole], single_key))
-        order = np.argsort(start, kind="stable") if len(single) else np.arange(len(start))
-        start, windows, key = start[order], windows[order], key[order]
+        hot_run = np.arange(len(start)) >= len(whole)
+        if len(single):
+            order = np.argsort(start, kind="stable")
+            start, windows, key, hot_run = start[order], windows[order], key[order], hot_run[order]
         data = texts.data
         del keys, at, repeated, hot, whole, single, single_key
         strings = pa.array([data[a:b] for a, b in zip(start.tolist(), (start + windows + WINDOW - 1).tolist())], pa.binary())
@@ -227,12 +229,15 @@ def _send(buckets: int):
         number[by_key] = np.arange(count)
         chosen, width = coded.dictionary.take(pa.array(by_key)), windows[first][by_key].astype("u1")
         cuts = bucket_bounds(key[first][by_key], buckets)
+        group = ((key[first][by_key] >> np.uint64(34)) & np.uint64(0xFFFFFF)).astype("<u4")
+        group[hot_run[first][by_key]] = 0
         own = pack(np.diff(start, prepend=0).astype("<u4"), number[code].astype("<u4"), np.packbits(ids > least[code]), width)
         out_data, out_bucket = [own], [buckets + split]
         for b in np.nonzero(np.diff(cuts))[0].tolist():
             lo, hi = cuts[b], cuts[b + 1]
             joined = b"".join(chosen.slice(lo, hi - lo).to_pylist())
-            out_data.append(pack(np.frombuffer(joined, np.uint8), width[lo:hi], least[by_key[lo:hi]]))
+            codes = group[lo:hi]
+            out_data.append(pack(np.frombuffer(joined, np.uint8), width[lo:hi], least[by_key[lo:hi]], (codes >> 8).astype("<u2"), codes.astype("u1")))
             out_bucket.append(b)
         return _blobs("bucket", out_bucket, "split", [split] * len(out_data), out_data)
 
@@ -246,10 +251,11 @@ def _sort(buckets: int, memory: int):
         bucket, splits = key[0].as_py(), table.column("split").to_pylist()
         if bucket >= buckets:  # what a split sent itself
             return _blobs("split", splits, "bucket", [bucket] * table.num_rows, table.column("data").to_pylist())
-        asked = [unpack(x.as_py(), "u1", "u1", "<i8") for x in table.column("data")]
+        asked = [unpack(x.as_py(), "u1", "u1", "<i8", "<u2", "u1") for x in table.column("data")]
         counts = [len(a[1]) for a in asked]
         length = np.concatenate([a[1] for a in asked]).astype(np.int64) + WINDOW - 1
         ids = np.concatenate([a[2] for a in asked])
+        group = np.concatenate([a[3] for a in asked]).astype(np.uint32) << 8 | np.concatenate([a[4] for a in asked])
         offsets = np.concatenate(([0], np.cumsum(length)))
         data = b"".join([a[0] for a in asked])
         del asked
@@ -261,12 +267,20 @@ def _sort(buckets: int, memory: int):
         np.minimum.at(least, code, ids)
         size = np.zeros(count, dtype=np.int64)
         size[code] = length
-        distinct = b"".join(coded.dictionary.to_pylist())
-        del coded
-        flags = repeated_windows(distinct, size, least, WINDOW, memory)
+        # A run whose anchor has no other form has nothing to be compared with. (Groups are shortened hashes: now and
+        # then two anchors share one, and their runs are sorted for nothing.)
+        of_string = np.zeros(count, dtype=np.uint32)
+        of_string[code] = group
+        _, at, forms = np.unique(of_string, return_inverse=True, return_counts=True)
+        compared = np.nonzero((forms[at] > 1) | (of_string == 0))[0]
+        distinct = b"".join(coded.dictionary.take(pa.array(compared)).to_pylist())
+        del coded, group, of_string, at
+        flags = repeated_windows(distinct, size[compared], least[compared], WINDOW, memory)
         del distinct
-        begin = np.cumsum(size) - size
-        some = np.add.reduceat(flags, begin, dtype=np.int64) > 0
+        begin, some = np.zeros(count, dtype=np.int64), np.zeros(count, dtype=bool)
+        begin[compared] = np.cumsum(size[compared]) - size[compared]
+        if len(compared):
+            some[compared] = np.add.reduceat(flags, begin[compared], dtype=np.int64) > 0
         out, base = [], 0
         for n in counts:
             c, mine = code[base : base + n], ids[base : base + n]
