@@ -5,9 +5,10 @@ equal suffixes are shared. Its arcs carry how many words lie behind earlier arcs
 word's number, and the number finds the ids. The automaton is one flat file that workers map into memory. A
 word that it lacks is merged exactly by the vocabulary's ranks.
 
-Defined results: a null or empty text has no tokens (hashes of the empty string); special strings in a text
-become their id, as the library does by default; an empty table gives an empty table; a lexicon of no words
-gives the same results; other columns of the input are not looked at.
+Defined results: a null or empty text has no tokens (hashes of the empty string); very long texts are encoded
+whole; special strings in a text become their id, as the library does by default; repeated rows each give a row, with
+equal results for equal texts (ties); a null id is kept; an empty table gives an empty table; a lexicon of no words gives
+the same results; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_pieces
+from .common import ensure_checkpoint_dir, map_texts, text_pieces
 
 #: Words in the lexicon at most, and their longest form: bounds what is broadcast (see `Lexicon`).
 LEXICON_WORDS, LEXICON_BYTES = 32_768, 32
@@ -263,57 +264,71 @@ class Lexicon:
         return tuple(self.ids[self.starts[index] : self.starts[index + 1]])
 
 
-class Codec(dict):
-    """Encoder and decoder of a worker; `self[part]` has the ids of a space and a part of `space_cuts`."""
+class Memo(dict):
+    """Values of short keys, made when first asked for. Beyond MEMO_ENTRIES it starts anew, and what it had stays
+    until the next time."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Codec:
+    """Encoder and decoder of a worker. Texts are taken by the parts of `space_cuts`; of a part and the space
+    before it, `shown` has the ids as decimals with commas, and `raw` the bytes that these decode to."""
 
     def __init__(self, path: str, lexicon: bytes | None = None) -> None:
         self.vocabulary = Vocabulary(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         size = max(self.vocabulary.bytes_of) + 1
-        self.numbers = list(range(size))  # one object for each id, shared by all that is kept
         self.decimal = [str(i) for i in range(size)]
         self.pieces = [self.vocabulary.bytes_of.get(i, b"") for i in range(size)]
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.known.get(word)
-        if ids is None:
-            raw = word.encode()
-            ids = self.lexicon.get(raw) if self.lexicon and len(raw) <= LEXICON_BYTES else None
-            ids = tuple(map(self.numbers.__getitem__, self.vocabulary.merge(raw) if ids is None else ids))
-            if len(word) <= MEMO_CHARS:
-                if len(self.known) >= MEMO_ENTRIES:
-                    self.known.clear()
-                self.known[word] = ids
-        return ids
+        self.word, self.shown, self.raw = Memo(self._word), Memo(self._shown), Memo(self._raw)
+        self.special = [s for s in self.vocabulary.special if s]
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        raw = word.encode()
+        ids = self.lexicon.get(raw) if self.lexicon and len(raw) <= LEXICON_BYTES else None
+        return self.vocabulary.merge(raw) if ids is None else ids
 
     def part(self, part: str) -> tuple[int, ...]:
         words = self.vocabulary.words(part)
-        return self.word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.word, words)))
+        if len(words) == 1:
+            return self._word(words[0])
+        # Marks and endings return again and again; whole parts are kept by the caller.
+        return tuple(chain.from_iterable(self._word(w) if len(w) > 4 else self.word[w] for w in words))
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        ids = self.old.get(part)
-        if ids is None:
-            ids = self.part(" " + part)
-        if len(part) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[part] = ids
-        return ids
+    def decimals(self, ids) -> str:
+        return ",".join(map(self.decimal.__getitem__, ids))
+
+    def _shown(self, part: str) -> str:
+        return self.decimals(self.part(" " + part))
+
+    def _raw(self, part: str) -> bytes:
+        return b"".join([self.pieces[int(x)] for x in self.shown[part].split(",")])
 
     def plain(self, text: str) -> list[int]:
         if not text:
             return []
         parts = space_cuts(text)
         ids = list(self.part(parts[0]))
-        ids.extend(chain.from_iterable(map(self.__getitem__, parts[1:])))
+        ids.extend(map(int, chain.from_iterable(self.shown[p].split(",") for p in parts[1:])))
         return ids
 
     def encode(self, text: str) -> list[int]:
         special = self.vocabulary.special
-        if not any(s in text for s in special):
+        if not any(s in text for s in self.special):
             return self.plain(text)
         out: list[int] = []
         for x in self.vocabulary.split_special(text):
@@ -323,6 +338,18 @@ class Codec(dict):
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
+    def both(self, text: str) -> tuple[str, bytes]:
+        """The ids of a text as decimals with commas, and the bytes that they decode to."""
+        if not text or any(s in text for s in self.special):
+            ids = self.encode(text)
+            return self.decimals(ids), self.decode(ids).encode()
+        first, *parts = space_cuts(text)
+        ids = self.part(first)
+        shown = [self.decimals(ids), *map(self.shown.__getitem__, parts)] if ids else map(self.shown.__getitem__, parts)
+        joined = ",".join(shown)
+        raw = b"".join([*map(self.pieces.__getitem__, ids), *map(self.raw.__getitem__, parts)])
+        return joined, raw.decode("utf-8", "replace").encode()
+
 
 def word_counts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(word, n) over all texts, words up to LEXICON_BYTES bytes. Tasks count the parts between spaces in
@@ -331,14 +358,15 @@ def word_counts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        words, counts = Vocabulary(path).words, Counter()
+        words, counts, firsts = Vocabulary(path).words, Counter(), Counter()
 
         def out() -> pa.RecordBatch:
             sums: dict[str, int] = {}
-            for part, n in counts.items():
-                for word in words(part):
-                    sums[word] = sums.get(word, 0) + n
-            counts.clear()
+            for space, found in (("", firsts), (" ", counts)):
+                for part, n in found.items():
+                    for word in words(space + part):
+                        sums[word] = sums.get(word, 0) + n
+                found.clear()
             for word in [w for w in sums if len(w.encode()) > LEXICON_BYTES]:
                 del sums[word]
             arrays = [pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())]
@@ -348,11 +376,11 @@ def word_counts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             for _, texts in text_pieces(batch, 0):
                 for text in texts:
                     parts = space_cuts(text)
-                    counts[parts[0]] += 1
-                    counts.update([" " + p for p in parts[1:]])
-                    if len(counts) > COUNT_ENTRIES:
+                    firsts[parts[0]] += 1
+                    counts.update(parts[1:])
+                    if len(counts) + len(firsts) > COUNT_ENTRIES:
                         yield out()
-        if counts:
+        if counts or firsts:
             yield out()
 
     parts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long")
@@ -360,9 +388,22 @@ def word_counts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
 
 def frequent_words(df: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts, `size` at most: the lexicon's bound, not a cut in any result."""
-    counts = word_counts(df, path, text_col)
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    """The most frequent words of all texts, `size` at most: the lexicon's bound, not a cut in any result. The
+    driver reads a histogram of counts (steps of an eighth of a power of two), which gives the least count whose
+    words all fit, and then those words."""
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = word_counts(df, path, text_col).checkpoint()
+    step = F.floor(F.log2("n") * 8).cast("int")
+    found = dict(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect())
+    least, words = None, 0
+    for k in sorted(found, reverse=True):
+        words += found[k]
+        if words > size:
+            break
+        least = k
+    if least is None:
+        return []
+    return sorted(r.word for r in counts.where(step >= least).select("word").collect())
 
 
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,10 +433,10 @@ def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         def run(texts: list[str]) -> list[list]:
             counts, id_hashes, text_hashes = [], [], []
             for text in texts:
-                ids = codec.encode(text)
-                counts.append(len(ids))
-                id_hashes.append(sha(",".join(map(codec.decimal.__getitem__, ids)).encode()))
-                text_hashes.append(sha(codec.decode(ids).encode()))
+                shown, raw = codec.both(text)
+                counts.append(shown.count(",") + 1 if shown else 0)
+                id_hashes.append(sha(shown.encode()))
+                text_hashes.append(sha(raw))
             return [counts, id_hashes, text_hashes]
 
         return run
