@@ -4,8 +4,8 @@
 figures they use are made from the whole text with built-in functions only, row by row: no shuffle.
 
 Defined results: a null or empty text has no words, so its figures are 0 and it is rejected by the base rule;
-repeated rows each give a row; an empty table gives an empty table; other columns of the input are not looked
-at. A ratio whose denominator is 0 is 0.
+very long texts are judged whole, in n log n steps; repeated rows each give a row, equal texts (ties) equal figures;
+a null id is kept; an empty table gives an empty table; other columns of the input are not looked at. A ratio whose denominator is 0 is 0.
 """
 
 from __future__ import annotations
@@ -104,8 +104,7 @@ def text_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = F.flatten(
         F.transform(repeated, lambda k: F.array(v[k]["i"], v[k]["i"] + 1, v[k]["i"] + 2))
     )
-    return second.select(
-        "doc_id",
+    figures = F.struct(
         "n_words",
         "word_chars",
         "n_symbols",
@@ -113,8 +112,10 @@ def text_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.when(v.isNotNull(), F.size(F.array_distinct(places))), F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_stop_words",
         "n_lines",
-        *row,
     )
+    # A filter on figures would be moved below the projections and so write the windows' sort into it once for each
+    # place that names them. It can't pass a generator, so the figures are the single output row of one.
+    return second.select("doc_id", *row, F.explode(F.array(figures)).alias("f")).select("doc_id", "f.*", *row)
 
 
 def base_failed() -> Column:
@@ -124,10 +125,7 @@ def base_failed() -> Column:
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows of `df` that the rules keep, unchanged."""
     figures = text_figures(df, id_col, text_col, carry=True)
-    # Not a filter: the optimizer would move that below the projections and so write the windows' sort into it
-    # once for each place that names them. A generator stays where it is.
-    kept = F.when(~base_failed() & compile_rules(rules), F.array("row"))
-    return figures.select(F.explode(kept).alias("row")).select("row.*")
+    return figures.where(~base_failed() & compile_rules(rules)).select("row.*")
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
