@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +44,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: normalize("NFKC", x), na_action="ignore")
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), where c is evaluated once however often `use` names it: as a variable of a higher-order function,
+    which the optimizer doesn't write out again."""
+    return F.transform(F.array(c), use)[0]
+
+
 def basic_unescape(c: Column) -> Column:
     """The XML entities and the most frequent HTML ones, without leaving the JVM."""
     for entity, char in ENTITIES:
@@ -76,20 +84,21 @@ def clean_text(c: Column, unescape=basic_unescape) -> Column:
 
 
 def cjk_ratio(c: Column) -> Column:
-    text = F.coalesce(c, F.lit(""))
-    return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(CJK)) / F.length(text)).otherwise(F.lit(0.0))
+    def ratio(text: Column) -> Column:
+        return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(CJK)) / F.length(text)).otherwise(F.lit(0.0))
+
+    return once(F.coalesce(c, F.lit("")), ratio)
 
 
 def is_informative(c: Column) -> Column:
     """Long enough, no metadata, no citation, and with a mark between or behind sentences."""
-    t = F.lower(F.btrim(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")))
-    meta = F.lit(False)
-    for p in META_PREFIXES:
-        meta = meta | t.startswith(p)
-    marked = F.lit(False)
-    for m in SENTENCE_MARKS:
-        marked = marked | t.contains(m)
-    return F.coalesce((F.length(t) >= MIN_INFORMATIVE) & ~meta & ~t.rlike(CITATION) & marked, F.lit(False))
+
+    def judge(t: Column) -> Column:
+        meta = t.rlike("^(?:" + "|".join(META_PREFIXES) + ")")
+        marked = t.rlike("[" + "".join(SENTENCE_MARKS) + "]")
+        return (F.length(t) >= MIN_INFORMATIVE) & ~meta & marked & ~t.rlike(CITATION)
+
+    return F.coalesce(once(F.lower(F.btrim(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))), judge), F.lit(False))
 
 
 def is_boilerplate(c: Column) -> Column:

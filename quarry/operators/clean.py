@@ -25,12 +25,13 @@ def clean_cascade(df: DataFrame, unescape=T.basic_unescape) -> tuple[DataFrame,
     """(papers, other languages) from title, abstract, lang: not blank, informative, cleaned, English, no
     diagnostic reports. Adds clean_title, clean_abstract, abstract_lang, type."""
     kept = drop_blank(df, "title", "abstract").where(T.is_informative(F.col("abstract")))
-    cleaned = kept.select(
-        "*",
+    # A generator's single row: filters on what is made here can't be moved below it, so nothing is made twice.
+    made = F.struct(
         T.clean_text(F.col("abstract"), unescape).alias("clean_abstract"),
         T.clean_text(F.col("title"), unescape).alias("clean_title"),
         F.col("lang").alias("abstract_lang"),
         T.document_type(F.col("title")).alias("type"),
     )
+    cleaned = kept.select("*", F.explode(F.array(made)).alias("made")).select(*kept.columns, "made.*")
     english, other = keep_english(cleaned)
     return english.where(F.col("type") == "scientific_paper"), other

@@ -170,9 +170,9 @@ def r3_facets(spark, sf_dir):
     return search.facet_counts(levels, ["lvl0", "lvl1", "lvl2"])
 
 
-@query("r4_r5_refinements", f"SELECT journal, count(*) AS n FROM {PAPERS_SQL} WHERE main = 'M0' AND doc_id BETWEEN 10 AND 150 GROUP BY journal ORDER BY n DESC, journal LIMIT 8")
+@query("r4_r5_refinements", f"SELECT journal, count(*) AS n FROM {PAPERS_SQL} WHERE main = 'M0' AND sim BETWEEN 0.1 AND 0.8 GROUP BY journal ORDER BY n DESC, journal LIMIT 8")
 def r4_r5_refinements(spark, sf_dir):
-    p = papers(spark, sf_dir).where(F.col("doc_id").between(10, 150))
+    p = papers(spark, sf_dir).where(F.col("sim").between(0.1, 0.8))
     return search.refinements(p, "journal", {"main": ["M0"], "journal": ["src0"]}, 8)
 
 
