@@ -1,28 +1,35 @@
 """Operator 2. Benchmark decontamination by SimHash windows.
 
-Each item has the SimHash of its word shingles. In a text, the windows of an item's length (in words) are
+Each item has the SimHash of its word shingles, of 128 bits. In a text, the windows of an item's length (in words) are
 considered that could reach the similarity at all: a window as similar as `SIMILARITY` shares at least
 2s/(1+s) of its shingles with the item, so it must hold that many shingles that occur in some item of this
 length; all other windows are ruled out by one running count. A text shorter than an item is one window, the
-whole text, unless the two lengths rule the similarity out. The windows' SimHashes are looked up in an index
-of blocks: the 64 bits are cut into BLOCKS blocks, and two fingerprints within RADIUS bits differ in at least
-one block by no more than RADIUS // BLOCKS bits, so that looking up all block values so near finds every item
-within the radius. What is found is verified by the exact weighted Jaccard similarity of the two shingle bags.
+whole text, unless the two lengths rule the similarity out.
 
-Items are sent to the workers in blocks of ITEM_BYTES at most; more items take more passes over the texts.
+The windows' SimHashes are looked up in a multi-index of BLOCKS blocks of 16 bits. Two fingerprints within RADIUS = 31
+bits differ by 3 bits at most in one of 8 blocks (or all would differ by 4, which makes 32), and by 4 at most in two of
+them (or seven would differ by 5, which makes 35). Items that meet both are all items within the radius and about
+2 % of the others; their full distance decides. Each block keeps its distinct values, 65,536 at most however many
+items there are, and the items of each value. What is found is verified by the exact weighted Jaccard similarity of the
+two shingle bags.
+
+At similarity 0.8 the cosine of the bags is about 0.89, so 19 of 128 bits differ, with a deviation of 4: the radius
+lies three deviations above, and more for higher similarities.
+
+Items are sent to the workers in blocks of ITEM_BYTES of text at most, as flat arrays of about four times their size
+that a worker reads once; more items take more passes over the texts.
 
 Defined results: null or empty texts and items without a word match nothing; items or texts of fewer than
-`shingle` words have one shingle, the whole sequence; ties take the earliest window; repeated items and rows
-each match; an item without an id matches as any other, with a null item_id; empty tables give an empty table;
-other columns of the inputs are not looked at.
+`shingle` words have one shingle, the whole sequence; very long texts are searched whole; ties take the earliest
+window; repeated items and rows each match; an item without an id matches as any other, with a null item_id, and so does
+a text without an id; empty tables give an empty table; other columns of the inputs are not looked at.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +40,9 @@ from xxhash import xxh64_intdigest
 from .common import text_pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: At similarity 0.8 the two bags' cosine is about 0.89, so about 10 of 64 bits differ, with a deviation of 3.
-RADIUS, BLOCKS = 22, 8
+RADIUS, BLOCKS, WIDTH = 31, 8, 16
+#: Bits by which one block differs at most within the radius, and by which two do.
+ONE, TWO = RADIUS // BLOCKS, RADIUS // (BLOCKS - 1)
 ITEM_BYTES = 16 << 20
 FILTER_BITS = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -74,15 +82,22 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def simhash(hashes: np.ndarray) -> int:
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+def simhash(hashes: np.ndarray) -> np.ndarray:
+    """128 bits, as the values of BLOCKS blocks: the majority of the hashes' bits, then of those of a mixture."""
+    with np.errstate(over="ignore"):
+        more = (hashes ^ (hashes >> np.uint64(30))) * MIX
+        more ^= more >> np.uint64(27)
+    raw = np.stack((hashes, more), axis=1).view(np.uint8)
+    bits = np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(bits * 2 > len(hashes), bitorder="little").view("<u2")
 
 
-def weighted_jaccard(a: np.ndarray, b: Counter) -> float:
-    have = Counter(a.tolist())
-    common = sum(min(n, b[h]) for h, n in have.items() if h in b)
-    return common / (len(a) + sum(b.values()) - common)
+def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two bags; `b` in order."""
+    kinds, n = np.unique(a, return_counts=True)
+    there = np.searchsorted(b, kinds, side="right") - np.searchsorted(b, kinds, side="left")
+    common = int(np.minimum(n, there).sum())
+    return common / (len(a) + len(b) - common)
 
 
 def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -93,34 +108,42 @@ def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Items of one length: fingerprints, bags, and the index of blocks."""
+    """Items of one length: ids, bags (one row of hashes each, in order), fingerprints, and the multi-index."""
 
-    def __init__(self, ids: list[int], bags: list[np.ndarray]) -> None:
-        self.ids, self.bags = ids, [Counter(b.tolist()) for b in bags]
-        self.size = len(bags[0])
-        self.prints = np.array([simhash(b) for b in bags], dtype=np.uint64)
+    def __init__(self, ids: list[int | None], bags: list[np.ndarray]) -> None:
+        self.ids, self.size = ids, len(bags[0])
+        self.prints = np.stack([simhash(b) for b in bags])
+        self.bags = np.sort(np.stack(bags), axis=1)
         self.need = self.common(self.size)
-        self.width = 64 // BLOCKS
-        masks = [sum(1 << b for b in bits) for k in range(RADIUS // BLOCKS + 1) for bits in combinations(range(self.width), k)]
-        self.index: list[dict[int, list[int]]] = []
+        #: Of each block: distinct values, where the items of each begin, and the items.
+        self.index: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for k in range(BLOCKS):
-            table: dict[int, list[int]] = defaultdict(list)
-            for i, p in enumerate(self.prints.tolist()):
-                value = p >> (k * self.width) & ((1 << self.width) - 1)
-                for mask in masks:
-                    table[value ^ mask].append(i)
-            self.index.append(dict(table))
+            order = np.argsort(self.prints[:, k], kind="stable").astype(np.int32)
+            values, begin = np.unique(self.prints[order, k], return_index=True)
+            self.index.append((values, np.append(begin, len(order)).astype(np.int32), order))
 
     def common(self, size: int) -> int:
         """Shingles that an item and a window of `size` shingles share at least if they are similar."""
         return int(np.ceil(round((self.size + size) * SIMILARITY / (1 + SIMILARITY), 9)))
 
-    def near(self, fingerprint: int) -> np.ndarray:
+    def candidates(self, fingerprint: np.ndarray) -> np.ndarray:
+        """The items with a block within ONE bits, and two within TWO: among them all within the radius."""
+        found, closest = [], []
+        for (values, begin, order), value in zip(self.index, fingerprint, strict=True):
+            far = np.bitwise_count(values ^ value)
+            for at in np.nonzero(far <= TWO)[0].tolist():
+                items = order[begin[at] : begin[at + 1]]
+                found.append(items)
+                closest.append(np.full(len(items), far[at] <= ONE))
+        if not found:
+            return np.zeros(0, dtype=np.int64)
+        items, at, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        return items[(n > 1) & (np.bincount(at, weights=np.concatenate(closest)) > 0)].astype(np.int64)
+
+    def near(self, fingerprint: np.ndarray) -> np.ndarray:
         """All items within RADIUS bits."""
-        low = (1 << self.width) - 1
-        found = {i for k, table in enumerate(self.index) for i in table.get(fingerprint >> (k * self.width) & low, ())}
-        at = np.array(sorted(found), dtype=np.int64)
-        return at[np.bitwise_count(self.prints[at] ^ np.uint64(fingerprint)) <= RADIUS] if len(at) else at
+        at = self.candidates(fingerprint)
+        return at[np.bitwise_count(self.prints[at] ^ fingerprint).sum(axis=1) <= RADIUS]
 
 
 class Benchmark:
@@ -134,6 +157,7 @@ class Benchmark:
         self.short = {n for n in self.items if n < SHINGLE}
         long = [b for n, g in groups.items() if n >= SHINGLE for _, b in g]
         self.all = np.unique(np.concatenate(long)) if long else np.zeros(0, dtype=np.uint64)
+        #: Whether any item's shingle begins with these bits.
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[self.all >> np.uint64(64 - FILTER_BITS)] = True
         self.own = {n: np.unique(np.concatenate([b for _, b in groups[n]])) for n in groups}
@@ -198,12 +222,12 @@ def contaminated(
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark, passes = df.sparkSession, []
     for block in item_blocks(items, item_col, item_text):
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.orderBy("item_id", "text").collect()])
+        shared = spark.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in block.orderBy("item_id", "text").collect()]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             import pyarrow.compute  # noqa: F401
 
-            benchmark = Benchmark(shared.value)
+            benchmark = shared.value  # read once by a worker, and kept for its next tasks
             for batch in batches:
                 for start, texts in text_pieces(batch, 1):
                     ids = batch.column(0).slice(start, len(texts)).to_pylist()
