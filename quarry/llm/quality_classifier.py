@@ -1,13 +1,16 @@
 """Operator 5. Quality classifier: a factorisation machine.
 
-Features are hashed words (by the root of their share), structure statistics of the text and its length.
+Features are hashed words (by the root of their share), structure statistics of the text, and metadata: the number of
+characters that the table states (`n_chars`, if there is such a column), and how far it is from the text's.
 Score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), the pairs in linear time as half of
-(sum v_i x_i)^2 - sum (v_i x_i)^2 for each factor. It is fitted on TRAIN_ROWS labelled rows at most (those
-with the lowest hashes of their ids), which bounds what the driver reads; all rows are scored.
-
-Defined results: a null or empty text has the structure features of no words and gets a score; without
-labelled rows every score is 0.5; repeated rows each give a row; an empty table gives an empty table; other
-columns of the input are not looked at. Rows of labels without a document, or with a null label, don't count.
+(sum v_i x_i)^2 - sum (v_i x_i)^2 for each factor. It is fitted on TRAIN_ROWS labelled rows at most (whole classes of
+a hash of the id, taken while they fit), which bounds what the driver reads; all rows are scored.
+
+Defined results: a null or empty text has the structure features of no words and gets a score; a null or missing
+n_chars counts as 0; very long texts are read whole; equal rows (ties, repeated rows) have equal scores and each give
+a row; a null id is kept; without labelled rows every score is 0.5; an empty table gives an empty table; other columns of
+the input are not looked at. Rows of labels without a document, or with a null label, don't count; of several labels of
+one id the greatest does.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import text_pieces
 
 #: Labelled rows used at most; buckets of hashed words; factors; passes, step and penalty of the fit.
 TRAIN_ROWS, BUCKETS, FACTORS, EPOCHS, STEP, PENALTY = 8_000, 1 << 14, 8, 12, 0.1, 1e-5
@@ -26,7 +29,8 @@ TRAIN_ROWS, BUCKETS, FACTORS, EPOCHS, STEP, PENALTY = 8_000, 1 << 14, 8, 12, 0.1
 THRESHOLD = 0.3
 MEMO_ENTRIES = 300_000
 DIGITS = re.compile(r"[0-9]").findall
-STRUCTURE = 10
+STRUCTURE = 12
+META = "n_chars"
 
 
 class Buckets(dict):
@@ -42,8 +46,9 @@ class Buckets(dict):
 _buckets = Buckets()
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of a text's features: hashed words, then STRUCTURE figures between 0 and 1."""
+def features(text: str, stated: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values of a text's features: hashed words, then STRUCTURE figures between 0 and 1; `stated` is
+    the number of characters by the metadata."""
     words = text.split()
     n = len(words)
     ids = np.fromiter(map(_buckets.__getitem__, words), dtype=np.int32, count=n)
@@ -66,6 +71,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         share(len(DIGITS(text)) / size),
         share(max(map(len, words), default=0), 100),
         share(len(lines) / max(n, 1)),
+        share(np.log1p(max(stated or 0, 0)), 14),
+        share(abs((stated or 0) - len(text)) / size),
     ]
     return np.concatenate((found, BUCKETS + np.arange(STRUCTURE))).astype(np.int32), np.concatenate((values, figures)).astype(np.float32)
 
@@ -122,15 +129,36 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     return machine
 
 
-def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Fits on TRAIN_ROWS rows of `df` that `labels` marks, at most."""
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    stated = F.col(f"`{META}`").cast("long") if META in df.columns else F.lit(None).cast("long")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), stated.alias("stated"))
+
+
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """`most` rows of (id, y) at most: all if they are so few, else those of some classes of a hash of the id. The
+    classes have a 64th of `most` rows on average; one that doesn't fit, as an id is repeated too often, is left out."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    classes = 64 * n // most
+    of_row = F.pmod(F.xxhash64("id"), F.lit(classes))
+    found = rows.groupBy(of_row.alias("c")).agg(F.count("*").alias("n")).where(F.col("c") < 128).collect()
+    chosen, room = [], most
+    for c, size in sorted((r.c, r.n) for r in found):
+        if size <= room:
+            chosen.append(c)
+            room -= size
+    return rows.where(of_row.isin(chosen))
+
+
+def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS) -> Machine:
+    """Fits on `most` rows of `df` that `labels` marks, at most."""
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null")
     marked = marked.groupBy("id").agg(F.max("y").alias("y"))
-    chosen = marked.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
-    made = _featured(texts.select(F.struct("id", "y").alias("key"), "text"))
-    found = made.collect()  # TRAIN_ROWS rows at most
-    found.sort(key=lambda r: (r.id, bytes(r.ids)))
+    rows = _rows(df, id_col, text_col)
+    chosen = sample(rows.select("id").join(marked, "id"), most).distinct()  # an id's rows are all in or all out
+    found = _featured(rows.join(chosen, "id")).collect()  # `most` rows at most
+    found.sort(key=lambda r: (r.id, bytes(r.ids), bytes(r.x)))
     rows = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.x, np.float32)) for r in found]
     return fit(rows, np.array([r.y for r in found], dtype=np.float64))
 
@@ -140,26 +168,32 @@ def _featured(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            made = [features(t or "") for t in batch.column(2).to_pylist()]
+            made = [features(t or "", c) for t, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([m[0].tobytes() for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary())],
                 ["id", "y", "ids", "x"],
             )
 
-    return df.select("key.id", "key.y", "text").mapInArrow(run, "id long, y int, ids binary, x binary")
+    return df.select("id", "y", "text", "stated").mapInArrow(run, "id long, y int, ids binary, x binary")
 
 
 def quality_scores(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted for each row; map tasks only. The machine is BUCKETS rows of 9 floats (0.6 MB)."""
-    shared = df.sparkSession.sparkContext.broadcast(machine)
+    import pyarrow as pa
 
-    def make():
-        def run(texts: list[str]) -> list[list]:
-            scores: list[float] = []
-            for i in range(0, len(texts), 256):
-                scores += shared.value.score([features(t) for t in texts[i : i + 256]]).astype(float).tolist()
-            return [scores, [int(s >= THRESHOLD) for s in scores]]
+    shared = df.sparkSession.sparkContext.broadcast(machine)
 
-        return run
+    def run(batches):
+        import pyarrow.compute  # noqa: F401
 
-    return map_texts(df, id_col, text_col, "score double, predicted int", make)
+        for batch in batches:
+            for start, texts in text_pieces(batch, 1):
+                stated = batch.column(2).slice(start, len(texts)).to_pylist()
+                scores: list[float] = []
+                for i in range(0, len(texts), 256):
+                    made = [features(t, c) for t, c in zip(texts[i : i + 256], stated[i : i + 256], strict=True)]
+                    scores += shared.value.score(made).astype(float).tolist()
+                arrays = [batch.column(0).slice(start, len(texts)), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "predicted"])
+
+    return _rows(df, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
