@@ -2,21 +2,26 @@
 
 Fingerprints are compared in tiles: numpy exclusive-or and bit counts over all pairs of two tiles, tile pairs
 whose population counts differ by more than the radius are never formed. So that the number of tile pairs does
-not grow with the square of the corpus, tiles hold fingerprints that share one of radius + 1 bands of bits: two
-fingerprints within the radius agree in at least one band, so no link is lost. A band value that many
-fingerprints share is cut into several tiles, and its tile pairs go to different tasks.
+not grow with the square of the corpus, tiles hold fingerprints that agree in some of their bits: cut into
+radius + k blocks, two fingerprints within the radius agree in k blocks at least, so each choice of k blocks is a band
+and no link is lost. The more fingerprints there are, the larger k is taken (4 bands of 16 bits, then 10 of 25, 20 of
+32, 35 of 36), so that the fingerprints of a band value stay few on average; the links are the same for every k. A
+band value that many fingerprints share nevertheless is cut into several tiles, and its tile pairs go to different
+tasks.
 
 Equal fingerprints are one node. A tile pair returns a spanning forest of its links, not the links, so that a
 group of copies yields no square of rows.
 
-Defined results: a null or empty text (no words) has fingerprint zero and links like any other; ties take the
-smallest doc_id; rows repeated with the same id each give a row; an empty table gives an empty table; other
+Defined results: a null or empty text (no words) has fingerprint zero and links like any other; very long texts are
+hashed whole, in blocks; ties take the smallest doc_id; a null id is no candidate for a component's id (null if there is
+no other); rows repeated with the same id each give a row; an empty table gives an empty table; other
 columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,8 @@ from .components import components
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints of a band value and population count that one tile holds at most, on average.
 TILE = 4096
+#: Rows of bands in a partition, on average.
+PARTITION_ROWS = 4 << 20
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -184,11 +191,31 @@ def _compare(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+#: Blocks that agree in a band, at most.
+MOST_BLOCKS = 4
+
+
+def blocks_for(n: int, tile: int = TILE, radius: int = RADIUS) -> int:
+    """How many blocks a band takes, so that a band value has no more than a tile of n fingerprints on average."""
+    k = 1
+    while k < MOST_BLOCKS and n >> (64 * k // (radius + k)) > tile:
+        k += 1
+    return k
+
+
+def band_masks(k: int, radius: int = RADIUS) -> list[int]:
+    """The bits of each band, as signed longs: all choices of k of radius + k blocks."""
+    edges = [64 * i // (radius + k) for i in range(radius + k + 1)]
+    block = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    sums = (sum(block[i] for i in chosen) for chosen in combinations(range(radius + k), k))
+    return [m - (1 << 64) if m >> 63 else m for m in sums]
+
+
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """(a, b) of distinct fingerprints `fp`: forests of all links within the radius."""
-    bands = radius + 1
-    width = 64 // bands
-    key = [F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << width) - 1) for i in range(bands)]
+    n = prints.count()
+    masks = band_masks(blocks or blocks_for(n, tile, radius), radius)
+    key = [F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks]
     lanes = prints.select(
         "fp",
         F.bit_count("fp").cast("int").alias("pop"),
@@ -224,8 +251,8 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
         "fp",
     )
     tasks = small.unionByName(spread)
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = tasks.repartition(n, "task").sortWithinPartitions("task")
+    fewest = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = tasks.repartition(max(fewest, n * len(masks) // PARTITION_ROWS), "task").sortWithinPartitions("task")
     return placed.mapInArrow(_compare(radius), "a long, b long")
 
 
