@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bucket_bounds, from_planes, pack, planes, unpack
+from .common import bucket_bounds, from_planes, pack, planes, releasing, unpack
 
 #: Weight of the lower order in each state; bytes of text that a split holds, and that a bucket serves, on average.
 MU, SPLIT_BYTES, BUCKET_BYTES = 8.0, 12 << 20, 12 << 20
@@ -319,7 +319,7 @@ def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     # The place of a row counts as well, so that rows which repeat each other are dealt out too.
     split = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(splits)).cast("int")
     dealt = source.withColumn("split", split)
-    ask = _requests(buckets)
+    ask, answer, score = releasing(_requests(buckets)), releasing(_answers), releasing(_scores)
     requests = dealt.groupBy("split").applyInArrow(lambda key, table: ask(key, _in_order(table)), "bucket int, split int, data binary")
-    answers = requests.groupBy("bucket").applyInArrow(_answers, "split int, bucket int, data binary")
-    return dealt.groupBy("split").cogroup(answers.groupBy("split")).applyInArrow(_scores, SCORES)
+    answers = requests.groupBy("bucket").applyInArrow(lambda key, table: answer(key, table), "split int, bucket int, data binary")
+    return dealt.groupBy("split").cogroup(answers.groupBy("split")).applyInArrow(lambda left, right: score(left, right), SCORES)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import bucket_bounds, pack, unpack
+from .common import bucket_bounds, pack, releasing, unpack
 from .induced import MEMORY, repeated_windows
 
 WINDOW, KMER, BLOCK = 50, 20, 1 << 15
@@ -366,14 +366,16 @@ def _passages(df: DataFrame, id_col: str, text_col: str, digest: bool, split_byt
     dealt = source.withColumn("split", split)
     to_bucket, to_split = "bucket int, split int, data binary", "split int, bucket int, data binary"
     texts = dealt.groupBy("split")
-    answers = texts.applyInArrow(_report(buckets), to_bucket).groupBy("bucket").applyInArrow(_which_repeat(hot_runs), to_split)
-    sent = texts.cogroup(answers.groupBy("split")).applyInArrow(_send(buckets), to_bucket)
-    replies = sent.groupBy("bucket").applyInArrow(_sort(buckets, memory), to_split)
+    report, which, send, sort, cut = map(releasing, (_report(buckets), _which_repeat(hot_runs), _send(buckets), _sort(buckets, memory), _cut(buckets, digest)))
+    reports = texts.applyInArrow(lambda key, table: report(key, table), to_bucket)
+    answers = reports.groupBy("bucket").applyInArrow(lambda key, table: which(key, table), to_split)
+    sent = texts.cogroup(answers.groupBy("split")).applyInArrow(lambda left, right: send(left, right), to_bucket)
+    replies = sent.groupBy("bucket").applyInArrow(lambda key, table: sort(key, table), to_split)
     if digest:
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     else:
         schema = StructType([source.schema["row"], StructField("text", StringType())])
-    return texts.cogroup(replies.groupBy("split")).applyInArrow(_cut(buckets, digest), schema)
+    return texts.cogroup(replies.groupBy("split")).applyInArrow(lambda left, right: cut(left, right), schema)
 
 
 def remove_repeats(
