@@ -163,11 +163,11 @@ def clustered(seed, n):
     return out[:n]
 
 
-@pytest.mark.parametrize("tile", [2, 4096])
-def test_links_lose_none(spark, tile):
+@pytest.mark.parametrize(("tile", "blocks"), [(2, 1), (4096, 1), (4096, 2), (2, 3), (4096, 4)])
+def test_links_lose_none(spark, tile, blocks):
     fps = sorted(set(clustered(1, 100) + [1 << k for k in range(12)] + [0]))
     df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
-    found = links(df, tile=tile).distinct()
+    found = links(df, tile=tile, blocks=blocks).distinct()
     roots = {r.node: r.root for r in components(found).collect()}
     label = [roots.get(int(np.uint64(x).astype(np.int64)), int(np.uint64(x).astype(np.int64))) for x in fps]
     expected = groups_brute(fps)
@@ -194,6 +194,13 @@ def test_tiles_agree():
         assert [find(k) for k in range(len(fps))] == expected
 
 
+def test_blocks_follow_the_number_of_fingerprints():
+    from quarry.llm.simhash_dedup import band_masks, blocks_for
+
+    assert [blocks_for(n) for n in (0, 10**8, 10**9, 10**12, 10**14)] == [1, 1, 2, 3, 4]
+    assert [len(band_masks(k)) for k in (1, 2, 3, 4)] == [4, 10, 20, 35] and sum(band_masks(1)) == -1
+
+
 def test_near_duplicates(spark):
     base = " ".join(f"w{i}" for i in range(200))
     rows = [(5, base), (3, base), (9, base + " extra"), (1, None), (7, ""), (8, "other words here"), (8, "other words here")]

@@ -11,6 +11,7 @@ from tests.llm.test_text_operators import leaks_brute
 
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.simhash_dedup import fingerprint
+from quarry.llm.suffix_dedup import LAST
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +41,54 @@ def test_stages_keep_the_columns(spark):
         assert out.dtypes == d.dtypes
 
 
+def prose(seed, n):
+    words = "the of and a to in is that it water house stone river bird cloud tree grass wind light north".split()
+    draw = np.random.default_rng(seed)
+    return " ".join(f"{w}{draw.integers(100)}" if k % 3 else w for k, w in enumerate(draw.choice(words, n)))
+
+
+def odd_documents(spark, tmp_path):
+    """Null, empty, tied, repeated, very long texts; shared and null ids; columns with names that stages use."""
+    item, shared = prose(900, 40), prose(901, 30)
+    rows = [
+        (1, None), (2, ""), (3, prose(3, 120)), (3, prose(4, 120)), (3, prose(4, 120)), (5, prose(3, 120)), (None, prose(6, 120)),
+        (None, prose(3, 120)), (7, prose(7, 60) + " " + item + " " + prose(8, 30)), (7, prose(9, 90) + " " + shared + " " + prose(10, 50)),
+        (8, prose(11, 90) + " " + shared + " " + prose(12, 40)), (9, prose(13, 40_000)), (10, "the a " * 100),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key string, fp int, split int, component_id string, words int"
+    made = [(i, t, "en", "s", None if t is None else len(t), "k", 1, 2, "c", 3) for i, t in rows]
+    bench = spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    return spark.createDataFrame(made, schema), str(tmp_path), rows
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    docs, folder, rows = odd_documents(spark, tmp_path)
+    stages = dict(corpus_pipeline.STAGES)
+    of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    good = [r for r in rows if r[1] and r[0] != 10]
+    assert of(stages["quality_rules"](spark, docs, folder)) == sorted(good, key=repr)
+    single = stages["simhash_dedup"](spark, docs, folder)
+    # The first of ids 3, 5 and null with one text, one of the two equal rows, one of the two without words.
+    assert of(single) == sorted([(1, None), *rows[2:4], *rows[6:7], *rows[8:]], key=repr)
+    cut = of(stages["suffix_dedup"](spark, docs, folder))
+    assert cut == sorted(((None if i == LAST else i, c) for i, *_, c in cut_brute([(LAST if i is None else i, (t or "").encode()) for i, t in rows])), key=repr)
+    clean = of(stages["decontamination"](spark, docs, folder))
+    assert clean == sorted([r for r in rows if r != rows[8]], key=repr)
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counts = sorted(((r.doc_id, r.n_tokens) for r in stages["bpe_codec"](spark, docs, folder).collect()), key=repr)
+    assert counts == sorted(((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=repr)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), folder)
+        assert out.count() == 0 and (name == "bpe_codec" or stage(spark, docs, folder).dtypes == docs.dtypes)
+
+
+def test_lengths_follow_the_text(spark, tmp_path):
+    docs, folder, _ = odd_documents(spark, tmp_path)
+    out = dict(corpus_pipeline.STAGES)["suffix_dedup"](spark, docs, folder)
+    assert all(r.n_chars == len(r.text) for r in out.collect())
+
+
 def test_queries_return_a_row_per_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op5_quality_classifier", "op7_language_id", "op9_lm_scoring"):

@@ -9,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import quality_rules, url_filters
-from quarry.llm.decontamination import Benchmark, Items, contaminated, shingles, word_hashes
+from quarry.llm.decontamination import RADIUS, Benchmark, Items, contaminated, simhash
 from quarry.llm.language_id import fit as fit_languages
 from quarry.llm.language_id import held_out
 from quarry.llm.language_id import predict as predict_language
 from quarry.llm.lm_scoring import MU, Automaton, Split, lm_scores
-from quarry.llm.quality_classifier import BUCKETS, FACTORS, Machine, quality_scores, train
+from quarry.llm import quality_classifier
+from quarry.llm.quality_classifier import BUCKETS, FACTORS, PENALTY, STEP, STRUCTURE, Machine, features, quality_scores, sample, train
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of tion and er thand ing reat is on or est al nd".split()
@@ -147,7 +148,7 @@ def test_language_accuracy(spark):
 
 def test_factorisation_identity():
     draw = np.random.default_rng(0)
-    size = BUCKETS + 10
+    size = BUCKETS + STRUCTURE
     m = Machine(0.3, draw.normal(size=size), draw.normal(size=(size, FACTORS)))
     ids, x = np.array([1, 5, 9]), np.array([0.5, 2.0, -1.0])
     pairs = sum(m.v[ids[i]] @ m.v[ids[j]] * x[i] * x[j] for i in range(3) for j in range(i + 1, 3))
@@ -165,6 +166,48 @@ def test_quality_classifier(spark):
     assert quality_scores(df.limit(0), Machine()).count() == 0
 
 
+def test_classifier_features():
+    text = "Good GOOD day! 12 #\nsame line\n\nsame line"
+    ids, x = features(text, 50)
+    words = text.split()
+    expected = Counter(zlib.crc32(w.lower().encode()) % BUCKETS for w in words)
+    n, size = len(words), len(text)
+    assert dict(zip(ids[:-STRUCTURE].tolist(), x[:-STRUCTURE].tolist())) == pytest.approx({b: math.sqrt(c / n) for b, c in expected.items()})
+    assert ids[-STRUCTURE:].tolist() == list(range(BUCKETS, BUCKETS + STRUCTURE))
+    figures = [1 / n, 1 / n, 1 / n, 1 - 7 / n, 1 - 2 / 3, size / n / 20, math.log1p(n) / 12, 2 / size, 4 / 100, 3 / n, math.log1p(50) / 14, (50 - size) / size]
+    assert x[-STRUCTURE:].tolist() == pytest.approx(figures, rel=1e-5)
+    assert features("", None)[1].tolist() == pytest.approx([0] * 5 + [1 / 20] + [0] * 6) and len(features("x " * 300_000)[0]) == 1 + STRUCTURE
+
+
+def test_classifier_step(monkeypatch):
+    """One step of the fit against the formula of the whole pairwise sum, feature by feature."""
+    rows, y = [features(prose(i, 12), 40 + i) for i in range(6)], np.array([1, 0, 1, 1, 0, 0.0])
+    monkeypatch.setattr(quality_classifier, "EPOCHS", 0)
+    before = quality_classifier.fit(rows, y)
+    monkeypatch.setattr(quality_classifier, "EPOCHS", 1)
+    after = quality_classifier.fit(rows, y)
+    dw, dv, d0 = np.zeros(len(before.w)), np.zeros(before.v.shape), 0.0
+    for (ids, x), label in zip(rows, y):
+        pairs = sum(before.v[i] @ before.v[j] * a * b for k, (i, a) in enumerate(zip(ids, x)) for j, b in zip(ids[:k], x[:k]))
+        error = 1 / (1 + math.exp(-(before.w0 + before.w[ids] @ x + pairs))) - label
+        d0 += error / 6
+        for i, a in zip(ids, x):
+            dw[i] += error * a / 6
+            dv[i] += error * a / 6 * sum(before.v[j] * b for j, b in zip(ids, x) if j != i)
+    used = np.unique(np.concatenate([r[0] for r in rows]))
+    dv[used] += PENALTY * before.v[used]
+    assert np.allclose(after.w, before.w - STEP * dw / np.sqrt(1e-2 + dw**2), atol=1e-5)
+    assert np.allclose(after.v, before.v - STEP * dv / np.sqrt(1e-2 + dv**2), atol=1e-5)
+    assert after.w0 == pytest.approx(-STEP * d0 / math.sqrt(1e-2 + d0**2), rel=1e-4)
+
+
+def test_classifier_sample_is_bounded(spark):
+    rows = spark.createDataFrame([(i, 1) for i in range(2000)] + [(7, 1)] * 3000, "id long, y int")
+    found = sample(rows, 300)
+    assert 200 < found.count() <= 300 and found.where("id = 7").count() == 0
+    assert sample(rows, 5000).count() == 5000
+
+
 def lm_brute(rows, training):
     tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [" "]
     c, b, d = Counter(), Counter(), Counter()
@@ -288,15 +331,37 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
 
 
 def test_index_finds_all_within_the_radius():
-    bags = [shingles(word_hashes(prose(i, 30))) for i in range(60)]
-    items = Items(list(range(60)), bags)
     draw = np.random.default_rng(5)
-    from quarry.llm.decontamination import RADIUS
-
-    for p in items.prints.tolist():
-        q = p
-        for b in draw.choice(64, RADIUS, replace=False):
-            q ^= 1 << int(b)
-        found = set(items.near(q).tolist())
-        assert found == set(np.nonzero(np.bitwise_count(items.prints ^ np.uint64(q)) <= RADIUS)[0].tolist())
+    bags = [draw.integers(0, 1 << 63, 30).astype(np.uint64) for _ in range(2000)]
+    items = Items(list(range(2000)), bags)
+    share = []
+    for p in items.prints[:60]:
+        q = np.unpackbits(p.view(np.uint8), bitorder="little")
+        q[draw.choice(128, RADIUS, replace=False)] ^= 1
+        q = np.packbits(q, bitorder="little").view("<u2")
+        far = np.bitwise_count(items.prints ^ q).sum(axis=1)
+        assert set(items.near(q).tolist()) == set(np.nonzero(far <= RADIUS)[0].tolist())
+        share.append(len(items.candidates(q)) / 2000)
+    assert np.mean(share) < 0.05
     assert Benchmark([(1, prose(1, 30))]).matches(prose(1, 30))[0][:2] == (1, 1.0)
+
+
+def test_radius_holds_similar_windows():
+    """Of windows just as similar as is asked for, one in a hundred at most lies beyond the radius."""
+    draw = np.random.default_rng(6)
+    beyond = total = 0
+    for size in (9, 18, 27, 54, 90):
+        changed = size // 9  # 8/9 in common: a similarity of 0.8
+        for _ in range(300):
+            a = draw.integers(0, 1 << 63, size + changed).astype(np.uint64)
+            beyond += int(np.bitwise_count(simhash(a[:size]) ^ simhash(a[changed:])).sum()) > RADIUS
+            total += 1
+    assert beyond / total < 0.01
+
+
+def test_decontamination_of_very_long_texts_and_null_ids(spark):
+    item = prose(31, 40)
+    docs = [(1, prose(32, 60_000) + " " + item + " " + prose(33, 10)), (None, "x " + item), (2, prose(34, 60_000))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = contaminated(df, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.similarity, r.first_word) for r in rows), key=repr) == sorted([(1, 1.0, 60_000), (None, 1.0, 1)], key=repr)
