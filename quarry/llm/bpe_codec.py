@@ -13,6 +13,7 @@ the same results; other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -21,12 +22,12 @@ import os
 import re
 import struct
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 from unicodedata import category
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ from .common import ensure_checkpoint_dir, map_texts, text_pieces
 LEXICON_WORDS, LEXICON_BYTES = 32_768, 32
 #: Words kept with their ids in a worker, the longest that is kept, and distinct words that a counting task holds.
 MEMO_ENTRIES, MEMO_CHARS, COUNT_ENTRIES = 500_000, 48, 400_000
+NONE = np.int64(1 << 60)
 _codecs: dict[str, Codec] = {}
 
 
@@ -50,11 +52,27 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each of the ranges."""
+    return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def gathered(done: list[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids end to end in order of their words, and how many each word has, from (places of words, ids, how many)."""
+    length = np.zeros(size, dtype=np.int64)
+    for place, _, n in done:
+        length[place] = n
+    begin = np.cumsum(length) - length
+    out = np.empty(int(length.sum()), dtype=np.int64)
+    for place, ids, n in done:
+        out[spans(begin[place], n)] = ids
+    return out, length
+
+
 class Vocabulary:
     """Ranks, ids, bytes and word pattern of a byte-level BPE file of the tokenizers library."""
 
-    BITS = 20
-
+    BITS = 20  # of an id
     def __init__(self, path: str) -> None:
         import regex
 
@@ -69,6 +87,9 @@ class Vocabulary:
             a, b = to_bytes(a), to_bytes(b)
             self.pairs.setdefault(ids[a] << self.BITS | ids[b], rank << self.BITS | ids[a + b])
         self.single = [ids[bytes([b])] for b in range(256)]
+        self.single_ids = np.array(self.single, dtype=np.int64)
+        self.pair_keys = np.array(sorted(self.pairs), dtype=np.int64)
+        self.pair_values = np.array([self.pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of = {i: b for b, i in ids.items()} | {i: s.encode() for s, i in self.special.items()}
         longest = sorted(self.special, key=len, reverse=True)
@@ -99,24 +120,59 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of a word by merging the pair of lowest rank again and again, leftmost first."""
-        parts = [self.single[b] for b in word]
-        if len(parts) > 64:
-            return self._merge_long(parts)
-        pairs, bits, none = self.pairs.get, self.BITS, 1 << 60
-        ranks = [pairs(a << bits | b, none) for a, b in zip(parts, parts[1:])]
-        mask = (1 << bits) - 1
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            parts[i] = new = best & mask
-            del parts[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = pairs(new << bits | parts[i + 1], none)
-            if i:
-                ranks[i - 1] = pairs(parts[i - 1] << bits | new, none)
-        return tuple(parts)
+        return tuple(self.merge_many([word])[0].tolist())
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """rank and id of the merged pairs, as one number; NONE for pairs that don't merge."""
+        key = a << self.BITS | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_values[at], NONE)
+
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words end to end, and how many each has. Each word takes a merge a round; long ones have a
+        way of their own."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # places in `words`, ids, how many
+        for i in np.nonzero(size > 64)[0].tolist():
+            ids = self._merge_long([self.single[b] for b in words[i]])
+            done.append((np.array([i]), np.array(ids, dtype=np.int64), np.array([len(ids)])))
+        number = np.nonzero((size > 0) & (size <= 64))[0]  # of each word that still merges, its place
+        length = size[number]
+        raw = b"".join(words if len(number) == len(words) else [words[i] for i in number.tolist()])
+        symbol = self.single_ids[np.frombuffer(raw, np.uint8)]
+        # Values of the pairs (symbol, next symbol); none behind a word's last symbol.
+        value = np.append(self._pair(symbol[:-1], symbol[1:]), NONE)[: len(symbol)]
+        value[np.cumsum(length) - 1] = NONE
+        mask = (1 << self.BITS) - 1
+        while len(number):
+            start = np.cumsum(length) - length
+            least = np.minimum.reduceat(value, start)
+            ready = least == NONE
+            if ready.any():
+                of = np.repeat(ready, length)
+                done.append((number[ready], symbol[of], length[ready]))
+                symbol, value, number, length, least = symbol[~of], value[~of], number[~ready], length[~ready], least[~ready]
+                if not len(number):
+                    break
+                start = np.cumsum(length) - length
+            # The leftmost pair with its word's least value: hits are in order, so the first of each word.
+            owner = np.repeat(np.arange(len(number)), length)
+            hit = np.nonzero(value == least[owner])[0]
+            whose = owner[hit]
+            pair = hit[np.append(True, whose[1:] != whose[:-1])]
+            symbol[pair] = least & mask
+            gone = np.zeros(len(symbol), bool)
+            gone[pair + 1] = True
+            last = pair + 1 == start + length - 1  # the merged pair ends its word
+            symbol, value = symbol[~gone], value[~gone]
+            length = length - 1
+            pair = pair - np.arange(len(pair))  # one symbol went from each word before
+            start = np.cumsum(length) - length
+            after = np.minimum(pair + 1, len(symbol) - 1)
+            value[pair] = np.where(last, NONE, self._pair(symbol[pair], symbol[after]))
+            inner = pair[pair > start]
+            value[inner - 1] = self._pair(symbol[inner - 1], symbol[inner])
+        return gathered(done, len(words))
 
     def _merge_long(self, parts: list[int]) -> tuple[int, ...]:
         """The same for long words in n log n steps: a heap of pairs over a linked list."""
@@ -226,9 +282,6 @@ def build_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
     return head + b"".join(map(ints, (first, finals, targets, skips, starts, ids))) + bytes(labels) + bytes(-len(labels) % 4)
 
 
-SINGLE = [bytes([b]) for b in range(256)]
-
-
 class Lexicon:
     """Read-only view of `build_lexicon`'s bytes, mapped from a file."""
 
@@ -241,115 +294,163 @@ class Lexicon:
                 self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         finally:
             os.unlink(name)  # the mapping stays; nothing is left behind
-        view = memoryview(self.map).cast("I")
-        states, n_arcs, words, n_ids, self.root, _ = view[:6]
+        view = np.frombuffer(self.map, dtype="<u4", count=len(self.map) // 4)
+        states, n_arcs, words, n_ids, root, _ = view[:6].tolist()
         at, parts = 6, []
         for size in (states + 1, states, n_arcs, n_arcs, words + 1, n_ids):
             parts.append(view[at : at + size])
             at += size
-        self.labels_at = 4 * at
-        self.first, self.final, self.targets, self.skips, self.starts, self.ids = parts
+        self.root, (first, self.final, self.targets, self.skips, self.starts, self.ids) = root, parts
+        labels = np.frombuffer(self.map, dtype="u1", count=n_arcs, offset=4 * at)
+        #: Arcs by (state, label), in order.
+        self.arcs = np.repeat(np.arange(states, dtype=np.uint32), np.diff(first)) << np.uint32(8) | labels
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
-        state, index = self.root, 0
-        first, targets, skips, find, at = self.first, self.targets, self.skips, self.map.find, self.labels_at
-        for b in word:
-            arc = find(SINGLE[b], at + first[state], at + first[state + 1]) - at
-            if arc < 0:
-                return None
-            index += skips[arc]
-            state = targets[arc]
-        if not self.final[state]:
-            return None
-        return tuple(self.ids[self.starts[index] : self.starts[index + 1]])
-
-
-class Memo(dict):
-    """Values of short keys, made when first asked for. Beyond MEMO_ENTRIES it starts anew, and what it had stays
-    until the next time."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+        found, ids, _ = self.get_many([word])
+        return tuple(ids.tolist()) if len(found) else None
+
+    def get_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the words that it has, their outputs end to end, and how many each has. All words take a step
+        together."""
+        none = np.zeros(0, dtype=np.int64)
+        if not words or not len(self.arcs):
+            return none, none, none
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.cumsum(length) - length
+        state, index = np.full(len(words), self.root, np.uint32), np.zeros(len(words), np.int64)
+        alive = np.arange(len(words))
+        done = [alive[length == 0]]
+        alive = alive[length > 0]
+        for k in range(int(length.max())):
+            key = state[alive] << np.uint32(8) | raw[begin[alive] + k]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            there = self.arcs[arc] == key
+            alive, arc = alive[there], arc[there]
+            index[alive] += self.skips[arc]
+            state[alive] = self.targets[arc]
+            ends = length[alive] == k + 1
+            done.append(alive[ends])
+            alive = alive[~ends]
+            if not len(alive):
+                break
+        found = np.concatenate(done)
+        found = found[self.final[state[found]] == 1]
+        first = self.starts[index[found]].astype(np.int64)
+        n = self.starts[index[found] + 1] - first
+        return found, self.ids[spans(first, n)].astype(np.int64), n
 
 
 class Codec:
-    """Encoder and decoder of a worker. Texts are taken by the parts of `space_cuts`; of a part and the space
-    before it, `shown` has the ids as decimals with commas, and `raw` the bytes that these decode to."""
+    """Encoder and decoder of a worker. A chunk of texts is cut at spaces into parts; the distinct ones are looked up
+    among those of the chunks before, the others are cut into words, which are walked through the lexicon all together,
+    and what that lacks is merged all together. Of a part (and the space before it) are kept the ids, as decimals with
+    commas, and the bytes that these decode to."""
 
     def __init__(self, path: str, lexicon: bytes | None = None) -> None:
         self.vocabulary = Vocabulary(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         size = max(self.vocabulary.bytes_of) + 1
-        self.decimal = [str(i) for i in range(size)]
+        self.decimal = pa.array([str(i) for i in range(size)], pa.string())
         self.pieces = [self.vocabulary.bytes_of.get(i, b"") for i in range(size)]
-        self.word, self.shown, self.raw = Memo(self._word), Memo(self._shown), Memo(self._raw)
+        self.piece_array = pa.array(self.pieces, pa.binary())
         self.special = [s for s in self.vocabulary.special if s]
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        ids = self.lexicon.get(raw) if self.lexicon and len(raw) <= LEXICON_BYTES else None
-        return self.vocabulary.merge(raw) if ids is None else ids
-
-    def part(self, part: str) -> tuple[int, ...]:
-        words = self.vocabulary.words(part)
-        if len(words) == 1:
-            return self._word(words[0])
-        # Marks and endings return again and again; whole parts are kept by the caller.
-        return tuple(chain.from_iterable(self._word(w) if len(w) > 4 else self.word[w] for w in words))
-
-    def decimals(self, ids) -> str:
-        return ",".join(map(self.decimal.__getitem__, ids))
-
-    def _shown(self, part: str) -> str:
-        return self.decimals(self.part(" " + part))
-
-    def _raw(self, part: str) -> bytes:
-        return b"".join([self.pieces[int(x)] for x in self.shown[part].split(",")])
-
-    def plain(self, text: str) -> list[int]:
-        if not text:
-            return []
-        parts = space_cuts(text)
-        ids = list(self.part(parts[0]))
-        ids.extend(map(int, chain.from_iterable(self.shown[p].split(",") for p in parts[1:])))
-        return ids
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, by the lexicon or else by merging, and how many each has."""
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= LEXICON_BYTES] if self.lexicon else []
+        found, ids, n = self.lexicon.get_many([words[i] for i in short]) if short else (np.zeros(0, np.int64),) * 3
+        place = np.array(short, dtype=np.int64)[found]
+        left = np.ones(len(words), bool)
+        left[place] = False
+        rest = np.nonzero(left)[0]
+        more, m = self.vocabulary.merge_many([words[i] for i in rest.tolist()])
+        return gathered([(place, ids, n), (rest, more, m)], len(words))
+
+    def shown(self, ids: np.ndarray, lengths: np.ndarray) -> list[tuple[str, bytes]]:
+        """(decimals with commas, decoded bytes) of runs of ids."""
+        at = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+        index = pa.array(ids, pa.int32())
+        runs = lambda table: pa.ListArray.from_arrays(at, table.take(index))
+        decimals = pa.compute.binary_join(runs(self.decimal), ",").to_pylist()
+        return list(zip(decimals, pa.compute.binary_join(runs(self.piece_array), b"").to_pylist(), strict=True))
+
+    def parts(self, parts: list[str], space: str = "") -> list[tuple[str, bytes]]:
+        """(decimals, bytes) of parts, each with `space` before it and taken for itself."""
+        cut, words, counts = self.vocabulary.words, [], []
+        for part in parts:
+            if part.isalpha():
+                words.append(space + part)
+                counts.append(1)
+            else:
+                found = cut(space + part)
+                words += found
+                counts.append(len(found))
+        ids, lengths = self.ids([w.encode() for w in words])
+        upto = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts, dtype=np.int64))]
+        return self.shown(ids, np.diff(upto))
+
+    def both(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """The ids of each text as decimals with commas, and the bytes that they decode to."""
+        collects = gc.isenabled()
+        gc.disable()  # all that is made here is strings and tuples of strings, which need no collector
+        try:
+            return self._both(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _both(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        out: list[tuple[str, bytes] | None] = [None] * len(texts)
+        plain, firsts, flat, counts = [], [], [], []
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                ids = self.encode(text)
+                out[i] = ",".join(map(str, ids)), self.decode(ids).encode()
+                continue
+            first, *rest = space_cuts(text)
+            plain.append(i)
+            firsts.append(first)
+            flat += rest
+            counts.append(len(rest))
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        del flat
+        at, distinct = coded.indices.to_numpy().tolist(), coded.dictionary.to_pylist()
+        del coded
+        known, old = self.known.get, self.old.get
+        found = [known(p) or old(p) for p in distinct]
+        new = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(new, self.parts([distinct[k] for k in new], " "), strict=True):
+            found[k] = x
+        self.known.update((p, x) for p, x in zip(distinct, found, strict=True) if len(p) <= MEMO_CHARS)
+        if len(self.known) > MEMO_ENTRIES:
+            self.old, self.known = self.known, {}
+        shown, raw = [x[0] for x in found].__getitem__, [x[1] for x in found].__getitem__
+        begin = 0
+        for i, first, n in zip(plain, self.parts(firsts), counts, strict=True):
+            mine = at[begin : begin + n]
+            begin += n
+            joined = ",".join(map(shown, mine))
+            out[i] = f"{first[0]},{joined}" if first[0] and joined else first[0] or joined, first[1] + b"".join(map(raw, mine))
+        return out
 
     def encode(self, text: str) -> list[int]:
         special = self.vocabulary.special
-        if not any(s in text for s in self.special):
-            return self.plain(text)
         out: list[int] = []
-        for x in self.vocabulary.split_special(text):
-            out.extend([special[x]] if x in special else self.plain(x))
+        for x in self.vocabulary.split_special(text) if any(s in text for s in self.special) else [text]:
+            if x in special:
+                out.append(special[x])
+            elif x:
+                parts = [p if k == 0 else " " + p for k, p in enumerate(space_cuts(x))]
+                words = [w for p in parts for w in self.vocabulary.words(p)]
+                out.extend(self.ids([w.encode() for w in words])[0].tolist())
         return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
-    def both(self, text: str) -> tuple[str, bytes]:
-        """The ids of a text as decimals with commas, and the bytes that they decode to."""
-        if not text or any(s in text for s in self.special):
-            ids = self.encode(text)
-            return self.decimals(ids), self.decode(ids).encode()
-        first, *parts = space_cuts(text)
-        ids = self.part(first)
-        shown = [self.decimals(ids), *map(self.shown.__getitem__, parts)] if ids else map(self.shown.__getitem__, parts)
-        joined = ",".join(shown)
-        raw = b"".join([*map(self.pieces.__getitem__, ids), *map(self.raw.__getitem__, parts)])
-        return joined, raw.decode("utf-8", "replace").encode()
-
 
 def word_counts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(word, n) over all texts, words up to LEXICON_BYTES bytes. Tasks count the parts between spaces in
@@ -358,15 +459,21 @@ def word_counts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        words, counts, firsts = Vocabulary(path).words, Counter(), Counter()
+        words = Vocabulary(path).words
+        counts: dict[str, int] = {}
+
+        def add(parts: list[str], space: str) -> None:
+            found = pa.array(parts, pa.string()).value_counts()
+            for part, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                part = space + part
+                counts[part] = counts.get(part, 0) + n
 
         def out() -> pa.RecordBatch:
             sums: dict[str, int] = {}
-            for space, found in (("", firsts), (" ", counts)):
-                for part, n in found.items():
-                    for word in words(space + part):
-                        sums[word] = sums.get(word, 0) + n
-                found.clear()
+            for part, n in counts.items():
+                for word in words(part):
+                    sums[word] = sums.get(word, 0) + n
+            counts.clear()
             for word in [w for w in sums if len(w.encode()) > LEXICON_BYTES]:
                 del sums[word]
             arrays = [pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())]
@@ -374,13 +481,16 @@ def word_counts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
         for batch in batches:
             for _, texts in text_pieces(batch, 0):
+                firsts, rest = [], []
                 for text in texts:
-                    parts = space_cuts(text)
-                    firsts[parts[0]] += 1
-                    counts.update(parts[1:])
-                    if len(counts) + len(firsts) > COUNT_ENTRIES:
-                        yield out()
-        if counts or firsts:
+                    first, *others = space_cuts(text)
+                    firsts.append(first)
+                    rest += others
+                add(firsts, "")
+                add(rest, " ")
+                if len(counts) > COUNT_ENTRIES:
+                    yield out()
+        if counts:
             yield out()
 
     parts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long")
@@ -432,11 +542,10 @@ def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
         def run(texts: list[str]) -> list[list]:
             counts, id_hashes, text_hashes = [], [], []
-            for text in texts:
-                shown, raw = codec.both(text)
+            for shown, raw in codec.both(texts):
                 counts.append(shown.count(",") + 1 if shown else 0)
                 id_hashes.append(sha(shown.encode()))
-                text_hashes.append(sha(raw))
+                text_hashes.append(sha(raw.decode("utf-8", "replace").encode()))
             return [counts, id_hashes, text_hashes]
 
         return run
@@ -446,7 +555,10 @@ def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 def _codec_maker(df: DataFrame, path: str, text_col: str):
     vocabulary = Vocabulary(path)
-    words = {w.encode(): vocabulary.merge(w.encode()) for w in frequent_words(df, path, text_col)}
+    frequent = [w.encode() for w in frequent_words(df, path, text_col)]
+    ids, lengths = vocabulary.merge_many(frequent)
+    ends = np.cumsum(lengths).tolist()
+    words = {w: tuple(ids[b - n : b].tolist()) for w, b, n in zip(frequent, ends, lengths.tolist(), strict=True)}
     # At most LEXICON_WORDS words of LEXICON_BYTES bytes: 12 bytes an arc, 4 an id, so under 20 MB.
     data = build_lexicon(words)
     shared, name = df.sparkSession.sparkContext.broadcast(data), f"{path} {hashlib.sha256(data).hexdigest()}"
