@@ -1,9 +1,8 @@
-"""What the operators share: table reading, Arrow mapping over whole texts, checkpoint folder, packed blobs."""
+"""What the operators share: table reading, Arrow mapping over whole texts, packed blobs, memory."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import ensure_checkpoint_dir  # noqa: F401
+
 #: Bytes of text that one call of a batch function sees at most (one longer text is a batch of its own).
 BATCH_BYTES = 8 << 20
 
@@ -19,20 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set (tests)."""
-    sc = spark.sparkContext
-    conf = sc.getConf().get("spark.checkpoint.dir")
-    if conf is None:
-        found = sc._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        conf = tempfile.mkdtemp(prefix="checkpoint-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(conf)
-    return conf
-
-
 def text_pieces(batch: pa.RecordBatch, column: int, size: int = BATCH_BYTES) -> Iterator[tuple[int, list[str]]]:
     """Slices of a batch with at most `size` bytes of text: (first row, texts). Null texts are empty."""
     values = batch.column(column)
