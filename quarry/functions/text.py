@@ -51,7 +51,7 @@ def once(c: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def basic_unescape(c: Column) -> Column:
-    """The XML entities and the most frequent HTML ones, without leaving the JVM."""
+    """The XML entities and the most frequent HTML ones, without leaving the JVM: for texts known to hold no others."""
     for entity, char in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
@@ -65,13 +65,13 @@ def strip_tags(c: Column, by: str = "") -> Column:
     return F.regexp_replace(c, "<[^>]+>", by)
 
 
-def decode_abstract(c: Column, unescape=basic_unescape) -> Column:
+def decode_abstract(c: Column, unescape=html_unescape) -> Column:
     """References first, so that escaped tags go too; null if nothing is left."""
     text = collapse(strip_tags(unescape(c), " "))
     return F.when(text != "", text)
 
 
-def clean_text(c: Column, unescape=basic_unescape) -> Column:
+def clean_text(c: Column, unescape=html_unescape) -> Column:
     """Tags, references, TeX and white space; '' for null. References come after tags, so escaped tags stay."""
     text = unescape(strip_tags(c, " "))
     text = F.regexp_replace(text, r'\\"([a-zA-Z])', "$1")

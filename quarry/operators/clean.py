@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.language import detect_language
 
 
 def drop_blank(df: DataFrame, *cols: str) -> DataFrame:
@@ -21,15 +22,16 @@ def keep_english(df: DataFrame, lang: str = "abstract_lang", text: str = "clean_
     return df.where(english), df.where(~english)
 
 
-def clean_cascade(df: DataFrame, unescape=T.basic_unescape) -> tuple[DataFrame, DataFrame]:
-    """(papers, other languages) from title, abstract, lang: not blank, informative, cleaned, English, no
-    diagnostic reports. Adds clean_title, clean_abstract, abstract_lang, type."""
+def clean_cascade(df: DataFrame, unescape=T.html_unescape) -> tuple[DataFrame, DataFrame]:
+    """(papers, other languages) from title, abstract and, if there is one, lang: not blank, informative, cleaned,
+    English, no diagnostic reports. Adds clean_title, clean_abstract, abstract_lang (detected where there is no
+    column lang), type."""
     kept = drop_blank(df, "title", "abstract").where(T.is_informative(F.col("abstract")))
     # A generator's single row: filters on what is made here can't be moved below it, so nothing is made twice.
     made = F.struct(
         T.clean_text(F.col("abstract"), unescape).alias("clean_abstract"),
         T.clean_text(F.col("title"), unescape).alias("clean_title"),
-        F.col("lang").alias("abstract_lang"),
+        (F.col("lang") if "lang" in df.columns else detect_language(F.col("abstract"))).alias("abstract_lang"),
         T.document_type(F.col("title")).alias("type"),
     )
     cleaned = kept.select("*", F.explode(F.array(made)).alias("made")).select(*kept.columns, "made.*")

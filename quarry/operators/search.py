@@ -48,12 +48,73 @@ def bm25(index: DataFrame, stats: DataFrame, key: str, terms: list[str], typos:
     postings = index.where(F.col("term").isin(terms)) if not typos else index
     postings = postings.select("*", F.explode(hit).alias("q"))
     found = postings.groupBy("term").agg(F.countDistinct(key).alias("df"))
-    joined = postings.join(F.broadcast(found), "term").crossJoin(F.broadcast(stats))
+    joined = postings.join(found, "term").crossJoin(F.broadcast(stats))  # stats: one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.col("mean")))
     return joined.groupBy(key).agg(F.countDistinct("q").alias("matched"), F.sum(part).alias("score"))
 
 
+def positions_index(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, key, positions): postings with places (from 0), one row for each term of a document."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    flat = df.select(key, F.posexplode(words).alias("pos", "term"))
+    return flat.groupBy("term", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def allowed_typos(word: str) -> int:
+    """None in words of up to 4 letters, one in up to 8, then two."""
+    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+
+
+def matching_terms(index: DataFrame, words: list[str]) -> DataFrame:
+    """(term, i, typos): the distinct terms near enough to a query's words, judged once each."""
+    terms = index.select("term").distinct()
+    near = [
+        F.when((F.abs(F.length("term") - len(w)) <= 2) & (F.levenshtein("term", F.lit(w)) <= allowed_typos(w)), F.struct(F.lit(i).alias("i"), F.levenshtein("term", F.lit(w)).alias("typos")))
+        for i, w in enumerate(words)
+    ]
+    return terms.select("term", F.explode(F.array_compact(F.array(*near))).alias("m")).select("term", "m.i", "m.typos")
+
+
+def closest(a: Column, b: Column) -> Column:
+    """The least distance of a number of one array to one of another: neighbours in the order of both."""
+    tag = lambda xs, t: F.transform(xs, lambda x: F.struct(x.alias("x"), F.lit(t).alias("t")))
+
+    def least(both: Column) -> Column:
+        steps = F.zip_with(F.slice(both, 1, F.size(both) - 1), F.slice(both, 2, F.size(both) - 1), lambda p, q: F.when(p["t"] != q["t"], q["x"] - p["x"]))
+        return F.array_min(steps)
+
+    return F.transform(F.array(F.array_sort(F.concat(tag(a, 0), tag(b, 1)))), least)[0]
+
+
+def ranked(index: DataFrame, key: str, words: list[str], far: int = 8) -> DataFrame:
+    """(key, matched, typos, proximity): how many of the words a document has, the typos of the best match of each, and
+    the sum over neighbouring words of their least distance, `far` at most (and for words it lacks). Sort by
+    matched descending, then typos, then proximity."""
+    hits = matching_terms(index, words)
+    found = index.join(hits, "term").groupBy(key, "i").agg(F.min("typos").alias("typos"), F.flatten(F.collect_list("positions")).alias("positions"))
+    docs = found.groupBy(key).agg(F.count("*").alias("matched"), F.sum("typos").alias("typos"), F.map_from_entries(F.collect_list(F.struct("i", "positions"))).alias("at"))
+    step = lambda i: F.least(F.lit(far), F.coalesce(closest(F.try_element_at("at", F.lit(i)), F.try_element_at("at", F.lit(i + 1))), F.lit(far)))
+    near = F.lit(0)
+    for i in range(len(words) - 1):
+        near = near + step(i)
+    return docs.select(key, "matched", "typos", near.cast("long").alias("proximity"))
+
+
+def sorted_pages(df: DataFrame, key: str, sorts: dict[str, Column], size: int) -> DataFrame:
+    """The first page under each sort: (sort, key, k)."""
+    from pyspark.sql import Window as W
+
+    made = []
+    for name, order in sorts.items():
+        first = page(df, 0, size, order, F.col(key))
+        made.append(first.select(F.lit(name).alias("sort"), key, F.row_number().over(W.orderBy(order, key)).cast("long").alias("k")))
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out
+
+
 def facet_counts(df: DataFrame, levels: list[str]) -> DataFrame:
     """Counts of each path of a hierarchy, all levels in one pass: (level, path, n)."""
     made = F.array(*(F.struct(F.lit(i).alias("level"), F.col(c).alias("path")) for i, c in enumerate(levels)))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Parts into which a range of values is cut at a time.
+PARTS = 64
+
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Counts by value without nulls."""
@@ -76,14 +81,27 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def expected_mutual_information(rows: list[int], cols: list[int]) -> float:
-    """Of two random labellings with these class sizes (hypergeometric)."""
-    n, lg, out = sum(rows), math.lgamma, 0.0
-    for a in rows:
-        for b in cols:
-            fixed = lg(a + 1) + lg(b + 1) + lg(n - a + 1) + lg(n - b + 1) - lg(n + 1)
-            for k in range(max(1, a + b - n), min(a, b) + 1):
-                p = math.exp(fixed - lg(k + 1) - lg(a - k + 1) - lg(b - k + 1) - lg(n - a - b + k + 1))
-                out += k / n * math.log(n * k / (a * b)) * p
+    """Of two random labellings with these class sizes (hypergeometric). Pairs of equal sizes are taken once, and all
+    cell counts of a pair together."""
+    n, out = sum(rows), 0.0
+    if not n:
+        return out
+    a_sizes, a_times = np.unique(rows, return_counts=True)
+    b_sizes, b_times = np.unique(cols, return_counts=True)
+    top = int(max(a_sizes.max(), b_sizes.max()))
+    small = np.concatenate(([0.0, 0.0], np.cumsum(np.log(np.arange(2, top + 1, dtype=np.float64)))))  # log k!
+    lg = np.vectorize(math.lgamma, otypes=[np.float64])
+    rest_a, rest_b, whole = lg(n - a_sizes + 1.0), lg(n - b_sizes + 1.0), math.lgamma(n + 1)
+    for a, times_a, ra in zip(a_sizes.tolist(), a_times.tolist(), rest_a.tolist()):
+        for b, times_b, rb in zip(b_sizes.tolist(), b_times.tolist(), rest_b.tolist()):
+            k = np.arange(max(1, a + b - n), min(a, b) + 1)
+            if not len(k):
+                continue
+            left = n - a - b + k
+            # log (n - a - b + k)! from its least value on, in steps.
+            last = math.lgamma(left[0] + 1) + np.concatenate(([0.0], np.cumsum(np.log(left[1:].astype(np.float64)))))
+            p = np.exp(small[a] + small[b] + ra + rb - whole - small[k] - small[a - k] - small[b - k] - last)
+            out += times_a * times_b * float((k / n * np.log(n * k / (a * b)) * p).sum())
     return out
 
 
@@ -128,15 +146,57 @@ def missing_rates(df: DataFrame, cols: list[str]) -> DataFrame:
     return one.unpivot([], cols, "column", "missing")
 
 
+def _ranked(counts: DataFrame, ranks: list[int], keep: int) -> dict[int, float]:
+    """The values at some places (from 0) of the order of all values, from (v, n), one row for each value."""
+    few = counts.orderBy("v").limit(keep + 1).collect() if counts.limit(keep + 1).count() <= keep else None
+    if few is not None:
+        upto, out = 0, {}
+        for v, n in few:
+            for r in ranks:
+                if upto <= r < upto + n:
+                    out[r] = v
+            upto += n
+        return out
+    # Cut at approximate quantiles and at equal steps; only parts that hold a wanted place are looked into.
+    at = [i / PARTS for i in range(1, PARTS)]
+    f = counts.agg(F.percentile_approx("v", F.array(*map(F.lit, at)), 2000).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    cuts = sorted({*f.q, *(f.lo + (f.hi - f.lo) * x for x in at)} - {f.lo})
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("v")))
+    sums = dict(counts.groupBy(part.alias("part")).agg(F.sum("n").alias("n")).collect())  # 2 * PARTS rows at most
+    base, out = 0, {}
+    for k in range(len(cuts) + 1):
+        n = sums.get(k, 0)
+        inside = [r - base for r in ranks if base <= r < base + n]
+        if inside:
+            low = [F.col("v") >= cuts[k - 1]] if k else []
+            high = [F.col("v") < cuts[k]] if k < len(cuts) else []
+            found = _ranked(counts.where(reduce(Column.__and__, low + high)), inside, keep)
+            out |= {r + base: v for r, v in found.items()}
+        base += n
+    return out
+
+
+def quantiles(df: DataFrame, col: str, at: list[float], keep: int = 10_000) -> list[float]:
+    """Exact quantiles with linear interpolation, without one task that holds all values: equal values are folded, and
+    the range is cut into parts until those that hold a wanted place have `keep` values at most. [] without values."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return []
+    places = [(total - 1) * q for q in at]
+    found = _ranked(counts, sorted({x for p in places for x in (math.floor(p), math.ceil(p))}), keep)
+    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def edges(df: DataFrame, col: str, bins: int) -> list[float]:
     """Distinct linear-interpolated quantiles: bins + 1 numbers at most."""
-    at = [i / bins for i in range(bins + 1)]
-    found = df.agg(F.percentile(col, F.array(*map(F.lit, at))).alias("e")).first().e or []
-    return sorted(set(found))
+    return sorted(set(quantiles(df, col, [i / bins for i in range(bins + 1)])))
 
 
 def quantile_bin(col: Column, found: list[float]) -> Column:
     """Bins closed on the right, the first also on the left; null outside."""
+    if not found:
+        return F.lit(None).cast("int")
     out = F.when(col < found[0], F.lit(None).cast("int"))
     for i, hi in enumerate(found[1:]):
         out = out.when(col <= hi, F.lit(i))
@@ -166,3 +226,73 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     c = df.groupBy(label).agg(F.count("*").alias("c"))
     total = c.agg(F.sum("c").alias("t"), F.count("*").alias("k"))
     return c.crossJoin(F.broadcast(total)).select(label, (F.col("t") / (F.col("k") * F.col("c"))).alias("weight"))
+
+
+def averages(report: DataFrame) -> DataFrame:
+    """The macro and weighted rows of `accuracy_report`: means over the classes, plain and by support."""
+    names = ("precision", "recall", "f1")
+    macro = report.agg(F.lit("macro avg").alias("label"), F.sum("support").alias("support"), *(F.avg(c).alias(c) for c in names))
+    weighted = report.agg(F.lit("weighted avg").alias("label"), F.sum("support").alias("support"), *(weighted_mean(F.col(c), F.col("support")).alias(c) for c in names))
+    return macro.unionByName(weighted)
+
+
+def size_figures(df: DataFrame, group: str, target: int | None = None) -> DataFrame:
+    """One row over the sizes of groups: groups, mean, median, least, most, and the mean size that a corpus of `target`
+    rows would have."""
+    sizes = value_counts(df, group)
+    middle = quantiles(sizes, "n", [0.5])
+    projected = F.avg("n") * F.lit(target).cast("double") / F.sum("n") if target else F.lit(None).cast("double")
+    return sizes.agg(
+        F.count("*").alias("groups"),
+        F.avg("n").alias("mean"),
+        F.lit(middle[0] if middle else None).cast("double").alias("median"),
+        F.min("n").alias("least"),
+        F.max("n").alias("most"),
+        projected.alias("projected"),
+    )
+
+
+def agreement(df: DataFrame, first: str, second: str, unknown: str = "UNKNOWN") -> DataFrame:
+    """One row over two labellers: rows, how many agree and disagree, the rate, and how many each left unknown."""
+    same = F.col(first) == F.col(second)
+    return df.agg(
+        F.count("*").alias("n"),
+        F.count(F.when(same, 1)).alias("agree"),
+        F.count(F.when(~same, 1)).alias("disagree"),
+        F.avg(same.cast("int")).alias("rate"),
+        F.count(F.when(F.col(first) == unknown, 1)).alias("unknown_first"),
+        F.count(F.when(F.col(second) == unknown, 1)).alias("unknown_second"),
+    )
+
+
+def consensus(curated: Column, other: Column, unknown: str = "UNKNOWN") -> Column:
+    """struct(label, agree): the curated label always wins; the other one stands in only where there is none."""
+    label = F.coalesce(F.nullif(curated, F.lit("")), F.when(other != unknown, other), F.lit(unknown))
+    return F.struct(label.alias("label"), F.coalesce(curated == other, F.lit(False)).alias("agree"))
+
+
+def ordered_distinct(order: Column, items: Column) -> Column:
+    """Aggregate: arrays put end to end in an order, each item kept where it is first."""
+    parts = F.array_sort(F.collect_list(F.struct(order.alias("o"), items.alias("x"))))
+    return F.array_distinct(F.flatten(F.transform(parts, lambda p: p["x"])))
+
+
+def grouping(df: DataFrame, sets: list[tuple[str, ...]], *aggs: Column) -> DataFrame:
+    """Aggregates over several sets of columns at once; a column outside a row's set is null, and `level` tells the
+    sets apart (a bit for each absent column, the last column's the lowest)."""
+    cols = list(dict.fromkeys(c for s in sets for c in s))
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(F.grouping_id().alias("level"), *aggs)
+
+
+def reliability(df: DataFrame, signal: str, correct: str, bins: int = 10) -> DataFrame:
+    """Of bins of equal mass of a signal: its mean, the share that is correct, and the size."""
+    known = df.where(F.col(signal).isNotNull() & F.col(correct).isNotNull())
+    binned = known.withColumn("bin", quantile_bin(F.col(signal), edges(known, signal, bins)))
+    return binned.groupBy("bin").agg(F.avg(signal).alias("signal"), F.avg(F.col(correct).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def top_or_other(df: DataFrame, col: str, size: int, other: str = "other") -> DataFrame:
+    """The column with all but its `size` most frequent values (ties: the least) replaced."""
+    top = value_counts(df, col).orderBy(F.desc("n"), col).limit(size).select(F.col(col).alias("top_value"))
+    joined = df.join(F.broadcast(top), F.col(col) == F.col("top_value"), "left")  # `size` rows
+    return joined.withColumn(col, F.coalesce("top_value", F.lit(other))).drop("top_value")

@@ -233,7 +233,7 @@ def w2_top_per_group(spark, sf_dir):
 @query("w3_quartiles", "SELECT CASE WHEN n_chars <= q1 THEN 'low' ELSE 'high' END AS side, count(*) AS n FROM documents, (SELECT quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.75) AS q3 FROM documents) WHERE n_chars <= q1 OR n_chars >= q3 GROUP BY 1")
 def w3_quartiles(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("n_chars")
-    q1, q3 = d.agg(F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first().q
+    q1, q3 = stats.quantiles(d, "n_chars", [0.25, 0.75])
     sides = d.where((F.col("n_chars") <= q1) | (F.col("n_chars") >= q3))
     return sides.groupBy(F.when(F.col("n_chars") <= q1, "low").otherwise("high").alias("side")).agg(F.count("*").alias("n"))
 

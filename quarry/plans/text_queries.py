@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.language import FREQUENT_WORDS, detect_language
 from ..sources.io import table
 from .base import PAPERS_SQL, papers
 from .registry import query
@@ -35,14 +36,43 @@ def _clean(x: str) -> str:
 
 @query("p1_decode", f"SELECT page_id, nullif({_collapse(chr(39).join(['regexp_replace(' + _unescape('html') + ', ', '<[^>]+>', ', ', ' ', ', ', 'g', ')']))}, '') AS abstract FROM pages")
 def p1_decode(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.decode_abstract(F.col("html")).alias("abstract"))
+    return table(spark, sf_dir, "pages").select("page_id", T.decode_abstract(F.col("html"), T.basic_unescape).alias("abstract"))
 
 
 @query("p2_clean", f"SELECT page_id, {_clean('html')} AS clean FROM pages")
 def p2_clean(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_text(F.col("html"), T.basic_unescape).alias("clean"))
+
+
+#: All references that the pages hold, by hand; a single pass, so that an escaped ampersand makes no new reference.
+_ALL = r"""regexp_replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')"""
+
+
+@query("p1_decode_all", "SELECT page_id, nullif(" + _collapse("regexp_replace(" + _ALL.format(x="html") + ", '<[^>]+>', ' ', 'g')") + ", '') AS abstract FROM pages")
+def p1_decode_all(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.decode_abstract(F.col("html")).alias("abstract"))
+
+
+@query("p2_clean_all", "SELECT page_id, " + _clean("html").replace(_unescape("regexp_replace(html, '<[^>]+>', ' ', 'g')"), _ALL.format(x="regexp_replace(html, '<[^>]+>', ' ', 'g')")) + " AS clean FROM pages")
+def p2_clean_all(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_text(F.col("html")).alias("clean"))
 
 
+_LANGUAGE_WORDS = ", ".join(f"('{lang}', [" + ", ".join(f"'{w}'" for w in words) + "])" for lang, words in sorted(FREQUENT_WORDS.items()))
+
+
+@query(
+    "p7_detect_language",
+    rf"""WITH w AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}]+') AS w FROM documents),
+l AS (SELECT * FROM (VALUES {_LANGUAGE_WORDS}) AS t(lang, words)),
+s AS (SELECT doc_id, lang, len(list_filter(w, lambda x: list_contains(words, x))) AS n FROM w, l),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS k FROM s)
+SELECT doc_id, CASE WHEN n > 0 THEN lang ELSE 'unknown' END AS abstract_lang FROM r WHERE k = 1""",
+)
+def p7_detect_language(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", detect_language(F.col("text")).alias("abstract_lang"))
+
+
 @query("p3_cjk_ratio", f"SELECT doc_id, CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '{T.CJK}'))::DOUBLE / length(text) ELSE 0.0 END AS ratio FROM documents")
 def p3_cjk_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.cjk_ratio(F.col("text")).alias("ratio"))
@@ -260,15 +290,20 @@ def g3_embedding_report(spark, sf_dir):
     "SELECT count(*) AS n, round(avg(w), 4) AS mean, median(w) AS median, round(stddev_samp(w), 4) AS std, quantile_cont(w, 0.25) AS q25, quantile_cont(w, 0.99) AS q99, count(text) - count(DISTINCT text) AS duplicates FROM (SELECT text, length(text)::DOUBLE AS w FROM documents)",
 )
 def g7_exploration(spark, sf_dir):
+    from ..operators.stats import quantiles
+
     d = table(spark, sf_dir, "documents").select("text", F.length("text").cast("double").alias("w"))
+    median, q25, q99 = (quantiles(d, "w", [0.5, 0.25, 0.99]) or [None] * 3)
+    # Equal texts by 96 bits of hashes, so that no text is shuffled.
+    prints = F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text"), F.hash("text")))
     return d.agg(
         F.count("*").alias("n"),
         F.round(F.avg("w"), 4).alias("mean"),
-        F.median("w").alias("median"),
+        F.lit(median).cast("double").alias("median"),
         F.round(F.stddev_samp("w"), 4).alias("std"),
-        F.percentile("w", F.lit(0.25)).alias("q25"),
-        F.percentile("w", F.lit(0.99)).alias("q99"),
-        (F.count("text") - F.countDistinct("text")).alias("duplicates"),
+        F.lit(q25).cast("double").alias("q25"),
+        F.lit(q99).cast("double").alias("q99"),
+        (F.count("text") - F.countDistinct(prints)).alias("duplicates"),
     )
 
 

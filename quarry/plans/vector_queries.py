@@ -38,14 +38,13 @@ def a13_centroids(spark, sf_dir):
 
 @query("v2_own_similarity", f"WITH {_CENTROIDS} SELECT vec_id, round(list_inner_product(u, m), 4) AS sim FROM {_E} JOIN cu USING (label)")
 def v2_own_similarity(spark, sf_dir):
-    joined = _vectors(spark, sf_dir).join(F.broadcast(_classes(spark, sf_dir)), F.col("label") == F.col("c"))
+    joined = _vectors(spark, sf_dir).join(_classes(spark, sf_dir), F.col("label") == F.col("c"))
     return joined.select("vec_id", F.round(V.dot(F.col("u"), F.col("centroid")), 4).alias("sim"))
 
 
 @query("v3_j8_j9_nearest", f"WITH {_CENTROIDS}, s AS (SELECT vec_id, cu.label AS c, list_inner_product(u, m) AS sim FROM {_E} e, cu) SELECT vec_id, c, round(sim, 4) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, c) AS k FROM s) WHERE k = 1")
 def v3_j8_j9_nearest(spark, sf_dir):
-    sims = V.similarities(_vectors(spark, sf_dir), "vec_id", "u", _classes(spark, sf_dir), "c")
-    return V.nearest(sims, "vec_id", "c").withColumn("sim", F.round("sim", 4))
+    return V.nearest(_vectors(spark, sf_dir), ["vec_id"], "u", _classes(spark, sf_dir), "c").withColumn("sim", F.round("sim", 4))
 
 
 @query("v4_v5_leakage", f"""WITH a AS (SELECT * FROM {_E} WHERE vec_id % 50 = 0), b AS (SELECT * FROM {_E} WHERE vec_id % 50 <> 0),
@@ -53,23 +52,36 @@ s AS (SELECT a.vec_id, a.label AS own, b.label, list_inner_product(a.u, b.u) AS
 t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) AS k FROM s)
 SELECT count(*) AS n, round(avg((own = label)::INT), 6) AS accuracy, round(avg((sim >= 0.95)::INT), 6) AS near, round(median(sim), 4) AS middle FROM t WHERE k = 1""")
 def v4_v5_leakage(spark, sf_dir):
-    """1-NN of the held-out vectors (every fiftieth) among the others: held-out vectors are the small side."""
+    """1-NN of the held-out vectors (every fiftieth) among the others."""
+    from ..operators.stats import quantiles
+
     v = _vectors(spark, sf_dir)
-    held = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("own"), F.col("u").alias("centroid"))
-    sims = V.similarities(v.where("vec_id % 50 <> 0").withColumn("k", F.struct("vec_id", "label")), "k", "u", held.withColumn("h", F.struct("q", "own")), "h")
-    best = sims.groupBy("h").agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col("k.vec_id").alias("i"), F.col("k.label").alias("l"))).alias("b"))
+    held = v.where("vec_id % 50 = 0")
+    best = V.nearest_rows(v.where("vec_id % 50 <> 0"), "vec_id", "u", held, "label").select("label", "near_label", "sim")
+    middle = (quantiles(best, "sim", [0.5]) or [None])[0]
     return best.agg(
         F.count("*").alias("n"),
-        F.round(F.avg((F.col("h.own") == F.col("b.l")).cast("int")), 6).alias("accuracy"),
-        F.round(F.avg((-F.col("b.s") >= 0.95).cast("int")), 6).alias("near"),
-        F.round(F.median(-F.col("b.s")), 4).alias("middle"),
+        F.round(F.avg((F.col("label") == F.col("near_label")).cast("int")), 6).alias("accuracy"),
+        F.round(F.avg((F.col("sim") >= 0.95).cast("int")), 6).alias("near"),
+        F.round(F.lit(middle).cast("double"), 4).alias("middle"),
     )
 
 
+@query("v5_leakage_levels", f"""WITH a AS (SELECT * FROM {_E} WHERE vec_id % 50 = 0), b AS (SELECT * FROM {_E} WHERE vec_id % 50 <> 0),
+t AS (SELECT a.vec_id, max(list_inner_product(a.u, b.u)) AS sim FROM a, b GROUP BY 1), l AS (SELECT unnest([0.3, 0.95, 0.99, 0.999])::DOUBLE AS level)
+SELECT level, round(avg((sim >= level)::INT), 6) AS share FROM t, l GROUP BY level""")
+def v5_leakage_levels(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    best = V.nearest_rows(v.where("vec_id % 50 <> 0"), "vec_id", "u", v.where("vec_id % 50 = 0"), "label")
+    levels = best.select("sim", F.explode(F.array(*(F.lit(x) for x in (0.3, 0.95, 0.99, 0.999)))).alias("level"))
+    return levels.groupBy("level").agg(F.round(F.avg((F.col("sim") >= F.col("level")).cast("int")), 6).alias("share"))
+
+
 @query("v6_soft_tags", f"WITH {_CENTROIDS} SELECT vec_id, string_agg(cu.label, ',' ORDER BY cu.label) AS tags FROM {_E} e, cu WHERE list_inner_product(u, m) >= 0.25 GROUP BY vec_id")
 def v6_soft_tags(spark, sf_dir):
-    sims = V.similarities(_vectors(spark, sf_dir), "vec_id", "u", _classes(spark, sf_dir), "c").where("sim >= 0.25")
-    return sims.groupBy("vec_id").agg(F.array_join(F.array_sort(F.collect_list("c")).cast("array<string>"), ",").alias("tags"))
+    scores, labels = V.class_scores(_vectors(spark, sf_dir), ["vec_id"], "u", _classes(spark, sf_dir), "c")
+    near = F.zip_with("scores", F.array(*(F.lit(str(x)) for x in labels)), lambda s, name: F.when(s >= 0.25, name))
+    return scores.select("vec_id", F.array_compact(near).alias("near")).where(F.size("near") > 0).select("vec_id", F.array_join("near", ",").alias("tags"))
 
 
 @query("v7_cohesion", f"SELECT a.label, round(avg(list_inner_product(a.u, b.u)), 5) AS cohesion FROM {_E} a JOIN {_E} b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1")
@@ -84,9 +96,12 @@ def v8_separation(spark, sf_dir):
 
 @query("v16_soft_outliers", f"WITH {_CENTROIDS}, s AS (SELECT vec_id, max(list_inner_product(u, m)) AS sim FROM {_E} e, cu GROUP BY vec_id), q AS (SELECT sqrt(greatest(2 - 2 * sim, 0)) AS d FROM s) SELECT t AS threshold, count(*) FILTER (WHERE exp(-d / (2 * m)) >= t) AS kept FROM q, (SELECT median(d) AS m FROM q), (SELECT unnest([0.5, 0.6, 0.7])::DOUBLE AS t) GROUP BY t")
 def v16_soft_outliers(spark, sf_dir):
-    near = V.nearest(V.similarities(_vectors(spark, sf_dir), "vec_id", "u", _classes(spark, sf_dir), "c"), "vec_id", "c")
+    from ..operators.stats import quantiles
+
+    near = V.nearest(_vectors(spark, sf_dir), ["vec_id"], "u", _classes(spark, sf_dir), "c")
     d = near.select(F.sqrt(F.greatest(2 - 2 * F.col("sim"), F.lit(0.0))).alias("d"))
-    p = d.crossJoin(F.broadcast(d.agg(F.median("d").alias("m")))).select(F.exp(-F.col("d") / (2 * F.col("m"))).alias("p"))
+    middle = (quantiles(d, "d", [0.5]) or [None])[0]
+    p = d.select(F.exp(-F.col("d") / (2 * F.lit(middle).cast("double"))).alias("p"))
     t = p.select("p", F.explode(F.array(F.lit(0.5), F.lit(0.6), F.lit(0.7))).alias("threshold"))
     return t.groupBy("threshold").agg(F.count(F.when(F.col("p") >= F.col("threshold"), 1)).alias("kept"))
 
@@ -96,12 +111,13 @@ b AS (SELECT vec_id, s FROM (SELECT vec_id, s, row_number() OVER (PARTITION BY v
 r AS (SELECT s.*, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, d) AS k FROM s JOIN b USING (vec_id, s))
 SELECT vec_id, s::BIGINT AS sub, max(CASE WHEN k = 1 THEN d END)::BIGINT AS div, round(exp(max(z)) / sum(exp(z)), 4) AS conf FROM r GROUP BY 1, 2""")
 def v20_masked_choice(spark, sf_dir):
-    sims = V.similarities(_vectors(spark, sf_dir), "vec_id", "u", _classes(spark, sf_dir), "c")
-    div = sims.select("vec_id", F.col("c").cast("long").alias("div"), F.col("sim").alias("z"))
-    to_sub = F.floor(F.col("div") / 2)
-    sub = div.groupBy("vec_id", to_sub.alias("sub")).agg(F.max("z").alias("z"))
-    hierarchy = div.select(to_sub.alias("sub"), "div").distinct()
-    return V.masked_choice(sub, div, hierarchy, "vec_id").withColumn("conf", F.round("conf", 4))
+    scores, divs = V.class_scores(_vectors(spark, sf_dir), ["vec_id"], "u", _classes(spark, sf_dir), "c")
+    subs = sorted({d // 2 for d in divs})
+    # A sub's score is that of its best div.
+    best = F.array(*(F.array_max(F.array(*(F.get("scores", F.lit(i)) for i, d in enumerate(divs) if d // 2 == s))) for s in subs))
+    chosen = V.choice_in_row(best, subs, F.col("scores"), divs, {(d // 2, d) for d in divs})
+    out = scores.select("vec_id", chosen.alias("c"))
+    return out.select("vec_id", F.col("c.sub").cast("long").alias("sub"), F.col("c.div").cast("long").alias("div"), F.round("c.conf", 4).alias("conf"))
 
 
 _TOK = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in tfidf.STOP_WORDS) + "))"

@@ -1,7 +1,11 @@
-"""Reading and writing: typed Parquet, all-string CSV, record files, shards, search documents."""
+"""Reading and writing: typed Parquet, all-string CSV, record files, shards, manifests, model artefacts, index files."""
 
 from __future__ import annotations
 
+import json
+import tempfile
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -36,15 +40,95 @@ def read_csv_strings(spark: SparkSession, path: str, columns: list[str]) -> Data
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"').na.fill("")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Arrays are joined by '; '."""
-    flat = [F.array_join(c, "; ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"')
+def write_csv(df: DataFrame, path: str, bom: bool = False, lists: str = "join") -> None:
+    """Arrays are joined by '; ', or dropped with `lists="drop"`; with `bom` every file begins with a byte-order mark."""
+    kept = [(c, t) for c, t in df.dtypes if lists == "join" or not t.startswith("array")]
+    flat = [F.array_join(c, "; ").alias(c) if t.startswith("array") else F.col(c) for c, t in kept]
+    out = df.select(*flat)
+    if bom:
+        out = out.withColumnRenamed(kept[0][0], "\ufeff" + kept[0][0])
+    replace(out, path, "csv", header="true", escape='"')
+
+
+def files(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Puts a finished output where another may be: that one goes only once the new one is there, and comes back if
+    the new one can't be moved."""
+    fs, new = files(spark, source)
+    _, old = files(spark, target)
+    _, aside = files(spark, target.rstrip("/") + ".old")
+    fs.delete(aside, True)
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"can't move {target} aside")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
+        raise OSError(f"can't move {source} to {target}")
+    fs.delete(aside, True)
+
+
+def replace(df: DataFrame, path: str, form: str = "parquet", **options: str) -> None:
+    """Writes beside the old output, which stays until the new one is whole."""
+    beside = path.rstrip("/") + ".new"
+    df.write.mode("overwrite").options(**options).format(form).save(beside)
+    move(df.sparkSession, beside, path)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only on a local master
+    (tests), as machines of a cluster don't share theirs."""
+    sc = spark.sparkContext
+    conf, found = sc.getConf().get("spark.checkpoint.dir"), sc._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return conf or found.get()
+    if conf is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        conf = tempfile.mkdtemp(prefix="checkpoint-")
+    sc.setCheckpointDir(conf)
+    return conf
+
 
+def with_position(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """The rows numbered from 0 in a total order, without one task that sees them all: sorted by ranges, numbered
+    within each, and moved by the sizes of the ranges before."""
+    ensure_checkpoint_dir(df.sparkSession)
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = cut.select("*", F.spark_partition_id().alias("_part"), within.alias("_row")).checkpoint()
+    sizes = sorted((r._part, r.n) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())  # a row a partition
+    base, offsets = 0, []
+    for part, n in sizes:
+        offsets.append((part, base))
+        base += n
+    moved = placed.join(F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _base long")), "_part")
+    return moved.select(*df.columns, (F.col("_row") + F.col("_base")).alias(name))
 
-def read_tolerant(spark: SparkSession, path: str) -> DataFrame:
+
+def rows_between(df: DataFrame, start: int, end: int, name: str = "position") -> DataFrame:
+    """Rows [start, end) by a stored position: a filter that reaches the scan."""
+    return df.where((F.col(name) >= start) & (F.col(name) < end))
+
+
+def read_tolerant(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """Parquet, without the files that can't be read."""
-    return spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    reader = spark.read.option("ignoreCorruptFiles", "true")
+    return (reader.schema(schema) if schema else reader).parquet(path)
+
+
+def unreadable(spark: SparkSession, path: str) -> list[str]:
+    """The files of which `read_tolerant` gave no row: broken ones (or ones without rows)."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    seen = read_tolerant(spark, path).select(F.input_file_name().alias("path")).distinct()
+    bare = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    return sorted(r[0] for r in every.select(bare).subtract(seen.select(bare)).collect())
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -67,6 +151,100 @@ def write_shards(df: DataFrame, path: str, key: str, shard_rows: int) -> None:
     df.withColumn("shard_id", shard).repartition("shard_id").write.mode("overwrite").partitionBy("shard_id").parquet(path)
 
 
+def write_exact_shards(df: DataFrame, path: str, shard_rows: int, *order: str) -> None:
+    """Shards of exactly `shard_rows` rows in a total order, the last one of what is left, and their manifest."""
+    placed = with_position(df, *order)
+    out = placed.withColumn("shard_id", F.floor(F.col("position") / shard_rows).cast("long")).drop("position")
+    out.repartition("shard_id").write.mode("overwrite").partitionBy("shard_id").parquet(path)
+    spark = df.sparkSession
+    done = spark.read.parquet(path).groupBy("shard_id").agg(F.count("*").alias("n"))
+    replace(done.coalesce(1), path.rstrip("/") + ".manifest")
+
+
+def completed_shards(spark: SparkSession, path: str) -> list[int]:
+    """The shards that the manifest has, in order."""
+    return sorted(r.shard_id for r in spark.read.parquet(path.rstrip("/") + ".manifest").collect())
+
+
+def read_completed(spark: SparkSession, path: str) -> DataFrame:
+    """Only shards that the manifest has: pruned by partition, whatever else lies in the folder."""
+    return spark.read.parquet(path).where(F.col("shard_id").isin(completed_shards(spark, path)))
+
+
+def merge_batches(spark: SparkSession, folder: str, target: str, schema: StructType, keep: bool = False) -> int:
+    """Puts the batches batch_* of a folder together in one schema, and removes them once the result is there."""
+    fs, root = files(spark, folder)
+    found = sorted(f.getPath().toString() for f in fs.listStatus(root) if f.getPath().getName().startswith("batch_"))
+    if not found:
+        return 0
+    replace(union_conformed([spark.read.parquet(p) for p in found], schema), target)
+    for p in [] if keep else found:
+        fs.delete(files(spark, p)[1], True)
+    return len(found)
+
+
+def copy_sample(spark: SparkSession, source: str, target: str, size: int, seed: int | None = None) -> list[str]:
+    """Copies `size` folders of `source`, drawn with a seed; gives their names."""
+    from ..operators.sampling import sample_files
+
+    fs, root = files(spark, source)
+    names = sample_files([f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory()], size, seed)
+    util, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in names:
+        to, p = files(spark, f"{target}/{name}")
+        util.copy(fs, files(spark, f"{source}/{name}")[1], to, p, False, True, conf)
+    return names
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, replaced as a whole."""
+    fs, p = files(spark, path + ".new")
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    move(spark, path + ".new", path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def save_model(spark: SparkSession, path: str, weights: dict[str, np.ndarray], classes: dict[str, list[str]], metrics: dict) -> None:
+    """Weights as a table (name, shape, numbers), classes and metrics as JSON beside it."""
+    made = [(k, [int(x) for x in np.shape(w)], [float(x) for x in np.ravel(w)]) for k, w in weights.items()]
+    replace(spark.createDataFrame(made, "name string, shape array<int>, numbers array<double>").coalesce(1), f"{path}/weights")
+    write_text(spark, f"{path}/classes.json", json.dumps(classes, ensure_ascii=False))
+    write_text(spark, f"{path}/metrics.json", json.dumps(metrics, ensure_ascii=False))
+
+
+def load_model(spark: SparkSession, path: str, renames: dict[str, str] | None = None) -> tuple[dict[str, np.ndarray], dict, dict]:
+    """(weights, classes, metrics); a weight's name that begins with a key of `renames` gets its value instead."""
+    weights = {}
+    for r in spark.read.parquet(f"{path}/weights").collect():
+        name = next((new + r.name[len(old) :] for old, new in (renames or {}).items() if r.name.startswith(old)), r.name)
+        weights[name] = np.array(r.numbers).reshape(r.shape)
+    return weights, json.loads(read_text(spark, f"{path}/classes.json")), json.loads(read_text(spark, f"{path}/metrics.json"))
+
+
+#: What a search service is told about the index.
+INDEX_SETTINGS = {
+    "searchableAttributes": ["title", "abstract", "authors", "journal"],
+    "filterableAttributes": [
+        "pred_lcc_main", "pred_lcc", "pred_lcc_div", "lcc.lvl0", "lcc.lvl1", "lcc.lvl2", "journal", "publisher", "year",
+        "trust_tier", "pred_centroid_sim", "conf_div",
+    ],
+    "sortableAttributes": ["year", "pred_centroid_sim", "conf_div"],
+    "rankingRules": ["words", "typo", "proximity", "attribute", "sort", "exactness"],
+}
+
+
+def write_index(df: DataFrame, path: str, batch: int = 2000, settings: dict | None = None) -> None:
+    """Documents as files of JSON lines, `batch` at most in each, and the settings: what a search service is loaded
+    with. The old index stays until the new one is whole."""
+    replace(df, f"{path}/documents", "json", maxRecordsPerFile=str(batch))
+    write_text(df.sparkSession, f"{path}/settings.json", json.dumps(settings or INDEX_SETTINGS))
+
+
 def repair_shards(df: DataFrame, path: str, key: str, shard_rows: int) -> None:
     """Overwrites only the shards that `df` has rows of."""
     shard = F.floor(F.col(key) / shard_rows).cast("long")
