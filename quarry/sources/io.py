@@ -123,10 +123,10 @@ def read_tolerant(spark: SparkSession, path: str, schema: StructType | None = No
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
-def unreadable(spark: SparkSession, path: str) -> list[str]:
+def unreadable(spark: SparkSession, path: str, schema: StructType | None = None) -> list[str]:
     """The files of which `read_tolerant` gave no row: broken ones (or ones without rows)."""
     every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
-    seen = read_tolerant(spark, path).select(F.input_file_name().alias("path")).distinct()
+    seen = read_tolerant(spark, path, schema).select(F.input_file_name().alias("path")).distinct()
     bare = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
     return sorted(r[0] for r in every.select(bare).subtract(seen.select(bare)).collect())
 

@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators.clean import clean_cascade
@@ -87,3 +89,98 @@ def test_windowed_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) n from w").first().n == 1  # the last window is still open
+
+
+def test_outputs_are_replaced_as_a_whole(spark, tmp_path):
+    out = str(tmp_path / "o")
+    io.replace(spark.range(3), out)
+    broken = spark.range(5).select(F.raise_error(F.lit("broken")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        io.replace(broken, out)
+    assert spark.read.parquet(out).count() == 3
+    io.replace(spark.range(4), out)
+    assert spark.read.parquet(out).count() == 4 and not (tmp_path / "o.old").exists()
+
+
+def test_csv_with_mark_and_without_lists(spark, tmp_path):
+    df = spark.createDataFrame([("é", ["x", "y"])], "a string, l array<string>").coalesce(1)
+    io.write_csv(df, str(tmp_path / "m"), bom=True, lists="drop")
+    (written,) = (tmp_path / "m").glob("part-*.csv")
+    assert written.read_bytes() == b"\xef\xbb\xbfa\n\xc3\xa9\n"
+    io.write_csv(df, str(tmp_path / "n"))
+    (written,) = (tmp_path / "n").glob("part-*.csv")
+    assert written.read_text() == "a,l\né,x; y\n"
+
+
+def test_positions_and_exact_shards(spark, tmp_path):
+    df = spark.range(0, 103).select((F.col("id") * 37 % 101).alias("v"), "id").repartition(5)
+    placed = {r.id: r.position for r in io.with_position(df, "v", "id").collect()}
+    expected = sorted(range(103), key=lambda i: (i * 37 % 101, i))
+    assert [placed[i] for i in expected] == list(range(103))
+    assert sorted(r.position for r in io.rows_between(io.with_position(df, "id"), 7, 11).collect()) == [7, 8, 9, 10]
+    out = str(tmp_path / "s")
+    io.write_exact_shards(df, out, 25, "id")
+    sizes = {r.shard_id: r["count"] for r in spark.read.parquet(out).groupBy("shard_id").count().collect()}
+    assert sizes == {0: 25, 1: 25, 2: 25, 3: 25, 4: 3} and io.completed_shards(spark, out) == [0, 1, 2, 3, 4]
+    io.replace(spark.createDataFrame([(1, 25), (4, 3)], "shard_id long, n long"), out + ".manifest")
+    assert io.read_completed(spark, out).count() == 28
+    assert io.with_position(df.limit(0), "v").count() == 0
+
+
+def test_batches_are_merged(spark, tmp_path):
+    spark.createDataFrame([("t",)], "title string").write.parquet(str(tmp_path / "b" / "batch_1"))
+    spark.createDataFrame([("f", "u")], "file string, title string").write.parquet(str(tmp_path / "b" / "batch_2"))
+    assert io.merge_batches(spark, str(tmp_path / "b"), str(tmp_path / "all"), io.RECORD) == 2
+    assert {r.title for r in spark.read.parquet(str(tmp_path / "all")).collect()} == {"t", "u"} and not list((tmp_path / "b").iterdir())
+    assert io.merge_batches(spark, str(tmp_path / "b"), str(tmp_path / "all"), io.RECORD) == 0
+
+
+def test_unreadable_files_are_named(spark, tmp_path):
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "p"))
+    (tmp_path / "p" / "broken.parquet").write_bytes(b"PAR1 not at all")
+    assert io.read_tolerant(spark, str(tmp_path / "p"), spark.range(1).schema).count() == 3
+    (found,) = io.unreadable(spark, str(tmp_path / "p"), spark.range(1).schema)
+    assert found.endswith("broken.parquet")
+
+
+def test_folders_are_sampled_and_copied(spark, tmp_path):
+    for k in range(6):
+        (tmp_path / "src" / f"d{k}").mkdir(parents=True)
+        (tmp_path / "src" / f"d{k}" / "x").write_text(str(k))
+    a = io.copy_sample(spark, str(tmp_path / "src"), str(tmp_path / "to"), 3, seed=4)
+    assert len(a) == 3 and sorted(p.name for p in (tmp_path / "to").iterdir()) == a == io.copy_sample(spark, str(tmp_path / "src"), str(tmp_path / "again"), 3, seed=4)
+    assert io.copy_sample(spark, str(tmp_path / "src"), str(tmp_path / "first"), 2) == ["d0", "d1"]
+
+
+def test_models_and_index_files(spark, tmp_path):
+    weights = {"bb.0": np.arange(6.0).reshape(2, 3), "head": np.zeros(2)}
+    io.save_model(spark, str(tmp_path / "m"), weights, {"div": ["a", "b"]}, {"acc": 0.5})
+    got, classes, metrics = io.load_model(spark, str(tmp_path / "m"), {"bb.": "backbone."})
+    assert set(got) == {"backbone.0", "head"} and (got["backbone.0"] == weights["bb.0"]).all() and classes == {"div": ["a", "b"]} and metrics == {"acc": 0.5}
+    io.write_index(spark.range(5).coalesce(1), str(tmp_path / "i"), batch=2)
+    parts = sorted(len(p.read_text().splitlines()) for p in (tmp_path / "i" / "documents").glob("part-*"))
+    assert parts == [1, 2, 2] and "typo" in (tmp_path / "i" / "settings.json").read_text()
+
+
+def test_cascade_detects_the_language(spark):
+    long = "We measure the time of the flight, and it is in the range that was expected for this kind of a particle in air."
+    german = "Wir messen die Zeit und die Länge, und das ist in dem Bereich, der für eine solche Messung auch nicht zu klein ist."
+    kept, other = clean_cascade(spark.createDataFrame([("A", long), ("B", german), ("C", "1234567890, " * 10)], "title string, abstract string"))
+    assert [r.abstract_lang for r in kept.collect()] == ["en"] and sorted(r.abstract_lang for r in other.collect()) == ["de", "unknown"]
+
+
+def test_cleaned_texts_are_made_once(spark):
+    df = spark.createDataFrame([("A", "text", "en")], "title string, abstract string, lang string")
+    from quarry.functions import text as T
+
+    kept, _ = clean_cascade(df, T.basic_unescape)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\\[a-zA-Z]+\\{") <= 2 and plan.count("lower(btrim(regexp_replace") <= 1
+
+
+def test_references_are_resolved(spark):
+    from quarry.functions import text as T
+
+    df = spark.createDataFrame([("caf&eacute; &#233; &lt;b&gt;x &amp;lt;",)], "t string")
+    r = df.select(T.decode_abstract(F.col("t")).alias("d"), T.clean_text(F.col("t")).alias("c")).first()
+    assert r.d == "café é x &lt;" and r.c == "café é <b>x &lt;"

@@ -145,3 +145,128 @@ def test_merge_reads_beyond_the_most_classes(spark, tmp_path, monkeypatch):
     e.write.parquet(f"{tmp_path}/embeddings.parquet")
     with pytest.raises(ValueError, match="more than 5000 classes"):
         v11_merge_classes(spark, str(tmp_path))
+
+
+def test_quantiles_are_exact(spark):
+    draw = np.random.default_rng(3)
+    x = np.concatenate([draw.normal(size=3000), np.full(2000, 0.25), draw.integers(0, 5, 500)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    at = [0.0, 0.1, 0.25, 0.5, 0.77, 0.999, 1.0]
+    for keep in (10_000, 50, 3):
+        assert stats.quantiles(df, "v", at, keep) == pytest.approx(np.quantile(x, at).tolist(), abs=1e-12)
+    assert stats.quantiles(df.limit(0), "v", at) == []
+
+
+def test_first_by_hash_is_exact(spark):
+    rows = [(i, "big" if i % 10 else "few") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "id int, g string")
+    held = {(r.id, r.g) for r in sampling.split_80_20(df, "g", "id").where("held_out").collect()}
+    from hashlib import md5
+
+    for g in ("big", "few"):
+        ids = sorted((i for i, x in rows if x == g), key=lambda i: (md5(str(i).encode()).hexdigest(), i))
+        assert {i for i, x in held if x == g} == set(ids[: math.ceil(len(ids) * 0.2)])
+
+
+def test_sample_over_shards(spark):
+    df = spark.createDataFrame([(i, i % 3 if i > 2 else 3) for i in range(40)], "id int, s int")
+    counts = {r.s: r["count"] for r in sampling.sample_over_shards(df, "s", "id", 18).groupBy("s").count().collect()}
+    assert sorted(counts.values())[:1] == [3] and counts[3] == 3 and sum(counts.values()) in (16, 17) and max(counts.values()) == 5
+
+
+def test_nearest_in_parts(spark, monkeypatch):
+    draw = np.random.default_rng(0)
+    m, x = draw.normal(size=(9, 4)), draw.normal(size=(30, 4))
+    classes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "c int, centroid array<double>")
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(99, None), (98, [1.0])], "id int, v array<double>")
+    expected = {i: (int((m @ r).argmax()), float((m @ r).max())) for i, r in enumerate(x)}
+    for most in (1 << 20, 8):
+        monkeypatch.setattr(V, "BROADCAST_NUMBERS", most)
+        got = {r.id: (r.c, r.sim) for r in V.nearest(df, ["id"], "v", classes, "c").collect()}
+        assert got.keys() == expected.keys() and all(got[i][0] == e[0] and got[i][1] == pytest.approx(e[1]) for i, e in expected.items())
+        rows = spark.createDataFrame([(i, i % 2, r.tolist()) for i, r in enumerate(x)], "id int, g int, v array<double>")
+        near = {r.id: r.near_key for r in V.nearest_rows(rows.where("id >= 5"), "id", "v", rows.where("id < 5"), "g").collect()}
+        assert near == {i: 5 + int((x[5:] @ x[i]).argmax()) for i in range(5)}
+
+
+def test_silhouettes(spark):
+    draw = np.random.default_rng(1)
+    x, y = draw.normal(size=(25, 3)), draw.integers(0, 3, 25)
+    y[0] = 7
+    df = spark.createDataFrame([(i, int(c), r.tolist()) for i, (c, r) in enumerate(zip(y, x))], "id int, c int, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    for r in V.silhouettes(df, "id", "c", "v").collect():
+        own = (y == y[r.id]) & (np.arange(25) != r.id)
+        if not own.any():
+            assert r.silhouette == 0
+            continue
+        a, b = d[r.id][own].mean(), min(d[r.id][y == c].mean() for c in set(y.tolist()) if c != y[r.id])
+        assert r.silhouette == pytest.approx((b - a) / max(a, b))
+
+
+def test_gradient_of_two_heads():
+    from quarry.operators.predict import _shapes, loss_and_gradient
+
+    draw = np.random.default_rng(2)
+    shapes = _shapes([3, 4], 2, 3)
+    flat = draw.normal(size=sum(int(np.prod(s)) for s in shapes))
+    x, ys, yd = draw.normal(size=(5, 3)), draw.integers(0, 2, 5), draw.integers(0, 3, 5)
+    of = lambda w: loss_and_gradient(w, shapes, x, ys, yd, np.array([1.0, 2.0]), np.array([0.5, 1.0, 3.0]), 0.35)
+    _, gradient = of(flat)
+    for k in range(0, len(flat), 3):
+        step = np.zeros(len(flat))
+        step[k] = 1e-6
+        assert (of(flat + step)[0] - of(flat - step)[0]) / 2e-6 == pytest.approx(gradient[k], abs=1e-5)
+
+
+def test_training_of_two_heads(spark):
+    from quarry.operators.predict import train_two_head
+
+    draw = np.random.default_rng(5)
+    rows = [(i, f"S{i % 4 // 2}", f"D{i % 4}", (np.eye(4)[i % 4] * 3 + draw.normal(0, 0.3, 4)).tolist(), i % 5 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, s string, d string, v array<double>, held boolean").repartition(3)
+    model, history = train_two_head(df, "v", "s", "d", "held", hidden=(16,), epochs=30, rate=0.05, stop_after=6)
+    assert max(h["val_bal"] for h in history) > 0.95 and history[-1]["va_loss"] < history[0]["va_loss"] and len(history) < 31
+    got = {r.id: (r.pred_sub, r.pred_div) for r in classify(df, model, "v", ["id"]).collect()}
+    assert sum(got[i] == (s, d) for i, s, d, *_ in rows) > 190
+
+
+def test_topics_are_found(spark):
+    words = ["red fox", "blue whale", "green tree"]
+    draw = np.random.default_rng(6)
+    rows = [(i, f"{words[i % 3]} {words[i % 3]}", (np.eye(6)[i % 3] + draw.normal(0, 0.05, 6)).tolist()) for i in range(90)]
+    docs, topics = cluster.topic_model(spark.createDataFrame(rows, "id int, t string, v array<double>"), "id", "t", "v", [3], (3, 3), dimensions=3)
+    found = {r.topic: r for r in topics.collect()}
+    for r in docs.collect():
+        assert words[r.id % 3] in found[r.topic].keywords
+    assert sorted(t.n for t in found.values()) == [30, 30, 30]
+
+
+def test_ranked_search(spark):
+    from quarry.operators import search
+
+    docs = spark.createDataFrame([(1, "a house near the forest"), (2, "the forrest and a very large old wooden house"), (3, "houses"), (4, "nothing")], "id int, t string")
+    got = {r.id: (r.matched, r.typos, r.proximity) for r in search.ranked(search.positions_index(docs, "id", "t"), "id", ["house", "forest"]).collect()}
+    assert got == {1: (2, 0, 3), 2: (2, 1, 7), 3: (1, 1, 8)}
+
+
+def test_gold_keywords_and_buckets(spark):
+    from quarry.operators import reports
+
+    rows = [(i, "Ｊ　One" if i % 2 else "J One", f"Quantum <i>dots</i> in films {i}", "QC") for i in range(6)] + [(9, "Pediatrics", "Children", "RC")]
+    t = reports.gold_template(spark.createDataFrame(rows, "id int, j string, t string, c string"), "j", "t", "c", "id", samples=2)
+    got = {r.journal: r for r in t.collect()}
+    assert got["J One"].n_papers == 6 and got["J One"].model_purity == 1.0 and "quantum dots" in got["J One"].top_keywords
+    assert got["J One"].sample_titles == "Quantum dots in films 0 | Quantum dots in films 1"
+    codes = spark.createDataFrame([("J One", "QP")], "journal string, code string")
+    b = {r.journal: (r.gold_lcc_sub, r.gold_lcc_main) for r in reports.gold_buckets(t, codes).collect()}
+    assert b == {"J One": ("QH|QP|RC", "Q|R"), "Pediatrics": ("RC", "R")}
+
+
+def test_detected_languages(spark):
+    from quarry.functions.language import detect_language
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    r = d.where("n_chars > 300").select("lang", detect_language(F.col("text")).alias("found"))
+    assert r.agg(F.avg((F.col("lang") == F.col("found")).cast("int"))).first()[0] > 0.9
