@@ -55,6 +55,32 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
+def test_filters_on_figures_copy_nothing(spark):
+    df = spark.createDataFrame([(i, prose(i, 2000)) for i in range(4)], "doc_id long, text string")
+    for judged in (quality_rules.quality_rules(df).where("kept"), quality_rules.text_figures(df).where("n_repeat_words > 3 and n_words > 7"), quality_rules.keep_good(df)):
+        plan = judged._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sort_array(transform(sequence") == 1
+    assert quality_rules.quality_rules(df).where("n_repeat_words > 3").count() == 4
+
+
+def test_very_long_texts(spark):
+    """Texts of 200,000 words and more, through the operators that read them whole."""
+    long = prose(77, 200_000)
+    df = spark.createDataFrame([(1, long), (2, long + " x"), (3, prose(78, 60))], "doc_id long, text string")
+    r = {x.doc_id: x for x in quality_rules.quality_rules(df).collect()}
+    assert r[1].n_words == 200_000 and r[1].base_failed
+    from quarry.llm.simhash_dedup import near_duplicates
+
+    groups = {x.doc_id: x.component_id for x in near_duplicates(df).collect()}
+    assert groups == {1: 1, 2: 1, 3: 3}
+    model = fit_languages(df.withColumn("lang", F.lit("en")))
+    assert {x.lang_pred for x in predict_language(df, model).collect()} == {"en"}
+    scores = {x.doc_id: x.score for x in quality_scores(df, Machine()).collect()}
+    assert scores[1] == 0.5
+    urls = spark.createDataFrame([(1, "http://example.com/en/7" + "a" * 500_000), (2, "x" * 500_000)], "page_id long, url string")
+    assert {x.page_id: x.rule for x in url_filters.url_filter(urls).collect()} == {1: "example.com/en/7", 2: None}
+
+
 def test_url_filters(spark):
     urls = [
         None, "", "no scheme", "http://EXAMPLE.com/en/7?x", "http://example.com/en/8", "http://a.b.com/en/", "https://x.org/es/1#t",
