@@ -10,7 +10,8 @@ that no training text has, and is scored from the answers, one language at a tim
 languages are on the driver and in each task.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or if nothing was learned; ties
-take the first language in order of name; repeated rows each give a row; an empty table gives an empty table;
+take the first language in order of name; very long texts are read whole; repeated rows each give a row; a null id is
+kept; an empty table gives an empty table;
 other columns of the input are not looked at.
 """
 

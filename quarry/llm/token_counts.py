@@ -5,8 +5,8 @@ and leftmost among equals. Each pop that is still valid joins two symbols. A chu
 its first symbols, less the merges, plus the extra bytes of symbols that the vocabulary lacks (byte fallback).
 No identifiers are made.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; ties take the leftmost pair; repeated rows
-each give a row; an empty table gives an empty table; other columns of the input are not looked at.
+Defined results: a null or empty text has 0 bytes and 0 tokens; very long texts are counted whole, in n log n steps;
+ties take the leftmost pair; repeated rows each give a row; a null id is kept; an empty table gives an empty table; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
