@@ -31,10 +31,13 @@ def search_documents(df: DataFrame, key: str, title: str, abstract: str, abstrac
     )
 
 
-def inverted_index(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, words): postings; write them partitioned or bucketed by term for repeated use."""
+def inverted_index(df: DataFrame, key: str, text: str, terms: list[str] | None = None) -> DataFrame:
+    """(term, key, tf, words): postings; write them partitioned or bucketed by term for repeated use. With `terms`, for
+    one search of texts without an index, only theirs: other words are dropped within their row."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    flat = df.select(key, words.alias("w")).select(key, F.size("w").alias("words"), F.explode("w").alias("term"))
+    flat = df.select(key, words.alias("w"))
+    chosen = F.filter("w", lambda x: x.isin(terms)) if terms else F.col("w")
+    flat = flat.select(key, F.size("w").alias("words"), F.explode(chosen).alias("term"))
     return flat.groupBy("term", key, "words").agg(F.count("*").alias("tf"))
 
 

@@ -404,3 +404,24 @@ def w8_over_shards(spark, sf_dir):
     from ..operators.sampling import sample_over_shards
 
     return sample_over_shards(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 107)
+
+
+@query(
+    "s2_parse_records",
+    f"SELECT doc_id, 'Title ' || doc_id AS title, nullif({_collapse("regexp_replace(text, '<[^>]+>', ' ', 'g')")}, '') AS abstract, lang AS language, NULL::VARCHAR AS error FROM documents WHERE text IS NOT NULL AND trim(text) <> ''",
+)
+def s2_parse_records(spark, sf_dir):
+    """Record files made of the documents, and parsed again."""
+    from ..sources.records import parse_records
+
+    d = table(spark, sf_dir, "documents").where("text is not null and trim(text) <> ''")
+    found = parse_records(record_files(d))
+    return found.select(F.regexp_extract("file", "([0-9]+)[.]rdf$", 1).cast("long").alias("doc_id"), "title", "abstract", "language", "error")
+
+
+def record_files(d):
+    """(path, content) of record files, one for each document."""
+    text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;amp;")), F.lit("<"), F.lit("&amp;lt;")), F.lit(">"), F.lit("&amp;gt;"))
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:c="urn:c"><dc:title>Title '
+    body = F.concat(F.lit(head), F.col("doc_id").cast("string"), F.lit("</dc:title><c:language>"), F.coalesce("lang", F.lit("")), F.lit("</c:language><c:description><c:type>abstract</c:type><c:notation>"), text, F.lit("</c:notation></c:description></rdf:RDF>"))
+    return d.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".rdf")).alias("path"), F.encode(body, "UTF-8").alias("content"))

@@ -147,9 +147,14 @@ def v18_class_keywords(spark, sf_dir):
     return tfidf.class_tfidf(d, "text", "source", 15, most=1).select("source", "term", F.round("score", 9).alias("score"))
 
 
-@query("v17_bigrams")
+_TFIDF_PAIRS = _TFIDF.replace(f"unnest({_TOK}) AS term FROM d)", f"unnest(list_concat(t, list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM (SELECT doc_id, {_TOK} AS t FROM d)), x0 AS (SELECT 1)").replace(
+    "i AS (SELECT term, ln(", "voc AS (SELECT term FROM c GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 15000),\ni AS (SELECT term, ln("
+).replace("FROM c GROUP BY term HAVING count(*) >= 2)", "FROM c WHERE term IN (SELECT term FROM voc) GROUP BY term HAVING count(*) >= 2)")
+
+
+@query("v17_bigrams", _TFIDF_PAIRS + " SELECT source, term, round(score, 6) AS score FROM r WHERE rank <= 10")
 def v17_bigrams(spark, sf_dir):
-    """Word pairs after stop words are gone; tests hold them against literals."""
+    """Word pairs after stop words are gone, and a vocabulary of bounded size."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return tfidf.keywords(d, "doc_id", "text", "source", 10, most=2, size=15_000).select("source", "term", F.round("score", 6).alias("score"))
 
@@ -172,7 +177,7 @@ p AS (SELECT doc_id, len(w) AS words, term, count(*) AS tf FROM (SELECT doc_id,
 SELECT doc_id, count(*) AS matched, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * words / mean))), 6) AS score FROM p JOIN f USING (term), s GROUP BY doc_id ORDER BY count(*) DESC, 3 DESC, doc_id LIMIT 12""")
 def r2_bm25(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    index = search.inverted_index(d, "doc_id", "text")
+    index = search.inverted_index(d, "doc_id", "text", ["the", "von", "erth"])
     words = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
     stats = d.agg(F.count("*").alias("n"), F.avg(words).alias("mean"))
     found = search.bm25(index, stats, "doc_id", ["the", "von", "erth"]).withColumn("score", F.round("score", 6))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators.clean import clean_cascade
-from quarry.plans.stages import Plan, Stage
+from quarry.plans.stages import Config, Plan, Stage, preflight
 from quarry.sources import io
 from quarry.sources.records import parse_or_error, read_records
 from quarry.streaming.incremental import run_available, windowed_counts
@@ -74,6 +74,36 @@ def test_stages_resume(spark, tmp_path):
     assert ran == ["a", "b", "a", "b"]
 
 
+def test_stages_report_and_keep_their_state(spark, tmp_path):
+    counts = lambda d: d.groupBy().count()
+    fail = {"now": False}
+
+    def second(s, d):
+        if fail["now"]:
+            raise RuntimeError("no")
+        return d.where("id > 0")
+
+    plan = lambda: Plan(str(tmp_path), "r", [Stage("a", lambda s, d: s.range(3), report=counts), Stage("b", second, needs=("id",))])
+    plan().execute(spark)
+    assert plan().state(spark) == {"a": "run", "b": "run"} and spark.read.parquet(plan().path("a") + ".report").first()[0] == 3
+    fail["now"] = True
+    with pytest.raises(RuntimeError):
+        plan().execute(spark, force={"b"})
+    assert plan().state(spark) == {"a": "skip", "b": "failed"} and spark.read.parquet(plan().path("b")).count() == 2
+    assert [x for _, x in plan().execute(spark, force={"a"}, skip={"b"})] == ["run", "skip"]
+    assert [x for _, x in plan().execute(spark, only_reports=True)] == ["skip", "skip"]
+    with pytest.raises(ValueError, match="no output"):
+        Plan(str(tmp_path), "new", plan().stages).execute(spark, skip={"a"})
+
+
+def test_preflight_and_config(spark, tmp_path):
+    spark.range(2).write.parquet(str(tmp_path / "t"))
+    assert preflight(spark, {str(tmp_path / "t"): ("id",)}, 1, str(tmp_path)) == []
+    found = preflight(spark, {str(tmp_path / "t"): ("id", "x"), str(tmp_path / "u"): ()}, 1 << 60, str(tmp_path))
+    assert [x.rpartition("/")[2].split()[1] for x in found[:2]] == ["lacks", "is"] and "free" in found[2]
+    assert Config.from_environment({"QUARRY_RAW": "/x"}, base="/y") == Config("/x", "/y")
+
+
 def test_incremental(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
     for n in (3, 5):
