@@ -41,21 +41,13 @@ from .common import bucket_bounds, from_planes, pack, planes, releasing, unpack
 
 #: Weight of the lower order in each state; bytes of text that a split holds, and that a bucket serves, on average.
 MU, SPLIT_BYTES, BUCKET_BYTES = 8.0, 12 << 20, 12 << 20
-#: Tokens that one walk takes at most.
-PIECE = 1024
+#: Tokens that one walk takes at most; texts that are cut into words at a time.
+PIECE, TEXTS = 1024, 500
 #: Not words: a text's end (a token), and its start (a history).
 END, START = b" ", b"  "
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Numbers(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def tokens(text: str) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
@@ -67,20 +59,25 @@ class Split:
     the end. `pairs` are `before * words + word`, `triples` are `pair's number * (words + 1) + next`."""
 
     def __init__(self, texts: list[str], training: np.ndarray) -> None:
-        numbers = Numbers({END: 0, START: 1})
-        parts, lengths = [], []
-        for text in texts:
-            words = tokens(text)
-            parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
-            lengths.append(len(words))
+        # The end and the start come first, so that they are the numbers 0 and 1.
+        found, lengths = [pa.array([END, START], pa.binary())], []
+        for at in range(0, len(texts), TEXTS):
+            flat: list[bytes] = []
+            for text in texts[at : at + TEXTS]:
+                words = tokens(text)
+                flat += words
+                lengths.append(len(words))
+            found.append(pa.array(flat, pa.binary()))
+            del flat
+        coded = pa.chunked_array(found).dictionary_encode().combine_chunks()
+        del found
         self.end, self.start = 0, 1
         self.lengths = np.array(lengths, dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)
-        self.word = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
-        del parts
-        self.words = len(numbers)
-        self.hashes = np.fromiter(map(xxh64_intdigest, numbers), dtype=np.uint64, count=self.words)
-        del numbers
+        self.word = coded.indices.to_numpy()[2:].astype(np.int32)
+        self.words = len(coded.dictionary)
+        self.hashes = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_pylist()), dtype=np.uint64, count=self.words)
+        del coded
         self.training = np.repeat(training, self.lengths)
         before = np.empty_like(self.word)
         before[1:] = self.word[:-1]
@@ -217,6 +214,9 @@ class Automaton:
         seen = triples > 0
         self.triple_key = triple_pair[seen] * np.int64(split.words) + triple_word[seen]
         self.triple_weight, self.triple_target = np.log10(triple[seen]), (self.first_pair + next_pair[seen]).astype(np.int32)
+        #: Where each pair's arcs begin.
+        self.triple_first = np.concatenate(([0], np.cumsum(np.bincount(triple_pair[seen], minlength=len(pairs))))).astype(np.int32)
+        self.triple_word = triple_word[seen]
         self.start = 1 + split.start if history[split.start] > 0 else 0
 
     @staticmethod
@@ -227,13 +227,25 @@ class Automaton:
         at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
         return keys[at] == asked, at
 
+    def _triple_arc(self, pair: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pairs' arcs: mostly a pair has one, which is looked at first."""
+        if not len(self.triple_key):
+            return np.zeros(len(pair), bool), np.zeros(len(pair), np.int64)
+        at, n = self.triple_first[pair], self.triple_first[pair + 1] - self.triple_first[pair]
+        at = np.minimum(at, len(self.triple_key) - 1).astype(np.int64)
+        found = (n > 0) & (self.triple_word[at] == word)
+        more = np.nonzero(~found & (n > 1))[0]
+        if len(more):
+            found[more], at[more] = self._arc(self.triple_key, pair[more] * np.int64(self.words) + word[more])
+        return found, at
+
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One token of each walk: the weights on its way, and the states reached."""
         weight, target = np.zeros(len(state)), np.zeros(len(state), dtype=np.int32)
         left = np.nonzero(state >= self.first_pair)[0]
         state = state.copy()
         if len(left):
-            found, at = self._arc(self.triple_key, (state[left] - self.first_pair) * np.int64(self.words) + word[left])
+            found, at = self._triple_arc(state[left] - self.first_pair, word[left])
             hit, miss = left[found], left[~found]
             weight[hit], target[hit] = self.triple_weight[at[found]], self.triple_target[at[found]]
             weight[miss] += self.failure[state[miss]]
