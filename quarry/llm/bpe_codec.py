@@ -23,6 +23,7 @@ import re
 import struct
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 from unicodedata import category
 
 import numpy as np
@@ -198,6 +199,12 @@ class Vocabulary:
         return tuple(p for p in parts if p >= 0)
 
 
+@lru_cache(maxsize=4)
+def vocabulary_of(path: str) -> Vocabulary:
+    """The vocabulary of a file, read once by a process."""
+    return Vocabulary(path)
+
+
 #: A space next to other white space: there the text can't be cut at every space.
 _MIXED = re.compile(r"[^\S ] ").search
 _ALONE = re.compile(r"(?<=\S) (?=\S)").split
@@ -348,7 +355,7 @@ class Codec:
     commas, and the bytes that these decode to."""
 
     def __init__(self, path: str, lexicon: bytes | None = None) -> None:
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = vocabulary_of(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         size = max(self.vocabulary.bytes_of) + 1
         self.decimal = pa.array([str(i) for i in range(size)], pa.string())
@@ -459,7 +466,7 @@ def word_counts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        words = Vocabulary(path).words
+        words = vocabulary_of(path).words
         counts: dict[str, int] = {}
 
         def add(parts: list[str], space: str) -> None:
@@ -554,7 +561,7 @@ def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def _codec_maker(df: DataFrame, path: str, text_col: str):
-    vocabulary = Vocabulary(path)
+    vocabulary = vocabulary_of(path)
     frequent = [w.encode() for w in frequent_words(df, path, text_col)]
     ids, lengths = vocabulary.merge_many(frequent)
     ends = np.cumsum(lengths).tolist()
