@@ -13,12 +13,21 @@ from .registry import query
 _WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+# The SQL states fixed values by hand, not by the library's constants, so that a wrong one shows.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+_PREFIXES = "article 論文 type: identifier: application/ text/ pdf html doi report".split()
+_CITED = "^.*(pp?\\.?\\s*[0-9一二三四五六七八九十]+[-‐~〜][0-9一二三四五六七八九十]+).*;?\\s*(\\d{4})$"
+_CJK = "[\u3040-\u309f\u30a0-\u30ff\u4e00-\u9fff\u3400-\u4dbf]"
+_SHOT = r"\blhd\s*(bolometer|flxloop|fpellet|interferometer|cxrs|ece|diagnostic|probe)\b|^lhd\b|\blhd\s*#?\d+"
+_CODES = "ja=ja zh=zh zh-cn=zh zh-tw=zh zh-hk=zh ko=ko fr=fr de=de es=es ru=ru it=it pt=pt nl=nl ar=ar hi=hi en=en"
+
+
 def _collapse(x: str) -> str:
     return f"trim(regexp_replace({x}, '{_WS}', ' ', 'g'))"
 
 
 def _unescape(x: str) -> str:
-    for entity, char in T.ENTITIES:
+    for entity, char in _ENTITIES:
         x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     return x
 
@@ -73,15 +82,15 @@ def p7_detect_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", detect_language(F.col("text")).alias("abstract_lang"))
 
 
-@query("p3_cjk_ratio", f"SELECT doc_id, CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '{T.CJK}'))::DOUBLE / length(text) ELSE 0.0 END AS ratio FROM documents")
+@query("p3_cjk_ratio", f"SELECT doc_id, CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '{_CJK}'))::DOUBLE / length(text) ELSE 0.0 END AS ratio FROM documents")
 def p3_cjk_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.cjk_ratio(F.col("text")).alias("ratio"))
 
 
 _T = f"lower(regexp_replace(text, '^{_WS}|{_WS}$', '', 'g'))"
 _INFORMATIVE = (
-    f"(length({_T}) >= 100 AND NOT (" + " OR ".join(f"starts_with({_T}, '{p}')" for p in T.META_PREFIXES)
-    + rf") AND NOT regexp_matches({_T}, '{T.CITATION}') AND (" + " OR ".join(f"contains({_T}, '{m}')" for m in T.SENTENCE_MARKS) + "))"
+    f"(length({_T}) >= 100 AND NOT (" + " OR ".join(f"starts_with({_T}, '{p}')" for p in _PREFIXES)
+    + rf") AND NOT regexp_matches({_T}, '{_CITED}') AND (" + " OR ".join(f"contains({_T}, '{m}')" for m in (".", "。", "、", ",")) + "))"
 )
 
 
@@ -95,7 +104,7 @@ def p5_boilerplate(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(~T.is_boilerplate(F.col("text"))).select("doc_id")
 
 
-_TYPE = rf"CASE WHEN regexp_matches(lower(trim(p_name)), '{T.DIAGNOSTIC}') THEN 'diagnostic_report' ELSE 'scientific_paper' END"
+_TYPE = rf"CASE WHEN regexp_matches(lower(trim(p_name)), '{_SHOT}') THEN 'diagnostic_report' ELSE 'scientific_paper' END"
 
 
 @query("p6_document_type", f"SELECT {_TYPE} AS kind, count(*) AS n FROM part GROUP BY 1")
@@ -104,7 +113,7 @@ def p6_document_type(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(kind).agg(F.count("*").alias("n"))
 
 
-@query("p8_languages", "SELECT lang, CASE lang " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.LANGUAGES.items()) + " END AS code, count(*) AS n FROM documents GROUP BY 1, 2")
+@query("p8_languages", "SELECT lang, CASE lang " + " ".join("WHEN '{}' THEN '{}'".format(*x.split("=")) for x in _CODES.split()) + " END AS code, count(*) AS n FROM documents GROUP BY 1, 2")
 def p8_languages(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.groupBy("lang", T.normal_language(F.col("lang")).alias("code")).agg(F.count("*").alias("n"))
@@ -209,7 +218,7 @@ def p24_code_check(spark, sf_dir):
 _CLEAN_STEP = f"SELECT *, {_INFORMATIVE} AS ok FROM documents WHERE text IS NOT NULL AND trim(text) <> ''"
 
 
-@query("f1_f4_clean_cascade", f"SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM ({_CLEAN_STEP}) WHERE ok AND lang = 'en' AND len(regexp_extract_all(text, '{T.CJK}'))::DOUBLE / length(text) < 0.05 GROUP BY lang")
+@query("f1_f4_clean_cascade", f"SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM ({_CLEAN_STEP}) WHERE ok AND lang = 'en' AND len(regexp_extract_all(text, '{_CJK}'))::DOUBLE / length(text) < 0.05 GROUP BY lang")
 def f1_f4_clean_cascade(spark, sf_dir):
     from ..operators.clean import clean_cascade
 
@@ -218,7 +227,7 @@ def f1_f4_clean_cascade(spark, sf_dir):
     return kept.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("abstract")).alias("chars"))
 
 
-@query("f3_u2_other_languages", f"SELECT lang, count(*) AS n FROM ({_CLEAN_STEP}) WHERE ok AND NOT (lang = 'en' AND len(regexp_extract_all(text, '{T.CJK}'))::DOUBLE / length(text) < 0.05) GROUP BY lang")
+@query("f3_u2_other_languages", f"SELECT lang, count(*) AS n FROM ({_CLEAN_STEP}) WHERE ok AND NOT (lang = 'en' AND len(regexp_extract_all(text, '{_CJK}'))::DOUBLE / length(text) < 0.05) GROUP BY lang")
 def f3_u2_other_languages(spark, sf_dir):
     from ..operators.clean import clean_cascade
 
@@ -322,3 +331,36 @@ def v25_lengths(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(T.word_count(F.col("text")).alias("w"))
     over = [F.round(F.avg((F.col("w") > k).cast("int")), 6).alias(f"over_{k}") for k in (256, 512, 768, 1024)]
     return d.agg(F.count("*").alias("n"), F.round(F.avg("w"), 4).alias("mean"), *over)
+
+
+#: Texts with characters and marks that the tables lack.
+_MADE = "(SELECT doc_id, lang, repeat('日本語、', (doc_id % 30)::INT) || CASE WHEN doc_id % 5 = 0 THEN '<jats:p>' ELSE '' END || text[1:60] AS text FROM documents)"
+
+
+def _made(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    tag = F.when(F.col("doc_id") % 5 == 0, "<jats:p>").otherwise("")
+    return d.select("doc_id", "lang", F.concat(F.repeat(F.lit("日本語、"), (F.col("doc_id") % 30).cast("int")), tag, F.substring("text", 1, 60)).alias("text"))
+
+
+@query("p3_p4_f3_japanese", f"SELECT doc_id, round(len(regexp_extract_all(text, '{_CJK}'))::DOUBLE / length(text), 6) AS ratio, {_INFORMATIVE} AS informative, lang = 'en' AND len(regexp_extract_all(text, '{_CJK}'))::DOUBLE / length(text) < 0.05 AS english FROM {_MADE}")
+def p3_p4_f3_japanese(spark, sf_dir):
+    from ..operators.clean import keep_english
+
+    d = _made(spark, sf_dir)
+    english, other = keep_english(d, "lang", "text")
+    both = english.withColumn("english", F.lit(True)).unionByName(other.withColumn("english", F.lit(False)))
+    return both.select("doc_id", F.round(T.cjk_ratio(F.col("text")), 6).alias("ratio"), T.is_informative(F.col("text")).alias("informative"), "english")
+
+
+@query("g1_p23_leaks", f"SELECT count(*) AS n, count(*) FILTER (WHERE contains(text, '<jats')) AS leaks, count(*) FILTER (WHERE regexp_matches(text, '<[^>]+>')) AS tags, sum(length({_clean('text')}))::BIGINT AS chars FROM {_MADE}")
+def g1_p23_leaks(spark, sf_dir):
+    flags = T.quality_flags(F.col("text"))
+    d = _made(spark, sf_dir).select("text", F.length(T.clean_text(F.col("text"), T.basic_unescape)).alias("chars"), flags.alias("flags"))
+    return d.agg(F.count("*").alias("n"), F.count(F.when(F.array_contains("flags", "jats_tag"), 1)).alias("leaks"), F.count(F.when(F.array_contains("flags", "xml_tag"), 1)).alias("tags"), F.sum("chars").alias("chars"))
+
+
+@query("u4_without_large_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def u4_without_large_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")

@@ -36,6 +36,27 @@ def a13_centroids(spark, sf_dir):
     return c.select("label", F.posexplode("centroid").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
+_HASHED = """(WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents),
+d AS (SELECT doc_id, ('0x' || md5(w)[1:8])::BIGINT % 32 AS i, sum(CASE WHEN ('0x' || md5(w)[9:9])::BIGINT < 8 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2)
+SELECT doc_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS x FROM d)"""
+
+
+@query("v22_hashed_vectors", f"SELECT doc_id, round(max(abs(x)), 4) AS most, round(sum(x * (i + 1)), 3) AS total FROM {_HASHED} GROUP BY doc_id")
+def v22_hashed_vectors(spark, sf_dir):
+    from ..operators.embed import hashed
+
+    e = hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 32).where("embeddings is not null")
+    total = F.aggregate(F.transform("embeddings", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return e.select("doc_id", F.round(F.array_max(F.transform("embeddings", lambda x: F.abs(x.cast("double")))), 4).alias("most"), F.round(total, 3).alias("total"))
+
+
+@query("o6_embedding_report", "SELECT count(*) AS n, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS missing, 32::INT AS least_size, 32::INT AS most_size FROM documents")
+def o6_embedding_report(spark, sf_dir):
+    from ..operators.embed import hashed, validation
+
+    return validation(hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 32)).select("n", "missing", "least_size", "most_size")
+
+
 @query("v2_own_similarity", f"WITH {_CENTROIDS} SELECT vec_id, round(list_inner_product(u, m), 4) AS sim FROM {_E} JOIN cu USING (label)")
 def v2_own_similarity(spark, sf_dir):
     joined = _vectors(spark, sf_dir).join(_classes(spark, sf_dir), F.col("label") == F.col("c"))

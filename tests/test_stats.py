@@ -270,3 +270,14 @@ def test_detected_languages(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     r = d.where("n_chars > 300").select("lang", detect_language(F.col("text")).alias("found"))
     assert r.agg(F.avg((F.col("lang") == F.col("found")).cast("int"))).first()[0] > 0.9
+
+
+def test_embedding_of_texts(spark):
+    from quarry.operators.embed import Hashed, embed, hashed
+
+    df = spark.createDataFrame([(1, "red fox, red"), (2, None), (3, " "), (4, "RED FOX red")], "id int, t string").repartition(2)
+    got = {r.id: r.embeddings for r in hashed(df, "t", 16).collect()}
+    assert got[2] is None and got[3] is None and got[1] == got[4] and np.linalg.norm(got[1]) == pytest.approx(1, abs=1e-6)
+    assert np.allclose(got[1], Hashed(16)(["red red fox"])[0])
+    lengths = lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])
+    assert {r.id: r.v for r in embed(df, "t", lengths, 2, "v", chunk=1).collect()}[1] == [12.0, 1.0]
