@@ -28,14 +28,14 @@ def shares(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
 
 def purity(df: DataFrame, group: str, label: str, least: int = 0) -> DataFrame:
     """n, dominant label (ties: the least), purity, number of labels and entropy over ln(labels), per group."""
-    cells = df.where(F.col(group).isNotNull() & F.col(label).isNotNull()).groupBy(group, label).agg(F.count("*").alias("c"))
+    cells = df.where(F.col(group).isNotNull() & F.col(label).isNotNull()).groupBy(group, label).agg(F.count("*").alias("_cell"))
     # One more aggregate over cells: sums, and the dominant label as the largest (count, label reversed by order).
-    order = F.struct((-F.col("c")).alias("c"), F.col(label).alias("l"))
+    order = F.struct((-F.col("_cell")).alias("c"), F.col(label).alias("l"))
     out = cells.groupBy(group).agg(
-        F.sum("c").alias("n"),
+        F.sum("_cell").alias("n"),
         F.min(order).alias("top"),
         F.count("*").alias("n_labels"),
-        F.sum(F.col("c") * F.ln("c")).alias("clnc"),
+        F.sum(F.col("_cell") * F.ln("_cell")).alias("clnc"),
     )
     n = F.col("n")
     entropy = F.ln(n) - F.col("clnc") / n

@@ -171,6 +171,8 @@ def silhouettes(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
     sums = flat.groupBy(label, "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     classes = sums.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("centroid"), F.max("n").alias("n"))
     scores, labels = class_scores(unit, [key, label], "u", classes, label)
+    if not labels:
+        return df.select(key, label, F.lit(0.0).alias("silhouette")).limit(0)
     sizes = dict(classes.select(label, "n").collect())
     many = F.array(*(F.lit(float(sizes[x])) for x in labels))
     at = F.array_position(F.array(*map(F.lit, labels)), F.col(label)).cast("int") - 1

@@ -281,3 +281,20 @@ def test_embedding_of_texts(spark):
     assert np.allclose(got[1], Hashed(16)(["red red fox"])[0])
     lengths = lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])
     assert {r.id: r.v for r in embed(df, "t", lengths, 2, "v", chunk=1).collect()}[1] == [12.0, 1.0]
+
+
+def test_empty_tables(spark):
+    from quarry.operators import reports, search
+
+    e = spark.createDataFrame([], "id int, g string, c string, t string, x double, v array<double>")
+    assert V.silhouettes(e, "id", "c", "v").count() == V.class_quality(e, "id", "c", "v").count() == 0
+    assert V.nearest(e, ["id"], "v", V.centroids(e, "c", "v"), "c").count() == 0
+    assert V.nearest_rows(e, "id", "v", e, "c").count() == 0
+    assert stats.reliability(e.withColumn("ok", F.lit(1)), "x", "ok").count() == 0
+    assert sampling.stratified_sample(e, "g", "id", 5, 2).count() == sampling.sample_over_shards(e, "g", "id", 5).count() == 0
+    assert tfidf.keywords(e, "id", "t", "g", 5, most=2).count() == tfidf.class_tfidf(e, "t", "g", 5).count() == 0
+    assert search.ranked(search.positions_index(e, "id", "t"), "id", ["house", "water"]).count() == 0
+    assert reports.group_validation(e, "g", "c", "x").where("n > 0").count() == 0
+    assert reports.classification_report(e.withColumn("s", F.col("c")).withColumn("d", F.col("c")), "c", "s", "d", "x", "t", "t", "id").where("n > 0").count() == 0
+    assert reports.gold_template(e, "g", "t", "c", "id").count() == 0
+    assert stats.size_figures(e, "g", 10).first().groups == 0
