@@ -298,3 +298,33 @@ def test_empty_tables(spark):
     assert reports.classification_report(e.withColumn("s", F.col("c")).withColumn("d", F.col("c")), "c", "s", "d", "x", "t", "t", "id").where("n > 0").count() == 0
     assert reports.gold_template(e, "g", "t", "c", "id").count() == 0
     assert stats.size_figures(e, "g", 10).first().groups == 0
+
+
+def test_calls_are_tried_again(spark):
+    from quarry.functions import text as T
+    from quarry.operators.remote import ask, replies
+
+    waits, calls = [], []
+
+    def flaky(prompts):
+        calls.append(len(prompts))
+        if len(calls) < 3:
+            raise OSError("busy")
+        return [p.upper() for p in prompts]
+
+    assert replies(flaky, ["a", "b"], 2, 1.0, waits.append) == (["A", "B"], None) and waits == [1.0, 2.0]
+    assert replies(lambda p: p[:1], ["a", "b"], 0, 1.0) == ([None, None], "ValueError: 1 replies to 2 prompts")
+
+    def make():
+        def client(prompts):
+            if any("bad" in p for p in prompts):
+                raise OSError("no")
+            return ['x {"lcc": "%s", "confidence": 4}' % p[:2] for p in prompts]
+
+        return client
+
+    df = spark.createDataFrame([(1, "qd chemistry"), (2, None), (3, " "), (4, "qd chemistry")], "id int, p string")
+    r = {x.id: x for x in ask(df, "p", make).select("id", "error", T.llm_reply(F.col("reply")).alias("r")).collect()}
+    assert r[1].r.code == r[4].r.code == "QD" and r[1].r.confidence == 4 and r[2].error is None
+    bad = ask(df.withColumn("p", F.lit("bad")), "p", make, retries=0).first()
+    assert bad.reply is None and bad.error == "OSError: no"
