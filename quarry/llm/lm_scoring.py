@@ -37,10 +37,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bucket_bounds, from_planes, pack, planes, releasing, unpack
+from .common import bucket_bounds, dealt_rows, from_planes, pack, planes, releasing, rows_of_split, unpack
 
 #: Weight of the lower order in each state; bytes of text that a split holds, and that a bucket serves, on average.
-MU, SPLIT_BYTES, BUCKET_BYTES = 8.0, 12 << 20, 12 << 20
+MU, SPLIT_BYTES, BUCKET_BYTES = 8.0, 8 << 20, 12 << 20
 #: Tokens that one walk takes at most; texts that are cut into words at a time.
 PIECE, TEXTS = 1024, 500
 #: Not words: a text's end (a token), and its start (a history).
@@ -122,7 +122,7 @@ def steps(ordered: np.ndarray) -> np.ndarray:
 
 def _requests(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        split = _split(table)
+        split = _split(_in_order(table))
         by_word, by_pair, by_triple, pair_hashes = split.order()
         word_hashes, word_counts = split.hashes[by_word], split.word_counts()[by_word]
         codes = np.append(split.hashes >> np.uint64(32), np.uint64(0)).astype("<u4")[split.triple_word[by_triple]]
@@ -146,7 +146,8 @@ def _split(table: pa.Table) -> Split:
 
 
 def _in_order(table: pa.Table) -> pa.Table:
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("training", "ascending")])
+    """A split's rows in an order that doesn't depend on how they came."""
+    return rows_of_split(table).sort_by([("doc_id", "ascending"), ("text", "ascending"), ("training", "ascending")])
 
 
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -196,7 +197,7 @@ class Automaton:
         history[split.start] = words[split.end]  # as many starts as ends
         root = (words + 1) / (n + v + 1)
         pair = (pairs + mu * root[last]) / (history[first] + mu)
-        inner = split.triple_word < split.words
+        inner = (triples > 0) & (split.triple_word < split.words)  # the others are no arcs
         triple_pair, triple_word, next_pair = split.triple_pair[inner], split.triple_word[inner], split.next_pair[inner]
         triples = triples[inner]
         triple = (triples + mu * pair[next_pair]) / (pairs[triple_pair] + mu)
@@ -211,12 +212,11 @@ class Automaton:
         seen = pairs > 0
         self.pair_key, self.pair_weight = split.pairs[seen], np.log10(pair[seen])
         self.pair_target = (self.first_pair + np.nonzero(seen)[0]).astype(np.int32)
-        seen = triples > 0
-        self.triple_key = triple_pair[seen] * np.int64(split.words) + triple_word[seen]
-        self.triple_weight, self.triple_target = np.log10(triple[seen]), (self.first_pair + next_pair[seen]).astype(np.int32)
+        self.triple_key = triple_pair * np.int64(split.words) + triple_word
+        self.triple_weight, self.triple_target = np.log10(triple), (self.first_pair + next_pair).astype(np.int32)
         #: Where each pair's arcs begin.
-        self.triple_first = np.concatenate(([0], np.cumsum(np.bincount(triple_pair[seen], minlength=len(pairs))))).astype(np.int32)
-        self.triple_word = triple_word[seen]
+        self.triple_first = np.concatenate(([0], np.cumsum(np.bincount(triple_pair, minlength=len(pairs))))).astype(np.int32)
+        self.triple_word = triple_word
         self.start = 1 + split.start if history[split.start] > 0 else 0
 
     @staticmethod
@@ -288,18 +288,22 @@ class Automaton:
 def _scores(left: pa.Table, right: pa.Table) -> pa.Table:
     left = _in_order(left)
     split = _split(left)
+    left = left.select(["doc_id", "training"])
     by_word, by_pair, by_triple, _ = split.order()
     answers, n, v = ([], [], []), 0, 0
     for x in right.sort_by("bucket").column("data"):
         figures, *counts = unpack(x.as_py(), "<i8", "u1", "u1", "u1")
         for out, c in zip(answers, counts, strict=True):
-            out.append(from_planes(c).astype(np.int64))
+            c = from_planes(c)
+            out.append(c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c)
         n, v = n + int(figures[0]), v + int(figures[1])
+    del right
     counts = []
     for order, found in zip((by_word, by_pair, by_triple), answers, strict=True):
         every = np.empty(len(order), dtype=np.int64)
         every[order] = np.concatenate(found) if found else every
         counts.append(every)
+        found.clear()
     del answers, by_word, by_pair, by_triple
     words, pairs, triples = counts
     automaton = Automaton(split, words, pairs, triples, n, v)
@@ -328,10 +332,8 @@ def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     size = source.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     splits, buckets = max(fewest, -(-size // SPLIT_BYTES)), max(fewest, -(-size // BUCKET_BYTES))
-    # The place of a row counts as well, so that rows which repeat each other are dealt out too.
-    split = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(splits)).cast("int")
-    dealt = source.withColumn("split", split)
+    dealt = dealt_rows(source, splits)
     ask, answer, score = releasing(_requests(buckets)), releasing(_answers), releasing(_scores)
-    requests = dealt.groupBy("split").applyInArrow(lambda key, table: ask(key, _in_order(table)), "bucket int, split int, data binary")
+    requests = dealt.groupBy("split").applyInArrow(lambda key, table: ask(key, table), "bucket int, split int, data binary")
     answers = requests.groupBy("bucket").applyInArrow(lambda key, table: answer(key, table), "split int, bucket int, data binary")
     return dealt.groupBy("split").cogroup(answers.groupBy("split")).applyInArrow(lambda left, right: score(left, right), SCORES)
