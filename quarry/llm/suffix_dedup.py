@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import bucket_bounds, pack, releasing, unpack
+from .common import bucket_bounds, dealt_rows, pack, releasing, rows_of_split, unpack
 from .induced import MEMORY, repeated_windows
 
 WINDOW, KMER, BLOCK = 50, 20, 1 << 15
@@ -76,7 +76,7 @@ class Texts:
     """The texts of a split, end to end in order of id, and their runs of windows with one anchor."""
 
     def __init__(self, table: pa.Table) -> None:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = rows_of_split(table).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.table = table
         self.ids = table.column("doc_id").fill_null(LAST).to_numpy().astype(np.int64)
         parts = [x.encode() for x in table.column("text").to_pylist()]
@@ -361,9 +361,7 @@ def _passages(df: DataFrame, id_col: str, text_col: str, digest: bool, split_byt
     size = source.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     splits, buckets = max(fewest, -(-size // split_bytes)), max(fewest, -(-size // shard_bytes))
-    # The place of a row counts as well, so that rows which repeat each other are dealt out too.
-    split = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(splits)).cast("int")
-    dealt = source.withColumn("split", split)
+    dealt = dealt_rows(source, splits)
     to_bucket, to_split = "bucket int, split int, data binary", "split int, bucket int, data binary"
     texts = dealt.groupBy("split")
     report, which, send, sort, cut = map(releasing, (_report(buckets), _which_repeat(hot_runs), _send(buckets), _sort(buckets, memory), _cut(buckets, digest)))
