@@ -37,7 +37,9 @@ from .common import ensure_checkpoint_dir, map_texts, text_pieces
 #: Words in the lexicon at most, and their longest form: bounds what is broadcast (see `Lexicon`).
 LEXICON_WORDS, LEXICON_BYTES = 32_768, 32
 #: Words kept with their ids in a worker, the longest that is kept, and distinct words that a counting task holds.
-MEMO_ENTRIES, MEMO_CHARS, COUNT_ENTRIES = 500_000, 48, 400_000
+MEMO_ENTRIES, MEMO_CHARS, COUNT_ENTRIES = 400_000, 48, 400_000
+#: Bytes of text that are cut and merged together.
+CHUNK_BYTES = 4 << 20
 NONE = np.int64(1 << 60)
 _codecs: dict[str, Codec] = {}
 
@@ -557,7 +559,7 @@ def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
         return run
 
-    return map_texts(df, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_texts(df, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, CHUNK_BYTES)
 
 
 def _codec_maker(df: DataFrame, path: str, text_col: str):
