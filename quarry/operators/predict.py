@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .vectors import batch_matrix
+
 SCHEMA = "pred_div string, pred_sub string, pred_main string, conf_div double"
 
 
@@ -30,25 +33,25 @@ class TwoHead:
 
 
 def classify(df: DataFrame, model: TwoHead, vector: str, keep: list[str]) -> DataFrame:
-    """The kept columns and predictions, without the vectors. Weights (a few MB) go to each task once."""
+    """The kept columns and predictions, without the vectors; nulls for rows without a vector of the model's size.
+    Weights (a few MB) go to each task once, batches are multiplied with them at once."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    size = (model.trunk[0] if model.trunk else model.sub_head)[0].shape[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        divs, subs, mains = pa.array(m.divs), pa.array(m.subs), pa.array([s[:1] for s in m.subs])
         for batch in batches:
-            out = batch[keep].copy()
-            if len(batch):
-                sub, div, conf = m.predict(np.stack(batch[vector].to_numpy()).astype(np.float64))
-            else:
-                sub, div, conf = (np.zeros(0, dtype=int),) * 3
-            out["pred_div"] = [m.divs[i] for i in div]
-            out["pred_sub"] = [m.subs[i] for i in sub]
-            out["pred_main"] = [m.subs[i][:1] for i in sub]
-            out["conf_div"] = np.round(conf.astype(np.float64), 4)
-            yield out
-
-    return df.select(*keep, vector).mapInPandas(run, f"{fields}, {SCHEMA}")
+            x, fits = batch_matrix(batch.column(len(keep)), size)
+            sub, div, conf = m.predict(x) if len(x) else (np.zeros(0, np.int64),) * 3
+            sub, div = pa.array(sub, mask=~fits), pa.array(div, mask=~fits)
+            made = [divs.take(div), subs.take(sub), mains.take(sub), pa.array(np.round(conf.astype(np.float64), 4), mask=~fits)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, "pred_div", "pred_sub", "pred_main", "conf_div"])
+
+    return df.select(*keep, vector).mapInArrow(run, f"{fields}, {SCHEMA}")
 
 
 def cross_validated(df: DataFrame, key: str, vector: str, label: str, k: int) -> DataFrame:
