@@ -132,12 +132,17 @@ def unpack(data: bytes, *types: str) -> list[np.ndarray]:
 
 
 def planes(a: np.ndarray) -> np.ndarray:
-    """Numbers by bytes of the same weight; the upper ones, mostly zero, then compress well."""
-    return np.ascontiguousarray(a.astype("<u8").view("u1").reshape(-1, 8).T).ravel()
+    """Numbers by bytes of the same weight, as many as the greatest needs, which stands first."""
+    a = a.astype("<u8")
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return np.append(np.uint8(width), a.view("u1").reshape(-1, 8)[:, :width].T.ravel())
 
 
 def from_planes(data: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(data.reshape(8, -1).T).view("<u8").ravel()
+    width = int(data[0])
+    out = np.zeros(((len(data) - 1) // width, 8), dtype="u1")
+    out[:, :width] = data[1:].reshape(width, -1).T
+    return out.view("<u8").ravel()
 
 
 def bucket_bounds(ordered: np.ndarray, buckets: int) -> np.ndarray:

@@ -40,7 +40,7 @@ from xxhash import xxh64_intdigest
 from .common import bucket_bounds, dealt_rows, from_planes, pack, planes, releasing, rows_of_split, unpack
 
 #: Weight of the lower order in each state; bytes of text that a split holds, and that a bucket serves, on average.
-MU, SPLIT_BYTES, BUCKET_BYTES = 8.0, 8 << 20, 12 << 20
+MU, SPLIT_BYTES, BUCKET_BYTES = 8.0, 5 << 20, 8 << 20
 #: Tokens that one walk takes at most; texts that are cut into words at a time.
 PIECE, TEXTS = 1024, 500
 #: Not words: a text's end (a token), and its start (a history).
