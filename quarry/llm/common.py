@@ -14,6 +14,8 @@ from ..sources.io import ensure_checkpoint_dir  # noqa: F401
 
 #: Bytes of text that one call of a batch function sees at most (one longer text is a batch of its own).
 BATCH_BYTES = 8 << 20
+#: Splits or buckets that one task takes, one after the other.
+GROUPS_A_TASK = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +116,12 @@ def dealt_rows(df: DataFrame, splits: int) -> DataFrame:
     return df.withColumn("split", of_row).mapInArrow(run, "split int, data binary")
 
 
+def parted(df: DataFrame, key: str, groups: int, fewest: int) -> DataFrame:
+    """Rows by key in as many partitions as the number of groups asks for (GROUPS_A_TASK each), so that what a task reads
+    doesn't grow with the data."""
+    return df.repartition(max(fewest, -(-groups // GROUPS_A_TASK)), key)
+
+
 def rows_of_split(table: pa.Table) -> pa.Table:
     """The rows of a split, from its batches."""
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("data")])

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bucket_bounds, dealt_rows, from_planes, pack, planes, releasing, rows_of_split, unpack
+from .common import bucket_bounds, dealt_rows, from_planes, pack, parted, planes, releasing, rows_of_split, unpack
 
 #: Weight of the lower order in each state; bytes of text that a split holds, and that a bucket serves, on average.
 MU, SPLIT_BYTES, BUCKET_BYTES = 8.0, 5 << 20, 8 << 20
@@ -332,8 +332,8 @@ def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     size = source.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     splits, buckets = max(fewest, -(-size // SPLIT_BYTES)), max(fewest, -(-size // BUCKET_BYTES))
-    dealt = dealt_rows(source, splits)
+    dealt = parted(dealt_rows(source, splits), "split", splits, fewest)
     ask, answer, score = releasing(_requests(buckets)), releasing(_answers), releasing(_scores)
     requests = dealt.groupBy("split").applyInArrow(lambda key, table: ask(key, table), "bucket int, split int, data binary")
-    answers = requests.groupBy("bucket").applyInArrow(lambda key, table: answer(key, table), "split int, bucket int, data binary")
-    return dealt.groupBy("split").cogroup(answers.groupBy("split")).applyInArrow(lambda left, right: score(left, right), SCORES)
+    answers = parted(requests, "bucket", buckets, fewest).groupBy("bucket").applyInArrow(lambda key, table: answer(key, table), "split int, bucket int, data binary")
+    return dealt.groupBy("split").cogroup(parted(answers, "split", splits, fewest).groupBy("split")).applyInArrow(lambda left, right: score(left, right), SCORES)
