@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import bucket_bounds, dealt_rows, pack, releasing, rows_of_split, unpack
+from .common import bucket_bounds, dealt_rows, pack, parted, releasing, rows_of_split, unpack
 from .induced import MEMORY, repeated_windows
 
 WINDOW, KMER, BLOCK = 50, 20, 1 << 15
@@ -361,14 +361,17 @@ def _passages(df: DataFrame, id_col: str, text_col: str, digest: bool, split_byt
     size = source.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     splits, buckets = max(fewest, -(-size // split_bytes)), max(fewest, -(-size // shard_bytes))
-    dealt = dealt_rows(source, splits)
+    dealt = parted(dealt_rows(source, splits), "split", splits, fewest)
     to_bucket, to_split = "bucket int, split int, data binary", "split int, bucket int, data binary"
     texts = dealt.groupBy("split")
     report, which, send, sort, cut = map(releasing, (_report(buckets), _which_repeat(hot_runs), _send(buckets), _sort(buckets, memory), _cut(buckets, digest)))
     reports = texts.applyInArrow(lambda key, table: report(key, table), to_bucket)
-    answers = reports.groupBy("bucket").applyInArrow(lambda key, table: which(key, table), to_split)
+    answers = parted(reports, "bucket", buckets, fewest).groupBy("bucket").applyInArrow(lambda key, table: which(key, table), to_split)
+    answers = parted(answers, "split", splits, fewest)
     sent = texts.cogroup(answers.groupBy("split")).applyInArrow(lambda left, right: send(left, right), to_bucket)
-    replies = sent.groupBy("bucket").applyInArrow(lambda key, table: sort(key, table), to_split)
+    # Shards and what splits sent themselves.
+    sent = parted(sent, "bucket", buckets + splits, fewest)
+    replies = parted(sent.groupBy("bucket").applyInArrow(lambda key, table: sort(key, table), to_split), "split", splits, fewest)
     if digest:
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     else:
