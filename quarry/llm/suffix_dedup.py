@@ -41,7 +41,7 @@ from .common import bucket_bounds, dealt_rows, pack, parted, releasing, rows_of_
 from .induced import MEMORY, repeated_windows
 
 WINDOW, KMER, BLOCK = 50, 20, 1 << 15
-SPLIT_BYTES, SHARD_BYTES, HOT_RUNS = 12 << 20, 12 << 20, 1 << 16
+SPLIT_BYTES, SHARD_BYTES, HOT_RUNS = 8 << 20, 8 << 20, 1 << 16
 #: The id of rows without one.
 LAST = np.iinfo(np.int64).max
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
