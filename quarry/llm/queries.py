@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, url_filters
+from . import collocations, fill_in_middle, quality_rules, secret_scan, url_filters
 from .common import table
 
 
@@ -77,6 +77,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fim_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -88,9 +100,15 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_collocations": op12_collocations,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.oracle(),
     "op8_url_filters": url_filters.oracle(),
+    "op11_fill_in_middle": fill_in_middle.oracle(),
+    "op12_collocations": collocations.oracle(),
+    "op13_secret_scan": secret_scan.oracle(),
 }
