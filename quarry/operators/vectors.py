@@ -14,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions.text import once
 
 #: Numbers in a matrix that is sent to every task at most (32 MB).
 BROADCAST_NUMBERS = 4 << 20
@@ -28,9 +31,9 @@ def norm(a: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    """Unit length; a zero vector stays. The norm is a variable, so it is not worked out again for each number."""
+    unit = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return once(norm(a), unit)
 
 
 def centroids(df: DataFrame, group: str, vector: str, unit: bool = False) -> DataFrame:
@@ -86,7 +89,7 @@ def _mapped(df: DataFrame, keep: list[str], vector: str, matrix: np.ndarray, sch
     """The kept columns and those that `made` gives for a batch's products with a matrix."""
     shared = df.sparkSession.sparkContext.broadcast(matrix)
     source = df.select(*keep, F.col(vector).cast("array<double>").alias("_vector"))
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = [x.split()[0].strip("`") for x in schema.split(", ")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +113,9 @@ def nearest(df: DataFrame, keep: list[str], vector: str, classes: DataFrame, lab
     found = []
     for part in _parts(classes, label, "centroid"):
         labels, matrix = _matrix(part, label, "centroid")
-        best = _mapped(df, keep, vector, matrix, "at int, sim double", lambda s: [pa.array(s.argmax(axis=1), pa.int32()), pa.array(s.max(axis=1), pa.float64())])
-        name = F.get(F.array(*map(F.lit, labels)), F.col("at")).cast(kind) if labels else F.lit(None).cast(kind)
-        found.append(best.where("at is not null").select(*keep, name.alias(label), "sim"))
+        names = pa.array(labels, to_arrow_type(classes.schema[label].dataType))
+        best = _mapped(df, keep, vector, matrix, f"`{label}` {kind}, sim double", lambda s, names=names: [names.take(pa.array(s.argmax(axis=1))), pa.array(s.max(axis=1), pa.float64())])
+        found.append(best.where("sim is not null"))
     if len(found) == 1:
         return found[0]
     every = reduce(DataFrame.unionByName, found)
@@ -153,8 +156,6 @@ def nearest_rows(df: DataFrame, key: str, vector: str, held: DataFrame, label: s
             take = lambda v: [v[q] for q in some]
             yield pa.RecordBatch.from_pydict({"query": take(keys), "near_key": take(who), "near_label": take(what), "sim": take(best.tolist())}, schema=pa.schema(out))
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
         out = [("query", to_arrow_type(df.schema[key].dataType)), ("near_key", to_arrow_type(df.schema[key].dataType)), ("near_label", to_arrow_type(df.schema[label].dataType)), ("sim", pa.float64())]
         source = df.select(key, label, F.col(vector).cast("array<double>"))
         found.append(source.mapInArrow(run, f"query {kind}, near_key {kind}, near_label {name}, sim double"))

@@ -36,18 +36,22 @@ def a13_centroids(spark, sf_dir):
     return c.select("label", F.posexplode("centroid").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
-_HASHED = """(WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents),
-d AS (SELECT doc_id, ('0x' || md5(w)[1:8])::BIGINT % 32 AS i, sum(CASE WHEN ('0x' || md5(w)[9:9])::BIGINT < 8 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2)
-SELECT doc_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS x FROM d)"""
+_HASHED = """(WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents)
+SELECT doc_id, ('0x' || md5(w)[1:8])::BIGINT % 32 AS i, sum(CASE WHEN ('0x' || md5(w)[9:9])::BIGINT < 8 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2)"""
 
 
-@query("v22_hashed_vectors", f"SELECT doc_id, round(max(abs(x)), 4) AS most, round(sum(x * (i + 1)), 3) AS total FROM {_HASHED} GROUP BY doc_id")
+@query("v22_hashed_vectors", f"SELECT doc_id, max(abs(v))::BIGINT AS most, sum(v * (i + 1))::BIGINT AS total, sum(v * v)::BIGINT AS square, true AS unit FROM {_HASHED} GROUP BY doc_id HAVING sum(v * v) > 0")
 def v22_hashed_vectors(spark, sf_dir):
+    """The signed counts as they are, and whether the vector made of them points the same way with length 1."""
     from ..operators.embed import hashed
 
-    e = hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 32).where("embeddings is not null")
-    total = F.aggregate(F.transform("embeddings", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
-    return e.select("doc_id", F.round(F.array_max(F.transform("embeddings", lambda x: F.abs(x.cast("double")))), 4).alias("most"), F.round(total, 3).alias("total"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = hashed(hashed(d, "text", 32, "n", unit=False), "text", 32).where("n is not null").select("doc_id", F.transform("n", lambda x: x.cast("long")).alias("n"), "embeddings")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    square = total(F.transform("n", lambda x: x * x))
+    along = V.dot(F.col("embeddings"), F.col("n")) / F.sqrt(square)
+    unit = (F.abs(V.norm(F.col("embeddings")) - 1) < 1e-5) & (F.abs(along - 1) < 1e-5)
+    return e.select("doc_id", F.array_max(F.transform("n", F.abs)).alias("most"), total(F.transform("n", lambda x, i: x * (i + 1))).alias("total"), square.alias("square"), unit.alias("unit")).where("square > 0")
 
 
 @query("o6_embedding_report", "SELECT count(*) AS n, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS missing, 32::INT AS least_size, 32::INT AS most_size FROM documents")
@@ -249,6 +253,40 @@ def g21_overconfidence(spark, sf_dir):
     return p.agg(F.count("*").alias("n"), F.round(F.avg((F.col("conf") > 0.9).cast("int")), 6).alias("sure"))
 
 
+_GAPS = f"(SELECT a.vec_id, b.vec_id AS near, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM {_E} a JOIN {_E} b ON a.vec_id <> b.vec_id)"
+
+
+@query("v4_j9_neighbours", f"SELECT vec_id, rank, near FROM (SELECT vec_id, near, row_number() OVER (PARTITION BY vec_id ORDER BY d, near) AS rank FROM {_GAPS}) WHERE rank <= 3")
+def v4_j9_neighbours(spark, sf_dir):
+    """The three nearest others of every vector, exactly, past the tiles of the index that can't hold them."""
+    from ..operators.neighbours import neighbours, tiled
+
+    near = neighbours(*tiled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), 3)
+    return near.select(F.col("key").alias("vec_id"), F.posexplode("found").alias("i", "f")).select("vec_id", (F.col("i") + 1).cast("long").alias("rank"), F.col("f.near").alias("near"))
+
+
+@query("v13_core_distances", f"SELECT vec_id, round(d, 4) AS core FROM (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, near) AS rank FROM {_GAPS}) WHERE rank = 5")
+def v13_core_distances(spark, sf_dir):
+    from ..operators.density import cores, points
+
+    p = points(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5)
+    return p.keys.join(cores(p, 5), "key").select(F.col("id").alias("vec_id"), F.round("core", 4).alias("core"))
+
+
+@query("v13_g18_density_grid")
+def v13_g18_density_grid(spark, sf_dir):
+    """Density clusters of the vectors' principal components over a grid of settings, with outlier rates and silhouettes, and
+    which setting is chosen. No SQL, as a spanning tree is grown; tests hold it against brute force."""
+    from ..operators.cluster import reduce_dimensions
+    from ..operators.density import tuned
+
+    e = reduce_dimensions(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 5)
+    results, _ = tuned(e, "vec_id", "reduced", (2, 60), [(m, s) for m in (5, 10, 20) for s in (3, 5)])
+    made = spark.createDataFrame([(r["least"], r["samples"], r["clusters"], r["outlier_rate"], r["score"]) for r in results], "least int, samples int, clusters long, outlier_rate double, score double")
+    best = made.where("score > 0").agg(F.max(F.struct("score", -F.col("least"), -F.col("samples"))).alias("b"))
+    return made.crossJoin(F.broadcast(best)).select("least", "samples", "clusters", "outlier_rate", "score", F.coalesce((F.col("score") == F.col("b.score")) & (F.col("least") == -F.col("b.col2")) & (F.col("samples") == -F.col("b.col3")), F.lit(False)).alias("chosen"))
+
+
 @query("v12_v13_cluster_grid")
 def v12_v13_cluster_grid(spark, sf_dir):
     """Principal components, then k-means over a grid: the labels depend on the algorithm, so no SQL."""
