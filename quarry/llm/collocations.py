@@ -351,7 +351,7 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
 def oracle(least: int = LEAST, top: int = TOP) -> str:
     """The query in DuckDB's SQL."""
     grams = " UNION ALL ".join(
-        f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM pieces WHERE len(w) >= {k})"
+        f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: {" || ' ' || ".join(f'w[i + {j}]' for j in range(k))})) AS phrase FROM pieces WHERE len(w) >= {k}"
         for k in range(1, LONGEST + 1)
     )
     words = lambda a, b: f"array_to_string(w[{a}:{b}], ' ')"

@@ -142,7 +142,8 @@ def test_collocations(spark, least, top):
     got = spark_rows(mining.collocations(df, least=least, top=top))
     assert got == mined_brute(MINED, least, top) and got[1]
     if (least, top) == (30, 2000):
-        assert got == sql_rows(MINED, mining.oracle())
+        short = [r for r in MINED if r[0] != 55]  # slices of a list of 60,000 words take DuckDB minutes
+        assert spark_rows(mining.collocations(df.where("doc_id is null or doc_id <> 55"))) == sql_rows(short, mining.oracle())
 
 
 def test_few_bits_and_small_chunks_lose_nothing(spark, monkeypatch):
