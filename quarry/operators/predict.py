@@ -1,11 +1,10 @@
-"""Batch inference with imported weights (two heads over one trunk, hierarchy mask) and trainable baselines."""
+"""Batch inference with weights (one head, or two over one trunk with a hierarchy mask) and trainable baselines."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,25 @@ class TwoHead:
         return sub, div, 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
 
 
-def classify(df: DataFrame, model: TwoHead, vector: str, keep: list[str]) -> DataFrame:
+class Flat:
+    """One head over divs. parents: the sub of each div, if they have one."""
+
+    def __init__(self, trunk, head, divs: list[str], parents: dict[str, str] | None = None) -> None:
+        self.trunk, self.sub_head, self.divs = trunk, head, divs
+        of = [(parents or {}).get(d, "") for d in divs]
+        self.subs = sorted(set(of))
+        self.parent = np.array([self.subs.index(x) for x in of], dtype=np.int64)
+
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sub, div, confidence): the best div, its sub, and its softmax."""
+        for w, b in self.trunk:
+            x = np.maximum(x @ w + b, 0)
+        z = x @ self.sub_head[0] + self.sub_head[1]
+        div = z.argmax(axis=1)
+        return self.parent[div], div, 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
+
+
+def classify(df: DataFrame, model: TwoHead | Flat, vector: str, keep: list[str]) -> DataFrame:
     """The kept columns and predictions, without the vectors; nulls for rows without a vector of the model's size.
     Weights (a few MB) go to each task once, batches are multiplied with them at once."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -68,155 +85,6 @@ def cross_validated(df: DataFrame, key: str, vector: str, label: str, k: int) ->
     return out
 
 
-class Adam:
-    def __init__(self, size: int, rate: float) -> None:
-        self.m, self.v, self.t, self.rate = np.zeros(size), np.zeros(size), 0, rate
-
-    def step(self, gradient: np.ndarray) -> np.ndarray:
-        self.t += 1
-        self.m = 0.9 * self.m + 0.1 * gradient
-        self.v = 0.999 * self.v + 0.001 * gradient**2
-        return -self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
-
-
-def _shapes(sizes: list[int], subs: int, divs: int) -> list[tuple[int, ...]]:
-    trunk = [s for a, b in zip(sizes, sizes[1:]) for s in ((a, b), (b,))]
-    return [*trunk, (sizes[-1], subs), (subs,), (sizes[-1], divs), (divs,)]
-
-
-def _unpacked(flat: np.ndarray, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
-    out, at = [], 0
-    for s in shapes:
-        n = int(np.prod(s))
-        out.append(flat[at : at + n].reshape(s))
-        at += n
-    return out
-
-
-def _softmax_loss(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
-    """Weighted cross-entropy, summed, and its gradient by z."""
-    z = z - z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(axis=1, keepdims=True)
-    w = weight[y]
-    at = np.arange(len(y))
-    loss = float(-(w * np.log(np.maximum(p[at, y], 1e-300))).sum())
-    p[at, y] -= 1
-    return loss, p * w[:, None]
-
-
-def loss_and_gradient(flat: np.ndarray, shapes, x: np.ndarray, ys: np.ndarray, yd: np.ndarray, ws: np.ndarray, wd: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
-    """Of alpha times the sub's loss and 1 - alpha times the div's, summed over rows."""
-    parts = _unpacked(flat, shapes)
-    trunk, (hs, bs, hd, bd) = parts[:-4], parts[-4:]
-    acts = [x]
-    for w, b in zip(trunk[::2], trunk[1::2]):
-        acts.append(np.maximum(acts[-1] @ w + b, 0))
-    top = acts[-1]
-    loss_s, gs = _softmax_loss(top @ hs + bs, ys, ws)
-    loss_d, gd = _softmax_loss(top @ hd + bd, yd, wd)
-    gs, gd = alpha * gs, (1 - alpha) * gd
-    grads = [top.T @ gs, gs.sum(axis=0), top.T @ gd, gd.sum(axis=0)]
-    back = gs @ hs.T + gd @ hd.T
-    for k in range(len(trunk) // 2 - 1, -1, -1):
-        back = back * (acts[k + 1] > 0)
-        grads = [acts[k].T @ back, back.sum(axis=0), *grads]
-        back = back @ trunk[2 * k].T
-    return alpha * loss_s + (1 - alpha) * loss_d, np.concatenate([g.ravel() for g in grads])
-
-
-def train_two_head(
-    df: DataFrame, vector: str, sub: str, div: str, held_out: str, hidden: tuple[int, ...] = (512, 256), epochs: int = 60,
-    rate: float = 1e-3, alpha: float = 0.35, patience: int = 8, factor: float = 0.5, stop_after: int = 15, seed: int = 42,
-) -> tuple[TwoHead, list[dict]]:
-    """(model, history). Two heads over one trunk with ReLU, class-weighted cross-entropy, Adam; the rate is halved when
-    the held-out loss stands still, and training stops when the balanced accuracy of the held-out divs does; the best
-    weights are kept. Every epoch is one pass over all rows: tasks sum gradients of their rows, and these sums are
-    added up by 16 tasks before the driver sees them. Rows never leave the executors, so their number is not bounded.
-    Batch normalisation and dropout are left out, as the step is over all rows at once."""
-    import pandas as pd
-
-    from .stats import class_weights
-
-    train = df.where(~F.col(held_out))
-    subs, divs = (sorted(r[0] for r in df.select(c).distinct().where(F.col(c).isNotNull()).collect()) for c in (sub, div))
-    weight = lambda c, names: np.array([dict(class_weights(train, c).collect()).get(x, 0.0) for x in names], dtype=np.float64)
-    ws, wd = weight(sub, subs), weight(div, divs)
-    hierarchy = {(r[0], r[1]) for r in df.select(sub, div).distinct().collect()}
-    size = df.select(F.max(F.size(vector))).first()[0]
-    sizes = [size, *hidden]
-    shapes = _shapes(sizes, len(subs), len(divs))
-    draw = np.random.default_rng(seed)
-    flat = np.concatenate([draw.normal(0, np.sqrt(2 / s[0]), s).ravel() if len(s) == 2 else np.zeros(s) for s in shapes])
-    number = lambda c, names: F.array_position(F.array(*map(F.lit, names)), F.col(c)).cast("int") - 1
-    rows = df.select(F.col(vector).alias("x"), number(sub, subs).alias("s"), number(div, divs).alias("d"), F.col(held_out).alias("held")).where("s >= 0 and d >= 0").persist()
-    sc = df.sparkSession.sparkContext
-    mask = np.array([[(s, d) in hierarchy for d in divs] for s in subs])
-
-    def epoch(weights: np.ndarray) -> np.ndarray:
-        """Sums over all rows: rows, loss, held-out rows, loss, then right ones and all ones by div, then the gradient."""
-        shared = sc.broadcast(weights)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from pyspark import TaskContext
-
-            total = np.zeros(4 + 2 * len(divs) + len(weights))
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x, held = np.stack(batch["x"].to_numpy()).astype(np.float64), batch["held"].to_numpy().astype(bool)
-                s, d = batch["s"].to_numpy(), batch["d"].to_numpy()
-                for at, chosen in ((0, ~held), (2, held)):
-                    if not chosen.any():
-                        continue
-                    loss, gradient = loss_and_gradient(shared.value, shapes, x[chosen], s[chosen], d[chosen], ws, wd, alpha)
-                    total[at : at + 2] += chosen.sum(), loss
-                    if at == 0:
-                        total[4 + 2 * len(divs) :] += gradient
-                if held.any():
-                    model = two_head(shared.value, shapes, subs, divs, hierarchy)
-                    _, guess, _ = model.predict(x[held])
-                    total[4 : 4 + len(divs)] += np.bincount(d[held][guess == d[held]], minlength=len(divs))
-                    total[4 + len(divs) : 4 + 2 * len(divs)] += np.bincount(d[held], minlength=len(divs))
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId() % 16], "sums": [total.tobytes()]})
-
-        def added(found: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"sums": [sum(np.frombuffer(b) for b in found["sums"]).tobytes()]})
-
-        parts = rows.mapInPandas(run, "part int, sums binary").groupBy("part").applyInPandas(added, "sums binary").collect()  # 16 rows
-        return sum(np.frombuffer(r.sums) for r in parts)
-
-    try:
-        adam, best, best_flat, idle, least, waited, history = Adam(len(flat), rate), -1.0, flat, 0, np.inf, 0, []
-        for number_of in range(1, epochs + 1):
-            sums = epoch(flat)
-            n, loss, held_n, held_loss = sums[:4]
-            right, every = sums[4 : 4 + len(divs)], sums[4 + len(divs) : 4 + 2 * len(divs)]
-            seen = every > 0
-            balanced = float((right[seen] / every[seen]).mean()) if seen.any() else 0.0
-            held_loss = held_loss / max(held_n, 1)
-            history.append({"epoch": number_of, "tr_loss": loss / max(n, 1), "va_loss": held_loss, "val_acc": float(right.sum() / max(held_n, 1)), "val_bal": balanced, "lr": adam.rate})
-            if balanced > best:
-                best, best_flat, idle = balanced, flat, 0
-            else:
-                idle += 1
-                if idle >= stop_after:
-                    break
-            least, waited = (held_loss, 0) if held_loss < least * (1 - 1e-4) else (least, waited + 1)
-            if waited > patience:
-                adam.rate, waited = adam.rate * factor, 0
-            flat = flat + adam.step(sums[4 + 2 * len(divs) :] / max(n, 1))
-        return two_head(best_flat, shapes, subs, divs, hierarchy), history
-    finally:
-        rows.unpersist()
-
-
-def two_head(flat: np.ndarray, shapes, subs: list[str], divs: list[str], hierarchy: set[tuple[str, str]]) -> TwoHead:
-    parts = _unpacked(flat, shapes)
-    trunk = list(zip(parts[:-4:2], parts[1:-4:2]))
-    return TwoHead(trunk, (parts[-4], parts[-3]), (parts[-2], parts[-1]), subs, divs, hierarchy)
-
-
 def train_baseline(df: DataFrame, vector: str, label: str, steps: int = 30):
     """Multinomial logistic regression over vectors: (model, transform)."""
     from pyspark.ml.classification import LogisticRegression

@@ -70,6 +70,26 @@ def p2_clean_all(spark, sf_dir):
 _LANGUAGE_WORDS = ", ".join(f"('{lang}', [" + ", ".join(f"'{w}'" for w in words) + "])" for lang, words in sorted(FREQUENT_WORDS.items()))
 
 
+_CHARS = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g'))"
+
+
+@query("p7_profile_languages", f"""WITH t AS (SELECT doc_id, lang, doc_id % 4 <> 2 AS training, {_CHARS} AS b FROM documents),
+c AS (SELECT *, string_split(' ' || b || ' ', '') AS c FROM t WHERE b <> ''),
+g AS (SELECT doc_id, lang, training, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM c),
+n AS (SELECT lang, gram, count(*) AS c FROM g WHERE training AND lang IS NOT NULL GROUP BY 1, 2), l AS (SELECT lang, sum(c) AS total FROM n GROUP BY 1),
+k AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) AS r FROM n) WHERE r <= 2000), v AS (SELECT count(*) AS v FROM k),
+w AS (SELECT l.lang, k.gram, round(1000 * ln((coalesce(n.c, 0) + 1) / (total + v)))::BIGINT AS w FROM k CROSS JOIN l CROSS JOIN v LEFT JOIN n ON n.lang = l.lang AND n.gram = k.gram),
+s AS (SELECT doc_id, w.lang, sum(w) AS s, count(*) AS n FROM g JOIN w ON w.gram = g.gram GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER o AS r, lead(s) OVER o AS next FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY s DESC, lang))
+SELECT t.doc_id, coalesce(r.lang, 'unknown') AS lang, round((s - next) / r.n, 3) AS margin FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.r = 1""")
+def p7_profile_languages(spark, sf_dir):
+    """Profiles learned from three folds of the documents, and the language of all."""
+    from ..operators.languages import detect, learn
+
+    d = table(spark, sf_dir, "documents")
+    return detect(d, ["doc_id"], "text", learn(d.where("doc_id % 4 <> 2"), "text", "lang"))
+
+
 @query(
     "p7_detect_language",
     rf"""WITH w AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}]+') AS w FROM documents),

@@ -287,6 +287,15 @@ def v13_g18_density_grid(spark, sf_dir):
     return made.crossJoin(F.broadcast(best)).select("least", "samples", "clusters", "outlier_rate", "score", F.coalesce((F.col("score") == F.col("b.score")) & (F.col("least") == -F.col("b.col2")) & (F.col("samples") == -F.col("b.col3")), F.lit(False)).alias("chosen"))
 
 
+@query("v12_spectral_layout")
+def v12_spectral_layout(spark, sf_dir):
+    """The vectors by the graph of their neighbours, in two dimensions; tests hold it against numpy's eigenvectors."""
+    from ..operators.layout import projected
+
+    p = projected(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", rounds=3)
+    return p.select("vec_id", F.round(F.col("layout")[0], 3).alias("x"), F.round(F.col("layout")[1], 3).alias("y"))
+
+
 @query("v12_v13_cluster_grid")
 def v12_v13_cluster_grid(spark, sf_dir):
     """Principal components, then k-means over a grid: the labels depend on the algorithm, so no SQL."""
@@ -321,6 +330,33 @@ def v14_selection_scores(spark, sf_dir):
     return c.select("label", F.round(silhouette_score(F.lit(0.4), F.col("n") / 1000.0, F.col("n")), 6).alias("score"))
 
 
+@query("v19_trained_accuracy")
+def v19_trained_accuracy(spark, sf_dir):
+    """Both classifiers, trained on hashed vectors of the documents to tell their languages (div) and language groups (sub),
+    and nearest centroids beside them: accuracy on a held-out fifth. No SQL, as weights are fitted; a test has the floor."""
+    from ..operators.embed import hashed
+    from ..operators.predict import classify
+    from ..operators.stats import balanced_accuracy
+    from ..operators.train import train
+
+    d = hashed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", 128).where("embeddings is not null and lang is not null")
+    rows = d.select("doc_id", "embeddings", F.col("lang").alias("div"), F.when(F.col("lang").isin("de", "en"), "G").otherwise("R").alias("sub"), (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held")).persist()
+    held, out = rows.where("held"), None
+    for name, sub in (("flat", None), ("two heads", "sub")):
+        model, _ = train(rows, "embeddings", "div", "held", sub, hidden=(64, 32), epochs=12, rate=3e-3, batch=64, stop_after=6)
+        found = classify(held, model, "embeddings", ["div"]).select("div", F.col("pred_div").alias("predicted"), F.lit(name).alias("model"))
+        out = found if out is None else out.unionByName(found)
+    near = V.nearest(held, ["div"], "embeddings", V.centroids(rows.where("not held"), "div", "embeddings", unit=True).withColumnRenamed("div", "predicted"), "predicted")
+    out = out.unionByName(near.select("div", "predicted", F.lit("nearest centroid").alias("model")))
+    by = None
+    for name in ("flat", "two heads", "nearest centroid"):
+        part = out.where(F.col("model") == name)
+        figures = balanced_accuracy(part, "div", "predicted").select(F.round("accuracy", 4).alias("accuracy"), F.round("balanced", 4).alias("balanced"))
+        one = part.agg(F.count("*").alias("n")).crossJoin(F.broadcast(figures)).withColumn("model", F.lit(name))  # a row each
+        by = one if by is None else by.unionByName(one)
+    return by
+
+
 @query("v19_v21_classify")
 def v19_v21_classify(spark, sf_dir):
     """Two-head forward pass with fixed weights in Arrow batches; a test holds it against numpy."""

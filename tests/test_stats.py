@@ -205,33 +205,6 @@ def test_silhouettes(spark):
         assert r.silhouette == pytest.approx((b - a) / max(a, b))
 
 
-def test_gradient_of_two_heads():
-    from quarry.operators.predict import _shapes, loss_and_gradient
-
-    draw = np.random.default_rng(2)
-    shapes = _shapes([3, 4], 2, 3)
-    flat = draw.normal(size=sum(int(np.prod(s)) for s in shapes))
-    x, ys, yd = draw.normal(size=(5, 3)), draw.integers(0, 2, 5), draw.integers(0, 3, 5)
-    of = lambda w: loss_and_gradient(w, shapes, x, ys, yd, np.array([1.0, 2.0]), np.array([0.5, 1.0, 3.0]), 0.35)
-    _, gradient = of(flat)
-    for k in range(0, len(flat), 3):
-        step = np.zeros(len(flat))
-        step[k] = 1e-6
-        assert (of(flat + step)[0] - of(flat - step)[0]) / 2e-6 == pytest.approx(gradient[k], abs=1e-5)
-
-
-def test_training_of_two_heads(spark):
-    from quarry.operators.predict import train_two_head
-
-    draw = np.random.default_rng(5)
-    rows = [(i, f"S{i % 4 // 2}", f"D{i % 4}", (np.eye(4)[i % 4] * 3 + draw.normal(0, 0.3, 4)).tolist(), i % 5 == 0) for i in range(200)]
-    df = spark.createDataFrame(rows, "id int, s string, d string, v array<double>, held boolean").repartition(3)
-    model, history = train_two_head(df, "v", "s", "d", "held", hidden=(16,), epochs=30, rate=0.05, stop_after=6)
-    assert max(h["val_bal"] for h in history) > 0.95 and history[-1]["va_loss"] < history[0]["va_loss"] and len(history) < 31
-    got = {r.id: (r.pred_sub, r.pred_div) for r in classify(df, model, "v", ["id"]).collect()}
-    assert sum(got[i] == (s, d) for i, s, d, *_ in rows) > 190
-
-
 def test_topics_are_found(spark):
     words = ["red fox", "blue whale", "green tree"]
     draw = np.random.default_rng(6)
