@@ -90,11 +90,11 @@ def closest(a: Column, b: Column) -> Column:
     return F.transform(F.array(F.array_sort(F.concat(tag(a, 0), tag(b, 1)))), least)[0]
 
 
-def ranked(index: DataFrame, key: str, words: list[str], far: int = 8) -> DataFrame:
+def ranked(index: DataFrame, key: str, words: list[str], far: int = 8, hits: DataFrame | None = None) -> DataFrame:
     """(key, matched, typos, proximity): how many of the words a document has, the typos of the best match of each, and
     the sum over neighbouring words of their least distance, `far` at most (and for words it lacks). Sort by
-    matched descending, then typos, then proximity."""
-    hits = matching_terms(index, words)
+    matched descending, then typos, then proximity. hits: the terms (term, i, typos) that the words stand for, if known."""
+    hits = matching_terms(index, words) if hits is None else hits
     found = index.join(hits, "term").groupBy(key, "i").agg(F.min("typos").alias("typos"), F.flatten(F.collect_list("positions")).alias("positions"))
     docs = found.groupBy(key).agg(F.count("*").alias("matched"), F.sum("typos").alias("typos"), F.map_from_entries(F.collect_list(F.struct("i", "positions"))).alias("at"))
     step = lambda i: F.least(F.lit(far), F.coalesce(closest(F.try_element_at("at", F.lit(i)), F.try_element_at("at", F.lit(i + 1))), F.lit(far)))

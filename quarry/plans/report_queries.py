@@ -356,6 +356,22 @@ def r2_ranked_search(spark, sf_dir):
     return search.page(found, 0, 20, F.desc("matched"), F.col("typos"), F.col("proximity"), F.col("doc_id"))
 
 
+@query("r2_stored_search", _RANKED)
+def r2_stored_search(spark, sf_dir):
+    """The same from a stored index, written in two batches."""
+    from uuid import uuid4
+
+    from ..operators import search_index
+    from ..sources.io import ensure_checkpoint_dir
+
+    d, path = table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/index-{uuid4().hex}"
+    early = F.col("doc_id") % 3 > 0
+    search_index.upsert(d.select("doc_id", F.when(early, F.col("text")).otherwise("house erth").alias("text")), path, "doc_id", "text", 0, 16)
+    search_index.upsert(d.where(~early), path, "doc_id", "text", 1, 16)
+    found = search_index.search(spark, path, ["house", "vereinst", "erth"], buckets=16).withColumnRenamed("key", "doc_id")
+    return search.page(found, 0, 20, F.desc("matched"), F.col("typos"), F.col("proximity"), F.col("doc_id"))
+
+
 _SORTED = f"(SELECT doc_id, 1990 + doc_id % 30 AS year, sim, len(regexp_extract_all(lower(text), '\\bthe\\b')) AS score FROM {PAPERS_SQL} WHERE regexp_matches(lower(text), '\\bthe\\b'))"
 
 
