@@ -17,8 +17,8 @@ first two different names share. In a scan, two tuples pushed into one symbol in
 least of the values between their sources (a range minimum over the batch); the last L and first S suffix of a
 symbol share the lesser of their runs of it.
 
-Texts, star positions and names are scratch files mapped into memory when they exceed `memory`, in the task's
-temporary folder, unlinked at once; they are a task's spill and nothing reads them after it.
+Texts and the queues' lanes are scratch files when they exceed `memory`, in the task's temporary folder, unlinked at once;
+they are a task's spill and nothing reads them after it. Arrays as long as the stars (places, names, prefixes) stay in memory.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ Score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), the pairs
 (sum v_i x_i)^2 - sum (v_i x_i)^2 for each factor. It is fitted on TRAIN_ROWS labelled rows at most (whole classes of
 a hash of the id, taken while they fit), which bounds what the driver reads; all rows are scored.
 
-Defined results: a null or empty text has the structure features of no words and gets a score; a null or missing
-n_chars counts as 0; very long texts are read whole; equal rows (ties, repeated rows) have equal scores and each give
+Defined results: a null or empty text has the structure features of no words and gets a score; an n_chars
+that is null, missing or no number counts as 0; very long texts are read whole; equal rows (ties, repeated rows) have equal scores and each give
 a row; a null id is kept; without labelled rows every score is 0.5; an empty table gives an empty table; other columns of
 the input are not looked at. Rows of labels without a document, or with a null label, don't count; of several labels of
 one id the greatest does.
@@ -130,7 +130,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    stated = F.col(f"`{META}`").cast("long") if META in df.columns else F.lit(None).cast("long")
+    stated = F.col(f"`{META}`").try_cast("long") if META in df.columns else F.lit(None).cast("long")
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), stated.alias("stated"))
 
 

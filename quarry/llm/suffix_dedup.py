@@ -14,9 +14,11 @@ The steps, all of them shuffles of packed arrays:
    on disk, and neighbours whose common prefix reaches WINDOW are one string, which its smallest document keeps;
 4. a split marks the bytes of the windows to be removed and cuts them out.
 
-Sizes. A split holds SPLIT_BYTES of text, and a shard the runs of about SHARD_BYTES of it, on average; of a
-sort no more than MEMORY bytes of queue and of each array stay in memory, so larger shards cost disk of the task, not
-memory. Nothing is sent for a pair of split and shard that have nothing in common, so there are never more rows than
+Sizes. A split holds SPLIT_BYTES of text, and a shard the runs of about SHARD_BYTES of it, on average. Of
+a sort the queues go to disk beyond MEMORY bytes, as do texts and types; but other arrays (the stars' places, names and
+prefixes, the runs' bytes, flags and ids) stay in memory, some 36 bytes for a byte of a shard, so it is small shards that bound
+memory. Equal runs are folded before the sort, and a run of an anchor with one form is decided by the fold alone, without
+the sort. Nothing is sent for a pair of split and shard that have nothing in common, so there are never more rows than
 anchors. An anchor that occurs HOT_RUNS times or more (the edge of a line that a third of all documents share, say)
 would make one shard large: its runs are cut into single windows, dealt by the hash of the whole window, which equal
 windows share as well, to shards that sort them like any other.
