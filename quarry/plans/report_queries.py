@@ -441,3 +441,19 @@ def record_files(d):
     head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:c="urn:c"><dc:title>Title '
     body = F.concat(F.lit(head), F.col("doc_id").cast("string"), F.lit("</dc:title><c:language>"), F.coalesce("lang", F.lit("")), F.lit("</c:language><c:description><c:type>abstract</c:type><c:notation>"), text, F.lit("</c:notation></c:description></rdf:RDF>"))
     return d.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".rdf")).alias("path"), F.encode(body, "UTF-8").alias("content"))
+
+
+@query("a2_o7_carried_totals", "SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 1) AS total, min(o_totalprice) AS least, max(o_totalprice) AS most, round(avg(o_totalprice), 3) AS mean FROM orders GROUP BY 1")
+def a2_o7_carried_totals(spark, sf_dir):
+    """Totals of orders that come in three batches, one of them twice, from the state that is carried over them."""
+    from uuid import uuid4
+
+    from ..sources.io import ensure_checkpoint_dir
+    from ..streaming.state import figures, results, take
+
+    orders, target = table(spark, sf_dir, "orders"), f"{ensure_checkpoint_dir(spark)}/state-{uuid4().hex}"
+    state = figures(["o_orderstatus"], ["o_totalprice"])
+    for number in (0, 1, 1, 2):
+        take(orders.where(F.col("o_orderkey") % 3 == number), number, target, state, every=2)
+    p = lambda x: F.col(f"o_totalprice_{x}")
+    return results(spark, target, state).select(F.col("o_orderstatus").alias("status"), "n", F.round(p("sum"), 1).alias("total"), p("min").alias("least"), p("max").alias("most"), F.round(p("mean"), 3).alias("mean"))
