@@ -212,6 +212,14 @@ def p21_topic_name(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", T.topic_name(said).alias("name"))
 
 
+@query("p25_ordered_fingerprint", """SELECT count(*) AS n, coalesce(sum(('0x' || substr(md5(pos || ':' || t), 1, 15))::BIGINT), 0)::VARCHAR AS print
+FROM (SELECT coalesce(text, '') AS t, row_number() OVER (ORDER BY source, doc_id, coalesce(text, '')) - 1 AS pos FROM documents)""")
+def p25_ordered_fingerprint(spark, sf_dir):
+    from ..operators.embed import ordered_fingerprint
+
+    return ordered_fingerprint(table(spark, sf_dir, "documents"), "text", "source", "doc_id")
+
+
 @query("p22_p25_full_text", "SELECT doc_id, sha256(coalesce(source, '') || '. ' || coalesce(text, '')) AS print FROM documents")
 def p22_p25_full_text(spark, sf_dir):
     full = T.full_text(F.col("source"), F.col("text"))

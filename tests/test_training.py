@@ -96,3 +96,22 @@ def test_profiles_of_odd_texts(spark):
     assert of.tolist() == [0, 0, 0, 0, 2] and languages.written(codes) == [" éé", "éé ", "é é", " é ", " a "]
     nothing = languages.learn(df.limit(0), "text", "lang")
     assert {r.lang for r in languages.detect(df, ["id"], "text", nothing).collect()} == {"unknown"} and languages.detect(df.limit(0), ["id"], "text", learned).count() == 0
+
+
+def test_fingerprint_of_texts_in_order(spark):
+    from quarry.operators.embed import ordered_fingerprint
+
+    rows = [(i, f"text {i % 7}") for i in range(50)] + [(60, None), (61, "")]
+    frame = lambda r, parts: spark.createDataFrame(r, "id int, t string").repartition(parts)
+    of = lambda r, parts=3: tuple(ordered_fingerprint(frame(r, parts), "t", "id").first())
+    one = of(rows)
+    assert one == of(rows[::-1], 5) == of([*rows[:50], (60, ""), (61, None)]) and one[0] == 52
+    swapped = [(rows[1][0], rows[0][1]), (rows[0][0], rows[1][1]), *rows[2:]]
+    assert len({one, of(swapped), of(rows[1:]), of([*rows, (62, "")])}) == 4
+    assert of([]) == (0, "0")
+
+
+def test_expected_information_of_large_classes():
+    from quarry.operators.stats import expected_mutual_information
+
+    assert expected_mutual_information([10**8] * 2, [10**8] * 2) == pytest.approx(1 / (4 * 10**8), rel=0.01)
