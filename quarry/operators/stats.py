@@ -272,10 +272,13 @@ def consensus(curated: Column, other: Column, unknown: str = "UNKNOWN") -> Colum
     return F.struct(label.alias("label"), F.coalesce(curated == other, F.lit(False)).alias("agree"))
 
 
-def ordered_distinct(order: Column, items: Column) -> Column:
-    """Aggregate: arrays put end to end in an order, each item kept where it is first."""
-    parts = F.array_sort(F.collect_list(F.struct(order.alias("o"), items.alias("x"))))
-    return F.array_distinct(F.flatten(F.transform(parts, lambda p: p["x"])))
+def ordered_distinct(df: DataFrame, group: str, order: str, items: str, out: str = "items") -> DataFrame:
+    """(group, out): the group's arrays put end to end in an order, each item kept where it is first. The first place of each
+    item is found before a group's items come together, so a group gathers its distinct items, not its rows."""
+    flat = df.select(group, F.col(order).alias("_o"), F.posexplode_outer(items).alias("_i", "_x"))
+    firsts = flat.groupBy(group, "_x").agg(F.min(F.when(F.col("_i").isNotNull(), F.struct("_o", "_i"))).alias("_f"))
+    found = F.array_sort(F.collect_list(F.when(F.col("_f").isNotNull(), F.struct("_f", "_x"))))
+    return firsts.groupBy(group).agg(F.transform(found, lambda s: s["_x"]).alias(out))
 
 
 def grouping(df: DataFrame, sets: list[tuple[str, ...]], *aggs: Column) -> DataFrame:

@@ -215,8 +215,8 @@ def g4_classify_report(spark, sf_dir):
 
 @query("a19_ordered_keywords", "SELECT source, array_to_string(list_distinct_ordered, ',') AS roles FROM (SELECT source, list_reduce(list_prepend([]::VARCHAR[], list([lang] ORDER BY doc_id)), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(a, x) END) AS list_distinct_ordered FROM documents GROUP BY source)")
 def a19_ordered_keywords(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(stats.ordered_distinct(F.col("doc_id"), F.array("lang")).alias("l"))
-    return d.select("source", F.array_join("l", ",").alias("roles"))
+    d = table(spark, sf_dir, "documents").withColumn("langs", F.array("lang"))
+    return stats.ordered_distinct(d, "source", "doc_id", "langs", "l").select("source", F.array_join("l", ",").alias("roles"))
 
 
 _LABELLED = "(SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS a, CASE WHEN doc_id % 7 = 0 THEN 'UNKNOWN' WHEN toxic = 1 THEN 'bad' ELSE 'good' END AS b FROM labels)"

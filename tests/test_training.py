@@ -115,3 +115,26 @@ def test_expected_information_of_large_classes():
     from quarry.operators.stats import expected_mutual_information
 
     assert expected_mutual_information([10**8] * 2, [10**8] * 2) == pytest.approx(1 / (4 * 10**8), rel=0.01)
+
+
+def test_ordered_distinct(spark):
+    from quarry.operators.stats import ordered_distinct
+
+    rows = [("a", 2, ["x", "y"]), ("a", 1, ["y", None, "y"]), ("a", 3, []), ("b", 1, []), ("c", 1, None), ("a", 2, ["z", "x"])]
+    got = {r.g: r.items for r in ordered_distinct(spark.createDataFrame(rows, "g string, o int, x array<string>"), "g", "o", "x").collect()}
+    assert got["a"][:2] == ["y", None] and sorted(got["a"][2:]) == ["x", "z"] and got["b"] == got["c"] == []
+
+
+def test_words_are_counted_in_stretches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import tfidf
+
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i))) for i in range(12)] + [(20, None)]
+    df = spark.createDataFrame(rows, "id int, t string").coalesce(1)
+    of = lambda: sorted(map(tuple, tfidf.term_counts(df, ["id"], F.split("t", " "), 2).collect()))
+    whole = of()
+    batch = df.select("id", F.split("t", " ").alias("w")).toArrow().to_batches()[0]
+    parts = list(tfidf.stretches(batch, 1, 9))
+    assert len(parts) > 4 and sum(p.num_rows for p in parts) == 13 and all(p.num_rows == 1 or sum(len(x or []) for x in p.column(1).to_pylist()) <= 9 for p in parts)
+    assert whole and whole == of()
