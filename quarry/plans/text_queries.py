@@ -361,14 +361,15 @@ def v25_lengths(spark, sf_dir):
     return d.agg(F.count("*").alias("n"), F.round(F.avg("w"), 4).alias("mean"), *over)
 
 
-#: Texts with characters and marks that the tables lack.
-_MADE = "(SELECT doc_id, lang, repeat('日本語、', (doc_id % 30)::INT) || CASE WHEN doc_id % 5 = 0 THEN '<jats:p>' ELSE '' END || text[1:60] AS text FROM documents)"
+#: Whole texts with characters and marks that the tables lack, more the longer the text is.
+_MADE = "(SELECT doc_id, lang, repeat('日本語、', ((doc_id % 30) * (1 + length(text) // 60))::INT) || CASE WHEN doc_id % 5 = 0 THEN '<jats:p>' ELSE '' END || text AS text FROM documents)"
 
 
 def _made(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     tag = F.when(F.col("doc_id") % 5 == 0, "<jats:p>").otherwise("")
-    return d.select("doc_id", "lang", F.concat(F.repeat(F.lit("日本語、"), (F.col("doc_id") % 30).cast("int")), tag, F.substring("text", 1, 60)).alias("text"))
+    times = (F.col("doc_id") % 30 * (1 + F.floor(F.length("text") / 60))).cast("int")
+    return d.select("doc_id", "lang", F.concat(F.repeat(F.lit("日本語、"), times), tag, "text").alias("text"))
 
 
 @query("p3_p4_f3_japanese", f"SELECT doc_id, round(len(regexp_extract_all(text, '{_CJK}'))::DOUBLE / length(text), 6) AS ratio, {_INFORMATIVE} AS informative, lang = 'en' AND len(regexp_extract_all(text, '{_CJK}'))::DOUBLE / length(text) < 0.05 AS english FROM {_MADE}")
