@@ -1,8 +1,9 @@
-"""Text expressions over columns; all built-in functions but for `html_unescape` and `nfkc`, which Spark lacks."""
+"""Text expressions over columns; all built-in functions but for `nfkc`, which Spark lacks."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,14 +30,6 @@ TIERS = ((0.40, "reject"), (0.57, "low"), (0.67, "medium"))
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 
 
-@F.pandas_udf(StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
-    """All named and numeric character references."""
-    from html import unescape
-
-    return s.map(unescape, na_action="ignore")
-
-
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     from unicodedata import normalize
@@ -50,6 +43,47 @@ def once(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), use)[0]
 
 
+def _character(number: Column) -> Column:
+    """The character of a numeric reference (`233` or `xe9`): code page 1252 for 80 to 9F, U+FFFD for zero and for what is
+    no character, nothing for control codes and those that Unicode sets aside."""
+    hexadecimal = number.rlike("^[xX]")
+    digits = F.regexp_replace(number, "^[xX]?0*(?=.)", "")
+    value = F.when(F.length(digits) > 7, 0x110000).when(hexadecimal, F.conv(digits, 16, 10).try_cast("int")).otherwise(digits.try_cast("int"))
+    windows = F.split(F.lit("\0".join(bytes([x]).decode("cp1252", "replace").replace("\ufffd", chr(x)) for x in range(0x80, 0xA0))), "\0")
+
+    def chosen(n: Column) -> Column:
+        away = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        # A byte order mark stands before the character, so that one which is itself asked for stays.
+        plain = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(n), 8, "0"))), "UTF-32")
+        none = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        return F.when(none, "\ufffd").when(n.between(0x80, 0x9F), F.get(windows, n - 0x80)).when(away, "").otherwise(plain)
+
+    return once(value, chosen)
+
+
+def _reference(piece: Column) -> Column:
+    """What stands behind one `&`, the character reference at its start decoded; with the `&` again if there is none. A
+    name with `;` counts as a whole, else the longest of the old names, which need none."""
+    names = F.str_to_map(F.lit("\1".join(f"{k}\2{v}" for k, v in html5.items() if k[-1] == ";")), F.lit("\1"), F.lit("\2"))
+    short = "^(?:" + "|".join(sorted((k for k in html5 if k[-1] != ";"), key=len, reverse=True)) + ")"
+    number = F.regexp_extract(piece, "^#([0-9]+|[xX][0-9a-fA-F]+);?", 1)
+    name, old = F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};", 0), F.regexp_extract(piece, short, 0)
+    after = lambda found: F.substr(piece, F.length(found) + 1)
+    whole = F.when(name != "", F.concat(names[name], after(name)))
+    start = F.when(old != "", F.concat(names[F.concat(old, F.lit(";"))], after(old)))
+    digits = F.concat(_character(number), F.regexp_replace(piece, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", ""))
+    return F.when(number != "", digits).otherwise(F.coalesce(whole, start, F.concat(F.lit("&"), piece)))
+
+
+def html_unescape(c: Column) -> Column:
+    """All named and numeric character references, as the standard library decodes them: the text is cut at `&`."""
+
+    def decoded(pieces: Column) -> Column:
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _reference), ""))
+
+    return once(c, lambda text: F.when(F.contains(text, F.lit("&")), once(F.split(text, "&"), decoded)).otherwise(text))
+
+
 def basic_unescape(c: Column) -> Column:
     """The XML entities and the most frequent HTML ones, without leaving the JVM: for texts known to hold no others."""
     for entity, char in ENTITIES:

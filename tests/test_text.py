@@ -65,3 +65,18 @@ def test_llm_reply(spark):
     assert one(spark, T.llm_reply(F.col("x")), value="none").code == ""
     assert one(spark, T.known_code(F.col("x"), ["TK", "Q"]), value="TK9") == "TK"
     assert one(spark, T.known_code(F.col("x"), ["TK", "Q"]), value="") == "UNKNOWN"
+
+
+def test_references_as_the_standard_library(spark):
+    """Every name with and without its end, numbers around all bounds, and what is no reference; no Python in the plan."""
+    from html import unescape
+    from html.entities import html5
+
+    edges = [0, 1, 8, 9, 10, 11, 12, 13, 14, 31, 32, 126, 127, 128, 129, 159, 160, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFEFF, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x10FFFD, 0x10FFFF, 0x110000, 9999999, 10**9, 10**30]
+    texts = [f"a&{k}b" for k in html5] + [f"&{k.rstrip(';')};&{k.rstrip(';')}" for k in html5]
+    texts += [f"x&#{n};y&#{n}z&#x{n:x};&#X{n:X} &#000{n};&#x000{n:x}g" for n in [*edges, *range(0x80, 0xA0)]]
+    texts += ["", "&", "&&", "&;", "&#;", "&#x;", "&#xg;", "& amp;", "&amp;lt;", "&ampamp;", "&notit;", "&notin;", "&NoSuch;", "&" + "a" * 40 + ";", "tail&", "&amp", "日&yen;本&copy", "&lt\n", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", "x", T.html_unescape(F.col("x")).alias("y"))
+    assert [(r.x, r.y) for r in rows.orderBy("i").collect()] == [(x, x if x is None else unescape(x)) for x in texts]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "str_to_map" not in plan  # the table of names is worked out once
