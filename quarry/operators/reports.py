@@ -215,6 +215,41 @@ def assembled(df: DataFrame, cluster: str, names: DataFrame, merged: DataFrame,
     return out.select(*keep, "main_topic_name", "main_topic_id", "subtopic_name", "subtopic_id")
 
 
+def diagnostics(df: DataFrame, key: str, vector: str, truth: str, predicted: str, conf: str, held: Column, outlier: Column, levels: tuple[float, ...] = (0.999, 0.99, 0.95), weakest: int = 15) -> DataFrame:
+    """Whether held-out figures of a classifier can be believed. On the held-out rows: its accuracy, that of nearest
+    centroids and of the nearest training row (if they match, the labels were in the vectors already), the share of rows
+    with a near copy in training, and the classes of least F1. Over all rows: how many no figure covers, and how sure the
+    classifier is of outliers, which no class holds. Rows are known by `key`; outliers and rows without a class are in no split."""
+    from ..sources.io import ensure_checkpoint_dir
+    from . import vectors as V
+
+    ensure_checkpoint_dir(df.sparkSession)
+    no = lambda c: F.coalesce(c, F.lit(False))
+    all_ = df.select(key, truth, predicted, conf, V.normalise(F.col(vector)).alias("_u"), no(held).alias("_held"), no(outlier).alias("_out")).checkpoint()  # many passes
+    used = all_.where(~F.col("_out") & F.col(truth).isNotNull())
+    seen, asked = used.where("not _held"), used.where("_held")
+    means = V.centroids(seen, truth, "_u", unit=True).withColumnRenamed(truth, "_class")
+    near = V.nearest(asked, [key, truth], "_u", means, "_class")
+    rows_ = V.nearest_rows(seen, key, "_u", asked, truth).checkpoint()
+    middle = (stats.quantiles(rows_, "sim", [0.5]) or [None])[0]
+    same = lambda a, b: F.avg((F.col(a) == F.col(b)).cast("int"))
+    report = stats.accuracy_report(asked, truth, predicted).where("support > 0")
+    least = report.orderBy(F.round("f1", 9), "label").limit(weakest)
+    inside, out = F.col("_held") & ~F.col("_out") & F.col(truth).isNotNull(), F.col("_out")
+    use = ~F.col("_out") & F.col(truth).isNotNull()
+    share = lambda c: F.avg(c.cast("int"))
+    parts = [
+        figures(report, "model", [("accuracy", F.sum("support"), F.sum("tp") / F.sum("support")), ("balanced accuracy", F.count("*"), F.avg("recall"))]),
+        figures(near, "controls", [("nearest centroid", F.count("*"), same(truth, "_class"))]),
+        figures(rows_, "controls", [("nearest row", F.count("*"), same(truth, "near_label"))]),
+        figures(rows_, "leakage", [*((f"similarity {x}", F.count(F.when(F.col("sim") >= x, 1)), share(F.col("sim") >= x)) for x in levels), ("median similarity", None, F.lit(middle))]),
+        figures(all_, "coverage", [("rows", F.count("*"), None), ("outliers", F.count(F.when(out, 1)), share(out)), ("used", F.count(F.when(use, 1)), share(use)), ("excluded", F.count(F.when(~use, 1)), share(~use))]),
+        figures(all_, "confidence", [("held out", F.count(F.when(inside, 1)), F.avg(F.when(inside, F.col(conf)))), ("outliers", F.count(F.when(out, 1)), F.avg(F.when(out, F.col(conf)))), ("outliers above 0.9", F.count(F.when(out & (F.col(conf) > 0.9), 1)), F.avg(F.when(out, (F.col(conf) > 0.9).cast("int"))))]),
+        rows(least, "weakest classes", F.col("label"), F.col("support"), None, F.col("f1")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def selected_setting(results: DataFrame, count: str, score: str, low: int, high: int) -> DataFrame:
     """The rows of a grid search with `selected`: the best score among those with a count in the window, or, if there is
     none, among all; ties take the least count."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reports, search, stats
+from ..operators import hierarchy, reports, search, stats
 from ..operators import vectors as V
 from ..operators.cluster import topic_model
 from ..sources.io import table
@@ -336,6 +336,86 @@ def v26_topics(spark, sf_dir):
     return topic_model(e, "doc_id", "text", "embedding", [4, 8], (4, 8), dimensions=10)[1]
 
 
+_TOPICS = f"""p AS (SELECT doc_id, text, CASE WHEN conf < 0.3 THEN -1 ELSE substr(div, 2)::INT END AS topic FROM {PAPERS_SQL}),
+g AS (SELECT doc_id, topic, list_concat(t, list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) AS t FROM (SELECT doc_id, topic, {_TOK} AS t FROM p)),
+c AS (SELECT topic, term, count(*) AS tf FROM (SELECT topic, unnest(t) AS term FROM g WHERE topic >= 0) GROUP BY 1, 2), k AS (SELECT count(DISTINCT topic) AS k FROM p WHERE topic >= 0),
+v AS (SELECT term FROM c GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 20000), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+q AS (SELECT c.*, ln(1 + k / (1 + df)) AS idf FROM c JOIN f USING (term) JOIN v USING (term), k WHERE df >= 2 AND df <= 0.85 * k), a AS (SELECT topic, sum(tf) AS a FROM q GROUP BY 1),
+w AS (SELECT topic, term, tf / a * idf AS s, idf FROM q JOIN a USING (topic))"""
+
+
+def _topics(spark, sf_dir):
+    label = F.substring("div", 2, 9).cast("int")
+    return papers(spark, sf_dir).select("doc_id", "text", F.when(F.col("conf") < 0.3, F.lit(-1)).otherwise(label).alias("topic"))
+
+
+@query(
+    "v26_reassigned",
+    f"""WITH {_TOPICS}, l AS (SELECT topic, sqrt(sum(s * s)) AS l FROM w GROUP BY 1), voc AS (SELECT term, max(idf) AS idf FROM w GROUP BY 1),
+d AS (SELECT doc_id, term, count(*) * max(idf) AS x FROM (SELECT doc_id, unnest(t) AS term FROM g WHERE topic < 0) JOIN voc USING (term) GROUP BY 1, 2), dl AS (SELECT doc_id, sqrt(sum(x * x)) AS dl FROM d GROUP BY 1),
+s AS (SELECT doc_id, topic, round(sum(x * s / l) / max(dl), 9) AS sim FROM d JOIN w USING (term) JOIN l USING (topic) JOIN dl USING (doc_id) GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, topic) AS k FROM s)
+SELECT p.doc_id, (CASE WHEN sim >= 0.1 THEN b.topic ELSE -1 END)::INT AS topic, round(sim, 6) AS similarity FROM p LEFT JOIN b ON b.doc_id = p.doc_id AND k = 1 WHERE p.topic < 0""",
+)
+def v26_reassigned(spark, sf_dir):
+    """Papers without a topic, given the topic with the most similar words."""
+    found = hierarchy.reassigned(_topics(spark, sf_dir), "doc_id", "topic", "text", 0.1)
+    return found.select("doc_id", "topic", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "v26_topic_levels",
+    f"""WITH {_TOPICS}, r AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY round(s, 12) DESC, term) AS k FROM w),
+t AS (SELECT topic, count(*) AS n FROM p WHERE topic >= 0 GROUP BY 1), n AS (SELECT t.topic, any_value(n) AS n, concat_ws('_', t.topic, string_agg(term, '_' ORDER BY r.k)) AS name FROM t LEFT JOIN r ON r.topic = t.topic AND r.k <= 3 GROUP BY 1),
+m AS (SELECT arg_min(topic, (-n, topic)) AS main, arg_min(name, (-n, topic)) AS main_name FROM n)
+SELECT 1.0::DOUBLE AS cut, topic, n, name, topic AS main, name AS main_name FROM n UNION ALL SELECT 0.0, topic, n, name, main, main_name FROM n, m""",
+)
+def v26_topic_levels(spark, sf_dir):
+    """The bottom and the top of the topics' dendrogram; tests hold the cuts between against merging by hand."""
+    return hierarchy.topic_levels(_topics(spark, sf_dir), "topic", "text", [1.0, 0.0])
+
+
+@query("v26_topic_hierarchy")
+def v26_topic_hierarchy(spark, sf_dir):
+    """Density clusters of the documents' hashed vectors as topics, under the topics of three levels, and their documents once
+    outliers are dealt out. No SQL, as a spanning tree is grown; a test plants topics of topics."""
+    from ..operators.embed import hashed
+
+    e = hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 64, "embedding").where("embedding is not null")
+    documents, levels = hierarchy.density_topics(e, "doc_id", "text", "embedding", 10, 5, [0.85, 0.5, 0.2])
+    sizes = documents.groupBy(F.col("given").alias("topic")).agg(F.count("*").alias("with_outliers"))
+    return levels.join(sizes, "topic", "left")
+
+
+_CHECKED = f"""p AS (SELECT doc_id, div, CASE WHEN conf >= 0.2 THEN div ELSE 'D0' END AS pred, conf, sim < 0.3 AS out, doc_id % 5 = 0 AS held,
+ list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM (SELECT *, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM {PAPERS_SQL})),
+va AS (SELECT * FROM p WHERE NOT out AND held), tr AS (SELECT * FROM p WHERE NOT out AND NOT held),
+m AS (SELECT div, list(m ORDER BY i) AS m FROM (SELECT div, i, avg(u[i]) AS m FROM (SELECT div, u, unnest(generate_series(1, len(u))) AS i FROM tr) GROUP BY 1, 2) GROUP BY div),
+cu AS (SELECT div AS c, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS m FROM m),
+nc AS (SELECT doc_id, div, arg_min(c, (-list_inner_product(u, m), c)) AS c FROM va, cu GROUP BY 1, 2),
+nn AS (SELECT va.doc_id, va.div, arg_min(tr.div, (-list_inner_product(va.u, tr.u), tr.doc_id)) AS c, max(list_inner_product(va.u, tr.u)) AS s FROM va, tr GROUP BY 1, 2),
+r AS (SELECT div AS label, count(*) AS support, count(*) FILTER (WHERE div = pred) AS tp FROM va GROUP BY 1), g AS (SELECT pred AS label, count(*) AS guessed FROM va GROUP BY 1),
+f AS (SELECT label, support, tp, 2.0 * tp / (support + coalesce(guessed, 0)) AS f1 FROM r LEFT JOIN g USING (label))"""
+
+
+@query(
+    "g21_diagnostics",
+    f"""WITH {_CHECKED}, x AS (SELECT 'model' AS section, 'accuracy' AS item, sum(support) AS n, sum(tp) / sum(support) AS value FROM r UNION ALL SELECT 'model', 'balanced accuracy', count(*), avg(tp / support) FROM r
+ UNION ALL SELECT 'controls', 'nearest centroid', count(*), avg((div = c)::INT) FROM nc UNION ALL SELECT 'controls', 'nearest row', count(*), avg((div = c)::INT) FROM nn
+ UNION ALL SELECT 'leakage', unnest(['similarity 0.999', 'similarity 0.99', 'similarity 0.95', 'median similarity']), unnest([count(*) FILTER (WHERE s >= 0.999), count(*) FILTER (WHERE s >= 0.99), count(*) FILTER (WHERE s >= 0.95), NULL]),
+  unnest([avg((s >= 0.999)::INT), avg((s >= 0.99)::INT), avg((s >= 0.95)::INT), median(s)]) FROM nn
+ UNION ALL SELECT 'coverage', unnest(['rows', 'outliers', 'used', 'excluded']), unnest([count(*), count(*) FILTER (WHERE out), count(*) FILTER (WHERE NOT out), count(*) FILTER (WHERE out)]), unnest([NULL, avg(out::INT), avg((NOT out)::INT), avg(out::INT)]) FROM p
+ UNION ALL SELECT 'confidence', unnest(['held out', 'outliers', 'outliers above 0.9']), unnest([count(*) FILTER (WHERE held AND NOT out), count(*) FILTER (WHERE out), count(*) FILTER (WHERE out AND conf > 0.9)]),
+  unnest([avg(conf) FILTER (WHERE held AND NOT out), avg(conf) FILTER (WHERE out), avg((conf > 0.9)::INT) FILTER (WHERE out)]) FROM p
+ UNION ALL SELECT 'weakest classes', label, support, f1 FROM (SELECT *, row_number() OVER (ORDER BY round(f1, 9), label) AS k FROM f) WHERE k <= 15)
+SELECT section, item, n::BIGINT AS n, NULL::DOUBLE AS share, round(value, 6) AS value, NULL::VARCHAR AS text FROM x""",
+)
+def g21_diagnostics(spark, sf_dir):
+    """Every fifth paper held out, papers of little similarity as outliers, and a class D0 for papers of little confidence."""
+    p = papers(spark, sf_dir).withColumn("pred", F.when(F.col("conf") >= 0.2, F.col("div")).otherwise(F.lit("D0")))
+    return _report_rows(reports.diagnostics(p, "doc_id", "embedding", "div", "pred", "conf", F.col("doc_id") % 5 == 0, F.col("sim") < 0.3))
+
+
 _RANKED = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
 x AS (SELECT doc_id, unnest(w) AS term, unnest(generate_series(1, len(w))) AS pos FROM w),
 q AS (SELECT unnest(['house', 'vereinst', 'erth']) AS q, unnest([0, 1, 2]) AS i),
