@@ -92,10 +92,12 @@ def low_confidence(df: DataFrame, path: Column, title: str, conf: str, key: str,
     return rows(ranked, "low confidence", path, F.col("rank"), None, F.col(conf), F.substring(T.collapse(T.strip_tags(F.col(title))), 1, 120))
 
 
-def class_terms(df: DataFrame, col: str, text: str, key: str, size: int, per_class: int = 3000) -> DataFrame:
-    """TF-IDF terms (words and pairs) of each class, over a sample of its documents in hash order."""
-    sample = sampling.sample_per_group(df.where(F.col(text).isNotNull()).select(key, col, text), col, key, per_class)
-    found = tfidf.keywords(sample, key, text, col, size, most=2)
+def class_terms(df: DataFrame, col: str, text: str, key: str, size: int, per_class: int | None = None) -> DataFrame:
+    """TF-IDF terms (words and pairs) of each class, over all its documents or a sample of `per_class` in hash order."""
+    texts = df.where(F.col(text).isNotNull()).select(key, col, text)
+    if per_class is not None:
+        texts = sampling.sample_per_group(texts, col, key, per_class)
+    found = tfidf.keywords(texts, key, text, col, size, most=2)
     return rows(found, "terms", F.col(col), F.col("rank"), None, F.col("score"), F.col("term"))
 
 
@@ -121,10 +123,14 @@ def _coherence(df: DataFrame, group: str, label: str, least: int) -> DataFrame:
 def group_validation(df: DataFrame, group: str, label: str, sim: str, least: int = 20, worst: int = 12, bins: int = 10) -> DataFrame:
     """How far classes follow a grouping that they weren't made from (journals, publishers): coverage, purity, entropy,
     lift, adjusted mutual information, the same for the quarters with most and least similarity, purity by bins of
-    similarity, and the large groups of least purity. Groups of fewer than `least` rows don't count."""
-    total = df.count()
-    known = df.withColumn(group, F.nullif(F.trim(F.col(group)), F.lit(""))).where(F.col(group).isNotNull()).select(group, label, sim)
-    found = _coherence(known, group, label, least)
+    similarity, and the large groups of least purity. Groups of fewer than `least` rows don't count. The three columns
+    are written once, as two dozen aggregates read them."""
+    from ..sources.io import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    every = df.select(F.nullif(F.trim(F.col(group)), F.lit("")).alias(group), label, sim).checkpoint()
+    total, known = every.count(), every.where(F.col(group).isNotNull())
+    found = _coherence(known, group, label, least).checkpoint()
     mean = lambda c: stats.weighted_mean(F.col(c), F.col("n"))
     middle = (stats.quantiles(found, "purity", [0.5]) or [None])[0]
     pure = F.col("purity") >= 0.8
@@ -148,13 +154,13 @@ def group_validation(df: DataFrame, group: str, label: str, sim: str, least: int
     one = df.sparkSession.range(1)
     ami = lambda d: F.lit(stats.adjusted_mutual_information(d, group, label))
     parts.append(rows(one, "coherence", F.lit("adjusted mutual information"), value=ami(known)))
-    quarters = stats.quantiles(known, sim, [0.25, 0.75])
+    marks = stats.quantiles(known, sim, [0.25, 0.75, *(i / bins for i in range(bins + 1))])
+    quarters, cuts = marks[:2], sorted(set(marks[2:]))
     if quarters:
         for name, side in (("low similarity", known.where(F.col(sim) <= quarters[0])), ("high similarity", known.where(F.col(sim) >= quarters[1]))):
             inside = _coherence(side, group, label, max(5, least // 2))
             parts.append(rows(one, name, F.lit("adjusted mutual information"), value=ami(side)))
             parts.append(figures(inside, name, [("purity", F.sum("n"), mean("purity"))]))
-        cuts = stats.edges(known, sim, bins)
         binned = known.withColumn("bin", stats.quantile_bin(F.col(sim), cuts))
         # One pass for all bins: a group within a bin is a group of its own.
         cells = binned.withColumn("cell", F.struct("bin", group))

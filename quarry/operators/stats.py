@@ -115,10 +115,14 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str, most: int = 20_00
         raise ValueError(f"more than {most} classes")
     if len(rows) <= 1 and len(cols) <= 1:
         return 1.0
-    m = mutual_information(df, a, b).first()
+    t = sum(rows)
+    entropy = lambda sizes: float(-(np.array(sizes) / t * np.log(np.array(sizes) / t)).sum())
+    h_a, h_b = entropy(rows), entropy(cols)
+    # Both entropies less that of the cells: no margin needs to be joined to its cells.
+    joint = cells.agg(-F.sum(F.col("n") / F.lit(float(t)) * F.ln(F.col("n") / F.lit(float(t))))).first()[0]
     e = expected_mutual_information(rows, cols)
-    below = (m.h_a + m.h_b) / 2 - e
-    return (m.mi - e) / below if abs(below) > 1e-15 else 1.0
+    below = (h_a + h_b) / 2 - e
+    return (h_a + h_b - joint - e) / below if abs(below) > 1e-15 else 1.0
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -147,10 +151,11 @@ def missing_rates(df: DataFrame, cols: list[str]) -> DataFrame:
     return one.unpivot([], cols, "column", "missing")
 
 
-def _ranked(counts: DataFrame, ranks: list[int], keep: int) -> dict[int, float]:
-    """The values at some places (from 0) of the order of all values, from (v, n), one row for each value."""
-    few = counts.orderBy("v").limit(keep + 1).collect() if counts.limit(keep + 1).count() <= keep else None
-    if few is not None:
+def _ranked(counts: DataFrame, ranks: list[int], keep: int, values: int | None = None) -> dict[int, float]:
+    """The values at some places (from 0) of the order of all values, from (v, n), one row for each value; `values` is their
+    number, if it is known."""
+    if (counts.limit(keep + 1).count() if values is None else values) <= keep:
+        few = counts.orderBy("v").collect()
         upto, out = 0, {}
         for v, n in few:
             for r in ranks:
@@ -181,14 +186,26 @@ def quantiles(df: DataFrame, col: str, at: list[float], keep: int = 10_000) -> l
     """Exact quantiles with linear interpolation, without one task that holds all values: equal values are folded, and
     the range is cut into parts until those that hold a wanted place have `keep` values at most. [] without values."""
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, values = counts.agg(F.sum("n"), F.count("*")).first()
     if not total:
         return []
     places = [(total - 1) * q for q in at]
-    found = _ranked(counts, sorted({x for p in places for x in (math.floor(p), math.ceil(p))}), keep)
+    found = _ranked(counts, sorted({x for p in places for x in (math.floor(p), math.ceil(p))}), keep, values)
     return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
 
 
+def largest(df: DataFrame, col: str, tie: str, size: int, keep: int = 10_000) -> DataFrame:
+    """The `size` rows with the largest whole numbers in `col`, ties by `tie`. The least number among them is found from
+    counts of equal numbers, so no task ranks all rows; only rows with that very number are ordered. Reads `df` several
+    times: write it before."""
+    if df.count() <= size:
+        return df
+    counts = df.groupBy((-F.col(col)).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    bound = -_ranked(counts, [size - 1], keep)[size - 1]
+    above = df.where(F.col(col) > bound)
+    return above.unionByName(df.where(F.col(col) == bound).orderBy(tie).limit(size - above.count()))
+
+
 def edges(df: DataFrame, col: str, bins: int) -> list[float]:
     """Distinct linear-interpolated quantiles: bins + 1 numbers at most."""
     return sorted(set(quantiles(df, col, [i / bins for i in range(bins + 1)])))

@@ -127,13 +127,20 @@ cells AS (SELECT journal, sub, count(*) AS c FROM t GROUP BY 1, 2),
 guess AS (SELECT journal, arg_min(sub, (-c, sub)) AS model_guess, round(max(c)::DOUBLE / sum(c), 3) AS model_purity FROM cells GROUP BY 1),
 firsts AS (SELECT journal, title, min(doc_id) AS f FROM t WHERE title <> '' GROUP BY 1, 2),
 shown AS (SELECT journal, title, row_number() OVER (PARTITION BY journal ORDER BY f) AS k FROM firsts),
-titles AS (SELECT journal, string_agg(title[1:90], ' | ' ORDER BY k) AS sample_titles FROM shown WHERE k <= 8 GROUP BY 1)"""
+titles AS (SELECT journal, string_agg(title[1:90], ' | ' ORDER BY k) AS sample_titles FROM shown WHERE k <= 8 GROUP BY 1),
+kt AS (SELECT doc_id, journal, title FROM t JOIN top USING (journal) WHERE title <> ''),
+kc AS (SELECT journal, doc_id, term, count(*) AS tf FROM (SELECT journal, doc_id, unnest(list_concat(x, list_transform(generate_series(1, len(x) - 1), lambda i: x[i] || ' ' || x[i + 1]))) AS term
+ FROM (SELECT doc_id, journal, {_TOK.replace("lower(text)", "lower(title)")} AS x FROM kt)) GROUP BY 1, 2, 3),
+ki AS (SELECT term, ln((1 + (SELECT count(*) FROM kt)) / (1 + count(*))) + 1 AS idf FROM kc GROUP BY term HAVING count(*) >= 2),
+kw AS (SELECT journal, doc_id, term, (1 + ln(tf)) * idf AS w FROM kc JOIN ki USING (term)), kl AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM kw GROUP BY 1),
+ks AS (SELECT journal, term, sum(w / l) / (SELECT count(*) FROM kt b WHERE b.journal = kw.journal) AS s FROM kw JOIN kl USING (doc_id) GROUP BY 1, 2),
+words AS (SELECT journal, string_agg(term, ', ' ORDER BY k) AS top_keywords FROM (SELECT *, row_number() OVER (PARTITION BY journal ORDER BY round(s, 9) DESC, term) AS k FROM ks) WHERE k <= 12 GROUP BY 1)"""
 
 
-@query("g9_gold_template", f"WITH {_TEMPLATE} SELECT journal, n_papers, sample_titles, model_guess, model_purity, '' AS gold_lcc_sub FROM top JOIN guess USING (journal) JOIN titles USING (journal)")
+@query("g9_gold_template", f"WITH {_TEMPLATE} SELECT journal, n_papers, coalesce(top_keywords, '') AS top_keywords, sample_titles, model_guess, model_purity, '' AS gold_lcc_sub FROM top JOIN guess USING (journal) JOIN titles USING (journal) LEFT JOIN words USING (journal)")
 def g9_gold_template(spark, sf_dir):
     made = reports.gold_template(_titled(spark, sf_dir), "journal", "title", "sub", "doc_id", top=12, fold=lambda c: c)
-    return made.select("journal", "n_papers", "sample_titles", "model_guess", "model_purity", "gold_lcc_sub")
+    return made.select("journal", "n_papers", "top_keywords", "sample_titles", "model_guess", "model_purity", "gold_lcc_sub")
 
 
 _KIND = "regexp_extract(source, '([0-9]+)$', 1)::INT"

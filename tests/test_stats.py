@@ -301,3 +301,15 @@ def test_calls_are_tried_again(spark):
     assert r[1].r.code == r[4].r.code == "QD" and r[1].r.confidence == 4 and r[2].error is None
     bad = ask(df.withColumn("p", F.lit("bad")), "p", make, retries=0).first()
     assert bad.reply is None and bad.error == "OSError: no"
+
+
+def test_largest_rows_without_ranking_all(spark):
+    from quarry.operators.stats import largest
+
+    rows = [(f"t{i:04d}", i * i % 37) for i in range(2000)] + [("none", 0)]
+    df = spark.createDataFrame(rows, "t string, n long").repartition(5)
+    for size in (0, 1, 60, 777, 2000, 2001, 5000):
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))[:size]
+        if size:
+            assert sorted(map(tuple, largest(df, "n", "t", size, keep=8).collect())) == sorted(want)
+    assert largest(df.limit(0), "n", "t", 3).count() == 0
