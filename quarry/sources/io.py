@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 LISTS = ("authors", "affiliations", "topics", "related_titles")
@@ -123,12 +127,80 @@ def read_tolerant(spark: SparkSession, path: str, schema: StructType | None = No
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
+def _parquet_file(path: str):
+    """A Parquet file opened in a task, of a local (or mounted) folder or of any file system with an address."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    if re.match("^(file:)?/", path):
+        return pq.ParquetFile(re.sub("^file:/+", "/", path))
+    system, at = fs.FileSystem.from_uri(path)
+    return pq.ParquetFile(system.open_input_file(at))
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row_group, rows, error) of each row group, by the files' footers alone. A file without row groups has one row
+    with a null group and no rows; one whose footer can't be read has one with null rows and what went wrong."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    meta = _parquet_file(name).metadata
+                    found = [(name, i, meta.row_group(i).num_rows, None) for i in range(meta.num_row_groups)] or [(name, None, 0, None)]
+                except (OSError, pa.ArrowException) as e:
+                    found = [(name, None, None, str(e)[:500])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["path", "row_group", "rows", "error"])
+
+    return files.mapInArrow(run, "path string, row_group int, rows long, error string")
+
+
+def read_row_groups(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The columns of `schema` (missing ones null, others cast) and _path, _row_group, _error, _lost. A row group that can't be
+    read, or a file without a readable footer, is one row of nulls that says why and how many rows are lost (null: unknown);
+    all other row groups are whole. Each row group is read in one piece, by one task."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tagged(columns: list[pa.Array], n: int, name: str, group: int | None, error: str | None, lost: int | None) -> pa.RecordBatch:
+            tags = [pa.array([v] * n, t) for v, t in ((name, pa.string()), (group, pa.int32()), (error, pa.string()), (lost, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*columns, *tags], [*arrow.names, "_path", "_row_group", "_error", "_lost"])
+
+        for batch in batches:
+            for name, group, rows, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if error is None and group is None:
+                    continue
+                try:
+                    if error is not None:
+                        raise OSError(error)
+                    file = _parquet_file(name)
+                    have = [f for f in arrow.names if f in file.schema_arrow.names]
+                    got = file.read_row_group(group, columns=have)
+                    whole = pa.table([got.column(f.name).cast(f.type) if f.name in have else pa.nulls(rows, f.type) for f in arrow], schema=arrow)
+                except (OSError, pa.ArrowException) as e:
+                    yield tagged([pa.nulls(1, f.type) for f in arrow], 1, name, group, str(e)[:500], rows)
+                    continue
+                for part in whole.to_batches(max_chunksize=10_000):
+                    yield tagged(part.columns, part.num_rows, name, group, None, None)
+
+    kinds = StructType([StructField(f.name, f.dataType, True) for f in schema])
+    for name, kind in (("_path", "string"), ("_row_group", "integer"), ("_error", "string"), ("_lost", "long")):
+        kinds = kinds.add(name, kind)
+    return row_groups(spark, path).repartition("path", "row_group").mapInArrow(run, kinds)
+
+
+def unreadable_files(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """(path) of the files of which `read_tolerant` gives no row, though their footer tells of rows or can't be read."""
+    bare = F.regexp_replace("path", "^[a-z0-9]+:/+", "/").alias("path")
+    full = row_groups(spark, path).where(F.col("error").isNotNull() | (F.col("rows") > 0)).select(bare).distinct()
+    seen = read_tolerant(spark, path, schema).select(F.input_file_name().alias("path")).select(bare).distinct()
+    return full.join(seen, "path", "left_anti")
+
+
 def unreadable(spark: SparkSession, path: str, schema: StructType | None = None) -> list[str]:
-    """The files of which `read_tolerant` gave no row: broken ones (or ones without rows)."""
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
-    seen = read_tolerant(spark, path, schema).select(F.input_file_name().alias("path")).distinct()
-    bare = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    return sorted(r[0] for r in every.select(bare).subtract(seen.select(bare)).collect())
+    """The paths of `unreadable_files`, in order: broken files, which are few."""
+    return sorted(r.path for r in unreadable_files(spark, path, schema).collect())
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:

@@ -214,3 +214,31 @@ def test_references_are_resolved(spark):
     df = spark.createDataFrame([("caf&eacute; &#233; &lt;b&gt;x &amp;lt;",)], "t string")
     r = df.select(T.decode_abstract(F.col("t")).alias("d"), T.clean_text(F.col("t")).alias("c")).first()
     assert r.d == "café é x &lt;" and r.c == "café é <b>x &lt;"
+
+
+def test_row_groups_are_read_alone(spark, tmp_path):
+    """One row group of four is broken: its rows are counted as lost, the others are whole; so with a file without a footer."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    folder = tmp_path / "g"
+    folder.mkdir()
+    made = pa.table({"id": list(range(400)), "t": [f"text {i}" for i in range(400)], "extra": [0.5] * 400})
+    pq.write_table(made, folder / "a.parquet", row_group_size=100)
+    pq.write_table(made.slice(0, 0), folder / "empty.parquet")
+    pq.write_table(made.select(["id"]).slice(0, 5), folder / "narrow.parquet")
+    (folder / "broken.parquet").write_bytes(b"PAR1 not at all")
+    chunk = pq.ParquetFile(folder / "a.parquet").metadata.row_group(2).column(1)
+    start = min(x for x in (chunk.data_page_offset, chunk.dictionary_page_offset) if x)
+    raw = bytearray((folder / "a.parquet").read_bytes())
+    raw[start : start + chunk.total_compressed_size] = b"\xff" * chunk.total_compressed_size
+    (folder / "a.parquet").write_bytes(raw)
+    schema = StructType([StructField("t", StringType()), StructField("id", LongType()), StructField("none", StringType())])
+    rows = io.read_row_groups(spark, str(folder), schema).collect()
+    good = [r for r in rows if r._error is None]
+    assert sorted(r.id for r in good) == sorted([*range(200), *range(300, 400), *range(5)])
+    assert all(r.none is None and r.t == (None if r._path.endswith("narrow.parquet") else f"text {r.id}") for r in good)
+    lost = {(r._path.rsplit("/", 1)[1], r._row_group): r._lost for r in rows if r._error is not None}
+    assert lost == {("a.parquet", 2): 100, ("broken.parquet", None): None}
+    assert [p.rsplit("/", 1)[1] for p in io.unreadable(spark, str(folder), StructType([StructField("id", LongType())]))] == ["broken.parquet"]
