@@ -57,11 +57,22 @@ def bm25(index: DataFrame, stats: DataFrame, key: str, terms: list[str], typos:
     return joined.groupBy(key).agg(F.countDistinct("q").alias("matched"), F.sum(part).alias("score"))
 
 
+def placed_words(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, term): all words of the texts with their places (from 0)."""
+    return df.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))).alias("pos", "term"))
+
+
 def positions_index(df: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, positions): postings with places (from 0), one row for each term of a document."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    flat = df.select(key, F.posexplode(words).alias("pos", "term"))
-    return flat.groupBy("term", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return placed_words(df, key, text).groupBy("term", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def ranked_texts(df: DataFrame, key: str, text: str, words: list[str], far: int = 8) -> DataFrame:
+    """`ranked` for one search of texts without an index: only postings of the terms that the words stand for are made."""
+    every = placed_words(df, key, text)
+    hits = matching_terms(every, words)
+    found = every.join(F.broadcast(hits.select("term").distinct()), "term")  # spellings of the query's words
+    return ranked(found.groupBy("term", key).agg(F.sort_array(F.collect_list("pos")).alias("positions")), key, words, far, hits)
 
 
 def allowed_typos(word: str) -> int:
@@ -70,13 +81,12 @@ def allowed_typos(word: str) -> int:
 
 
 def matching_terms(index: DataFrame, words: list[str]) -> DataFrame:
-    """(term, i, typos): the distinct terms near enough to a query's words, judged once each."""
-    terms = index.select("term").distinct()
+    """(term, i, typos): the distinct terms near enough to a query's words. Others are dropped before terms meet."""
     near = [
         F.when((F.abs(F.length("term") - len(w)) <= 2) & (F.levenshtein("term", F.lit(w)) <= allowed_typos(w)), F.struct(F.lit(i).alias("i"), F.levenshtein("term", F.lit(w)).alias("typos")))
         for i, w in enumerate(words)
     ]
-    return terms.select("term", F.explode(F.array_compact(F.array(*near))).alias("m")).select("term", "m.i", "m.typos")
+    return index.select("term", F.explode(F.array_compact(F.array(*near))).alias("m")).select("term", "m.i", "m.typos").distinct()
 
 
 def closest(a: Column, b: Column) -> Column:
