@@ -21,7 +21,7 @@ from ..sources.io import replace
 from .sampling import top_per_group
 
 #: Trigrams of a profile, languages at most, characters that are looked up at once.
-SIZE, LANGUAGES, CHARS = 2000, 1000, 1 << 21
+SIZE, LANGUAGES, CHARS = 2000, 1000, 1 << 18
 
 
 def bare(text: Column) -> Column:
